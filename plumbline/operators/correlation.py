@@ -9,13 +9,14 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.kinds import numeric_columns, quoted, ref
+from plumbline.functions.kinds import kinds, numeric_columns, ref
 from plumbline.functions.student_t import correlation_p_value
 from plumbline.operators.ordering import rank_points, value_ranks
-from plumbline.operators.wide import collect_wide
+from plumbline.operators.wide import collect_wide, stack_rows
+from plumbline.session import drop_path, fresh_path
 
-# Rank tables split off values that hold at least this share of a task's fair part of the rows.
-HOT_TASKS = 512
+# Rows of a value that holds more than one part in SALTS of all rows are spread over SALTS keys.
+SALTS = 256
 
 
 def _null_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
@@ -65,59 +66,81 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> dict[tuple, tuple[fl
     return _coefficients(df, pairs, values, complete)
 
 
-def _with_rank(rows: DataFrame, ranks: DataFrame, value: str, name: str, total: int) -> DataFrame:
-    """Attach the average rank of ``value`` to every row.
-
-    Frequent values are few, because each holds a fixed share of the rows; they are broadcast.
-    The other values meet their rank in a shuffle, where rows of frequent values are spread over
-    all tasks under a second key that matches nothing.
-    """
-    average = F.col("below") + (F.col("n") + 1) / 2.0
-    scored = ranks.select(F.col(quoted(value)).alias("__v"), F.col("n"), average.alias("__rank"))
-    threshold = max(total // HOT_TASKS, 1)
-    # At most HOT_TASKS values can each hold more than total / HOT_TASKS rows.
-    hot = F.broadcast(scored.filter(F.col("n") > threshold).select(F.col("__v").alias("__hot"), F.col("__rank").alias("__hot_rank")))
-    cold = scored.filter(F.col("n") <= threshold).select("__v", F.lit(0).alias("__salt"), "__rank")
-    marked = rows.join(hot, rows[quoted(value)] == hot["__hot"], "left").drop("__hot")
-    spread = F.pmod(F.xxhash64(*[ref(c) for c in rows.columns]), F.lit(HOT_TASKS)).cast("int") + 1
-    absent = F.col("__hot_rank").isNotNull() | ref(value).isNull()
-    marked = marked.withColumn("__row_salt", F.when(absent, spread).otherwise(F.lit(0)))
-    key = F.coalesce(marked[quoted(value)], F.lit(0).cast(dict(rows.dtypes)[value]))
-    joined = marked.join(cold, (key == cold["__v"]) & (marked["__row_salt"] == cold["__salt"]), "left")
-    return joined.withColumn(name, F.coalesce("__hot_rank", "__rank")).drop("__v", "__salt", "__row_salt", "__rank", "__hot_rank")
+def _value(df: DataFrame, column: str) -> tuple[Column, Column]:
+    """A value as a double, and its exact integer where a double could merge neighbours."""
+    exact = ref(column).cast("bigint") if kinds(df)[column] == "integer" else F.lit(0).cast("bigint")
+    return ref(column).cast("double"), exact
+
+
+def _write_ranks(rows: DataFrame, variants: Sequence[tuple[str, str | None]], path: str) -> None:
+    """Average ranks of all variants, one folder per variant, from one pass over the rows."""
+    stacked = []
+    for i, (column, partner) in enumerate(variants):
+        position, exact = _value(rows, column)
+        present = ref(column).isNotNull() if partner is None else ref(column).isNotNull() & ref(partner).isNotNull()
+        stacked.append({"variant": F.lit(i), "at": F.when(present, position), "exact": F.when(present, exact)})
+    columns = list(dict.fromkeys(c for c, _ in variants))
+    points = sorted({p for found in rank_points(rows, columns).values() for p in found})
+    ranks = value_ranks(stack_rows(rows, stacked), ["at", "exact"], ["variant"], points=points)
+    average = (F.col("below") + (F.col("n") + 1) / 2.0).alias("rank")
+    ranks.select("variant", "at", "exact", "n", "total", average).write.partitionBy("variant").parquet(path)
+
+
+def _with_rank(rows: DataFrame, ranks: DataFrame, column: str, hot: Sequence[float], name: str) -> DataFrame:
+    """Attach the rank of each value. Rows of frequent values meet copies of their rank under a
+    second key, and rows without a value are spread by it, so no task gets a hot value whole."""
+    position, exact = _value(rows, column)
+    spread = F.pmod(F.xxhash64(*[ref(c) for c in rows.columns]), F.lit(SALTS)).cast("int")
+    is_hot = lambda c: c.isin(list(hot)) if hot else F.lit(False)
+    copies = F.when(is_hot(F.col("at")), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    table = ranks.select("at", "exact", F.col("rank").alias(name), F.explode(copies).alias("salt"))
+    keyed = rows.withColumns(
+        {"__at": position, "__exact": exact, "__salt": F.when(is_hot(position) | position.isNull(), spread).otherwise(F.lit(0))}
+    )
+    same = (F.col("__at") == F.col("at")) & (F.col("__exact") == F.col("exact")) & (F.col("__salt") == F.col("salt"))
+    return keyed.join(table, same, "left").drop("at", "exact", "salt", "__at", "__exact", "__salt")
 
 
 def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> dict[tuple, tuple[float | None, int]]:
     """Correlation of average ranks, ranked within the rows where both columns are present.
 
     A column is ranked once for all partners without nulls, and once more per partner with nulls.
+    The rank tables are written to the shared folder, so that their size is known when they are
+    joined and small ones are broadcast.
     """
     columns = list(columns)
+    pairs = list(combinations(columns, 2))
+    if not pairs:
+        return {}
+    spark = df.sparkSession
     nulls = _null_counts(df, columns)
     complete = {c: nulls[c] == 0 for c in columns}
-    total = df.count()
-    points = rank_points(df, columns)
     rows = df.select(*[ref(c) for c in columns])
-    ranked, names = rows, {}
-    pairs = list(combinations(columns, 2))
-    for a, b in pairs:
-        for column, partner in ((a, b), (b, a)):
-            variant = (column, None if complete[partner] else partner)
-            if variant in names:
-                continue
-            names[variant] = f"__rank_{len(names)}"
-            basis = rows if variant[1] is None else rows.filter(ref(partner).isNotNull())
-            ranks = value_ranks(basis, column, points=points[column])
-            ranked = _with_rank(ranked, ranks, column, names[variant], total)
-    values = {}
-    for a, b in pairs:
-        x = F.col(names[(a, None if complete[b] else b)])
-        y = F.col(names[(b, None if complete[a] else a)])
-        values[(a, b)] = (
-            x if complete[b] else F.when(ref(b).isNotNull(), x),
-            y if complete[a] else F.when(ref(a).isNotNull(), y),
-        )
-    return _coefficients(ranked, pairs, values, complete)
+    variant = lambda c, partner: (c, None if complete[partner] else partner)
+    variants = list(dict.fromkeys(v for a, b in pairs for v in (variant(a, b), variant(b, a))))
+    path = fresh_path(spark, "ranks")
+    try:
+        _write_ranks(rows, variants, path)
+        table = spark.read.schema("variant int, at double, exact bigint, n bigint, total bigint, rank double").parquet(path)
+        # At most SALTS values of a variant can each hold more than that share of its rows.
+        frequent: dict[int, list[float]] = {}
+        for r in table.filter(F.col("n") * SALTS > F.col("total")).select("variant", "at").collect():
+            frequent.setdefault(r["variant"], []).append(r["at"])
+        ranked, names = rows, {}
+        for i, v in enumerate(variants):
+            names[v] = f"__rank_{i}"
+            ranks = table.filter(F.col("variant") == i)
+            ranked = _with_rank(ranked, ranks, v[0], frequent.get(i, []), names[v])
+        values = {}
+        for a, b in pairs:
+            x, y = F.col(names[variant(a, b)]), F.col(names[variant(b, a)])
+            values[(a, b)] = (
+                x if complete[b] else F.when(ref(b).isNotNull(), x),
+                y if complete[a] else F.when(ref(a).isNotNull(), y),
+            )
+        return _coefficients(ranked, pairs, values, complete)
+    finally:
+        drop_path(spark, path)
 
 
 def _cell(r: float | None, n: int) -> float:

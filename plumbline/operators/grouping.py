@@ -155,7 +155,7 @@ def latency_stats(
     500 is added. Slow requests are counted per class.
     """
     size = {"rows_per_bucket": rows_per_bucket} if rows_per_bucket else {}
-    ranks = value_ranks(log, seconds, [endpoint], **size)
+    ranks = value_ranks(log, [seconds], [endpoint], **size)
 
     def at(position: Column) -> Column:
         hit = (F.col("below") <= position) & (position < F.col("below") + F.col("n"))

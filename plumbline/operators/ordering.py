@@ -116,41 +116,37 @@ def row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_index", r
 
 def value_ranks(
     df: DataFrame,
-    column: str,
+    columns: Sequence[str],
     keys: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
     points: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Distinct non-null values with ``n`` (copies), ``below`` (rows before) and ``total`` per key.
+    """Distinct values with ``n`` (copies), ``below`` (rows before) and ``total`` per key.
 
-    Equal values collapse before the shuffle, so a value that holds a third of all rows is one
-    row here; a key that does is spread over the buckets of its values.
+    A value is one column or several that are ordered together; rows where the first is null are
+    left out. Equal values collapse before the shuffle, so a value that holds a third of all rows
+    is one row here; a key that does is spread over the buckets of its values.
     """
-    keys = list(keys)
+    keys, columns = list(keys), list(columns)
     types = {f.name: f.dataType for f in df.schema.fields}
-    rows = df.select(*[ref(k) for k in keys], ref(column)).filter(ref(column).isNotNull())
-    position = sort_position(ref(column), types[column])
+    rows = df.filter(ref(columns[0]).isNotNull())
     if points is None:
-        points = rank_points(df, [column], rows_per_bucket)[column]
-    counts = rows.groupBy(*[ref(k) for k in keys], ref(column)).agg(F.count(F.lit(1)).alias("n"))
+        points = rank_points(df, columns[:1], rows_per_bucket)[columns[0]]
+    by_key = [ref(k) for k in keys]
+    counts = rows.groupBy(*by_key, *[ref(c) for c in columns]).agg(F.count(F.lit(1)).alias("n"))
+    position = sort_position(ref(columns[0]), types[columns[0]])
     placed = _place(counts.withColumn("__p1", position), "__p1", B1, points).drop("__p1").withColumn(B2, F.lit(0))
     inside = (
-        Window.partitionBy(*[ref(k) for k in keys], B1)
-        .orderBy(ref(column))
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*by_key, B1).orderBy(*[ref(c) for c in columns]).rowsBetween(Window.unboundedPreceding, -1)
     )
     local = placed.withColumn("__inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    by_key = Window.partitionBy(*[ref(k) for k in keys])
+    whole = Window.partitionBy(*by_key)
+    earlier = whole.orderBy(B1).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy(*[ref(k) for k in keys], B1, B2)
+        placed.groupBy(*by_key, B1, B2)
         .agg(F.sum("n").alias("__rows"))
-        .withColumn(
-            "__offset",
-            F.coalesce(
-                F.sum("__rows").over(by_key.orderBy(B1).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
-        )
-        .withColumn("total", F.sum("__rows").over(by_key))
+        .withColumn("__offset", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
+        .withColumn("total", F.sum("__rows").over(whole))
     )
     return (
         _join_carry(local, offsets, keys, ["__offset", "total"])

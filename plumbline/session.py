@@ -56,6 +56,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_root(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder that :func:`fresh_path` named."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def checkpointed(df):
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
