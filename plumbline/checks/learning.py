@@ -1,4 +1,81 @@
-"""Placeholder."""
+"""Baseline models on labelled documents. Iterative fitting cannot be written as SQL."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plumbline.checks.tables import from_sql, load, stacked
+from plumbline.operators import learning
+from plumbline.session import fresh_path
+
+FAST = ["LogisticRegression", "DecisionTreeClassifier"]
+
+
+def _documents(spark, sf):
+    """Labelled documents with a few simple features; the quality label comes last."""
+    return from_sql(
+        spark, sf,
+        """SELECT d.doc_id, d.n_chars, CAST(size(split(d.text, '\\\\s+')) AS BIGINT) AS words, d.lang, l.toxic,
+           CASE WHEN l.quality = 1 THEN 'good' ELSE 'poor' END AS quality FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id""",
+    )
+
+
+def _features(spark, sf):
+    return _documents(spark, sf).drop("doc_id")
+
+
+def _ml2(spark, sf):
+    return learning.train_best(_features(spark, sf), learners=FAST).info(spark)
+
+
+def _ml2_regression(spark, sf):
+    lines = load(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_extendedprice")
+    return learning.train_best(lines, learners=["LinearRegression", "DecisionTreeRegressor"]).info(spark)
+
+
+def _ml3(spark, sf):
+    df = _documents(spark, sf)
+    model = learning.train_best(df.drop("doc_id"), learners=FAST)
+    return learning.predict(df, model).select("doc_id", "quality", "prediction_label")
+
+
+def _ml4(spark, sf):
+    df = _documents(spark, sf)
+    model = learning.train_best(df.drop("doc_id"), learners=FAST)
+    return learning.explain(model, df, ["doc_id"])
+
+
+def _ml5(spark, sf):
+    df = _documents(spark, sf)
+    model = learning.train_best(df.drop("doc_id"), learners=FAST)
+    path = fresh_path(spark, "model")
+    learning.save_model(model, path, spark)
+    scored = learning.predict(df, learning.load_model(spark, path))
+    info = learning.model_info(spark, path).first()
+    return scored.agg(
+        F.lit(info["model_type"]).alias("model_type"),
+        F.lit(info["target"]).alias("target"),
+        F.lit(info["rows_trained"]).alias("rows_trained"),
+        F.avg((F.col("prediction_label") == F.col("quality")).cast("double")).alias("accuracy"),
+    )
+
+
+QUERIES = {
+    "ml1": lambda s, d: learning.problem_types(_documents(s, d)),
+    "ml2": _ml2,
+    "ml2_regression": _ml2_regression,
+    "ml3": _ml3,
+    "ml4": _ml4,
+    "ml5": _ml5,
+}
+
+_NUMBER = r"'^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$'"
+
+SQL = {
+    "ml1": """WITH t AS (SELECT d.doc_id, d.n_chars, d.n_chars AS words, d.lang, l.toxic, CASE WHEN l.quality = 1 THEN 'good' ELSE 'poor' END AS quality
+        FROM documents d JOIN labels l USING (doc_id)) """
+    + stacked(
+        f"SELECT '{c}' AS target, CASE WHEN count(*) FILTER (regexp_matches({c}::VARCHAR, {_NUMBER})) > 0 THEN 'regression' ELSE 'classification' END AS problem_type FROM t"
+        for c in ("doc_id", "n_chars", "words", "lang", "toxic", "quality")
+    ),
+}

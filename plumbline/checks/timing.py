@@ -1,4 +1,77 @@
-"""Placeholder."""
+"""Request rates and latency over the event log, in batch and as streams."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plumbline.checks.tables import load
+from plumbline.streaming import files, latency, rates
+
+# Event types as request classes with limits that are reached.
+_LIMITS = {"error": 1, "click": 2}
+
+
+def _log(spark, sf):
+    return load(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
+
+
+def _str1(spark, sf):
+    out = rates.rate_flags(_log(spark, sf), "event_type", "ts", "event_type", 600, _LIMITS, 3)
+    return out.select("event_id", "event_type", "in_window", "max_requests", "exceeded")
+
+
+def _str1_minute(spark, sf):
+    out = rates.rate_flags(_log(spark, sf), "event_type", "ts")
+    return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.sum("in_window").alias("total"), F.max("in_window").alias("peak"))
+
+
+def _str1_decisions(spark, sf):
+    return rates.rate_decisions(_log(spark, sf), "event_type", "ts", "event_id", "event_type", 600, _LIMITS, 3).drop("ts")
+
+
+def _stream(spark, sf):
+    schema = load(spark, sf, "events").schema
+    return files.read_stream(spark, sf, schema, glob="events.parquet")
+
+
+def _str1_stream(spark, sf):
+    out = files.run_available(rates.rate_counts_stream(_stream(spark, sf), "event_type", "ts", "1 hour", "15 minutes", limit=3))
+    closed = _closed(spark, sf, "2 minutes", "window_end", out)
+    return closed.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "requests", "exceeded")
+
+
+def _closed(spark, sf, lateness, end, out):
+    """Windows that end well before the last event: the others stay open when the input ends."""
+    last = load(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("last"))
+    return out.join(F.broadcast(last), F.col(end) < F.col("last") - F.expr(f"INTERVAL {lateness}")).drop("last")
+
+
+def _str1_stream_decisions(spark, sf):
+    return files.run_available(rates.rate_decisions_stream(_stream(spark, sf), "event_type", "ts", 3, 600)).groupBy("key", "allowed").agg(F.count(F.lit(1)).alias("requests"))
+
+
+def _str2(spark, sf):
+    log = _stream(spark, sf).withColumn("seconds", F.col("value") / 100)
+    return files.run_available(latency.latency_stream(log, "event_type", "seconds", "ts", "1 day"))
+
+
+QUERIES = {
+    "str1": _str1,
+    "str1_minute": _str1_minute,
+    "str1_decisions": _str1_decisions,
+    "str1_stream": _str1_stream,
+    "str1_stream_decisions": _str1_stream_decisions,
+    "str2": _str2,
+}
+
+SQL = {
+    "str1": """SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 600 SECONDS PRECEDING AND CURRENT ROW) AS in_window,
+        CASE event_type WHEN 'error' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS max_requests,
+        count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 600 SECONDS PRECEDING AND CURRENT ROW)
+            > CASE event_type WHEN 'error' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS exceeded FROM events""",
+    "str1_minute": """SELECT event_type, count(*) AS rows, sum(n)::BIGINT AS total, max(n) AS peak FROM (SELECT event_type,
+        count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS n FROM events) GROUP BY 1""",
+    "str1_stream": """WITH s AS (SELECT event_type, to_timestamp(floor(epoch(ts) / 900) * 900 - k * 900) AT TIME ZONE 'UTC' AS w FROM events, range(4) r(k))
+        SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS requests, count(*) > 3 AS exceeded
+        FROM s WHERE w + INTERVAL 1 HOUR < (SELECT max(ts) FROM events) - INTERVAL 2 MINUTES GROUP BY 1, 2""",
+}
