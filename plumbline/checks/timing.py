@@ -42,8 +42,8 @@ def _str1_stream(spark, sf):
 
 def _closed(spark, sf, lateness, end, out):
     """Windows that end well before the last event: the others stay open when the input ends."""
-    last = load(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("last"))
-    return out.join(F.broadcast(last), F.col(end) < F.col("last") - F.expr(f"INTERVAL {lateness}")).drop("last")
+    last = load(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("last")).first()["last"]
+    return out.filter(F.col(end) < F.lit(last) - F.expr(f"INTERVAL {lateness}"))
 
 
 def _str1_stream_decisions(spark, sf):

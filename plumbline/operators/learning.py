@@ -17,6 +17,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import FeatureHasher, Imputer, IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,7 +137,7 @@ def train_best(
     classes = labelled.select(ref(target)).distinct().count() if kind == "classification" else 0
     stages = _stages(df, features, target, kind)
     prepared = Pipeline(stages=stages).fit(labelled)
-    ready = prepared.transform(labelled)
+    ready = prepared.transform(labelled).persist(StorageLevel.MEMORY_AND_DISK)
     # The fold of a row is a fixed function of its content, so a recomputed task agrees.
     held_out = F.pmod(F.xxhash64(*[ref(c) for c in labelled.columns]), F.lit(5)) == 0
     train, test = ready.filter(~held_out), ready.filter(held_out)
@@ -155,8 +156,9 @@ def train_best(
             scores[name] = cv.avgMetrics[0]
         else:
             scores[name] = evaluator.evaluate(learner.fit(train).transform(test))
-    best = (min if kind == "regression" else max)(scores, key=lambda n: (scores[n], n) if kind == "regression" else (scores[n],))
+    best = (min if kind == "regression" else max)(sorted(scores), key=scores.get)
     final = candidates[best].fit(ready)
+    ready.unpersist()
     steps = [*prepared.stages, final]
     if kind == "classification":
         labels = prepared.stages[-1].labels

@@ -29,21 +29,24 @@ def _bucket_count(df: DataFrame, rows: int, rows_per_bucket: int) -> int:
     return max(1, min(MAX_BUCKETS, max(wanted, min(df.sparkSession.sparkContext.defaultParallelism, rows))))
 
 
-def _splits(dist: Distribution, buckets: int) -> tuple[list[float], list[float]]:
-    """Split points for about equal buckets, and the hot values that fill a bucket by themselves.
+def _splits(dist: Distribution, buckets: int) -> tuple[list[float], dict[float, int]]:
+    """Split points for about equal buckets, and the hot values with the buckets they would fill.
 
     A hot value gets a bucket that holds nothing else, so that its rows can be divided further by
     the next order column.
     """
     if not len(dist.values):
-        return [], []
+        return [], {}
     grid = [dist.near(dist.count * i / buckets) for i in range(1, buckets)]
-    points, hot = set(), []
+    points, hot = set(), {}
     for value, times in zip(*np.unique([g for g in grid if not math.isnan(g)], return_counts=True)):
         points.add(float(value))
-        if times > 1 and math.isfinite(value):
-            hot.append(float(value))
-            points.add(float(np.nextafter(value, np.inf)))
+        if times > 1:
+            hot[float(value)] = int(times)
+            points.add(float(np.nextafter(value, np.inf if value < np.inf else 0.0)))
+    missing = sum(math.isnan(g) for g in grid)
+    if missing > 1:
+        hot[math.nan] = missing
     return sorted(p for p in points if math.isfinite(p)), hot
 
 
@@ -70,9 +73,16 @@ def with_buckets(df: DataFrame, order_by: Sequence[str], rows_per_bucket: int =
     points, hot = _splits(found[leading[0]], buckets)
     out = _place(df.withColumn("__p1", positions[leading[0]]), "__p1", B1, points)
     if hot and len(leading) > 1:
-        finer, _ = _splits(found[leading[1]], buckets)
+        most = max(hot.values())
+        finer, _ = _splits(found[leading[1]], most)
         out = _place(out.withColumn("__p2", positions[leading[1]]), "__p2", B2, finer).drop("__p2")
-        out = out.withColumn(B2, F.when(F.col("__p1").isin(hot), F.col(B2)).otherwise(F.lit(0)))
+        # Bucket 0 may hold only nulls, bucket i + 1 starts at point i, and NaN comes last. A hot
+        # value is divided into as many parts as it fills.
+        sizes = [hot.get(-math.inf, 0), *[hot.get(p, 0) for p in points], next((n for v, n in hot.items() if v != v), 0)]
+        if math.inf in hot:
+            sizes[-2] = hot[math.inf]
+        share = F.element_at(F.array(*[F.lit(n) for n in sizes]), F.col(B1) + 1)
+        out = out.withColumn(B2, F.floor(F.col(B2) * share / most).cast("int"))
     else:
         out = out.withColumn(B2, F.lit(0))
     return out.drop("__p1")

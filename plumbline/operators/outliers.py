@@ -50,12 +50,8 @@ def outlier_counts(df: DataFrame, bounds: Mapping[str, tuple[float, float]]) ->
 
 def outliers_iqr(df: DataFrame, columns: Sequence[str] | None = None, multiplier: float = IQR_MULTIPLIER) -> DataFrame:
     """Bounds, number and share of values strictly outside them, one row per column."""
-    bounds = iqr_bounds(df, columns, multiplier).cache()
-    try:
-        limits = collect_bounds(bounds)
-        rows = [tuple(r) for r in bounds.collect()]
-    finally:
-        bounds.unpersist()
+    rows = iqr_bounds(df, columns, multiplier).collect()
+    limits = {r["column"]: (r["lower_bound"], r["upper_bound"]) for r in rows}
     schema = "column string, q1 double, q3 double, iqr double, lower_bound double, upper_bound double"
     table = df.sparkSession.createDataFrame(rows, schema)
     if not limits:

@@ -15,8 +15,8 @@ from plumbline.functions.fixed import RATE_LIMIT_DEFAULT, RATE_LIMITS, RATE_WIND
 from plumbline.functions.kinds import ref
 from plumbline.operators.ordering import directional_fill
 
-# Length of the time slices into which the requests of one key are divided.
-SLICE_SECONDS = 3600
+# Length, in windows, of the time slices into which the requests of one key are divided.
+SLICE_WINDOWS = 10
 MICROS = 1_000_000
 
 
@@ -40,20 +40,29 @@ def _prepared(log: DataFrame, key: str, ts: str, request_class: str | None, limi
     )
 
 
-def _over_slices(rows: DataFrame, span: int, make: Mapping[str, Column], low: int, high: int) -> DataFrame:
-    """Range-window aggregates per pair, computed in time slices.
+def _sliding_sum(rows: DataFrame, weight: Column, low: int, high: int, name: str) -> DataFrame:
+    """Add the sum of ``weight`` over the rows of the same pair whose time lies in ``[t + low, t + high]``.
 
-    Each row is copied to the neighbouring slice if a window there can reach it, so one busy pair
-    is spread over many tasks and every window is still complete.
+    A row is active for the requests between ``at - high`` and ``at - low``; a running sum of its
+    coming and going needs one sorted pass, however many rows a window holds. The times of a pair
+    are divided into slices, and a row is entered in every slice in which it is active, so one
+    busy pair is spread over many tasks.
     """
-    length = max(SLICE_SECONDS * MICROS, 4 * span)
-    own = F.floor(F.col("__at") / length)
-    reach = F.floor((F.col("__at") + (span if low < 0 else -span)) / length)
-    slices = F.when(reach != own, F.array(own, reach)).otherwise(F.array(own))
-    spread = rows.withColumn("__slice", own).withColumn("__in", F.explode(slices))
-    frame = Window.partitionBy("__pair", "__in").orderBy("__at").rangeBetween(low, high)
-    done = spread.withColumns({name: e.over(frame) for name, e in make.items()})
-    return done.filter(F.col("__in") == F.col("__slice")).drop("__slice", "__in")
+    length = SLICE_WINDOWS * (high - low + 1)
+    at, start, end = F.col("__at"), F.col("__at") - high, F.col("__at") - low
+    slice_of = lambda t: F.floor(t / length)
+    payload = F.struct(*[ref(c) for c in rows.columns])
+    nothing = F.lit(None).cast(T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields]))
+    entry = lambda s, t, w, p: F.struct(s.alias("slice"), t.alias("t"), w.cast("bigint").alias("w"), p.alias("row"))
+    active = F.array_distinct(F.array(slice_of(start), slice_of(end)))
+    moves = F.flatten(
+        F.transform(active, lambda s: F.array(entry(s, start, weight, nothing), entry(s, end + 1, -weight, nothing)))
+    )
+    asked = F.array(entry(slice_of(at), at, F.lit(0), payload))
+    events = rows.select("__pair", F.explode(F.concat(F.when(weight != 0, moves).otherwise(F.slice(moves, 1, 0)), asked)).alias("e"))
+    upto = Window.partitionBy("__pair", "e.slice").orderBy("e.t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = events.select(F.col("e.row").alias("row"), F.sum("e.w").over(upto).alias(name))
+    return summed.filter(F.col("row").isNotNull()).select("row.*", name)
 
 
 def rate_flags(
@@ -68,7 +77,7 @@ def rate_flags(
     """Requests of the pair in the last ``window`` seconds (ends included) and whether they exceed the limit."""
     span = window * MICROS
     rows = _prepared(log, key, ts, request_class, limits, default)
-    counted = _over_slices(rows, span, {"in_window": F.count(F.lit(1))}, -span, 0)
+    counted = _sliding_sum(rows, F.lit(1), -span, 0, "in_window")
     return counted.withColumn("exceeded", F.col("in_window") > F.col("max_requests")).drop("__at", "__pair")
 
 
@@ -92,11 +101,10 @@ def rate_decisions(
     span = window * MICROS
     rows = _prepared(log, key, ts, request_class, limits, default)
     # A request leaves the window after exactly ``window`` seconds, hence the open end.
-    counted = _over_slices(rows, span, {"__count": F.count(F.lit(1))}, -span + 1, 0)
-    counted = counted.withColumn("__over", F.col("__count") > F.col("max_requests"))
-    ahead = _over_slices(counted, span, {"__needed": F.max("__over")}, 0, span - 1)
-    calm = ahead.filter(~F.col("__needed")).withColumn("allowed", F.lit(True))
-    busy = _over_slices(ahead.filter("__needed"), span, {"__earlier": F.count(F.lit(1))}, -span + 1, -1)
+    counted = _sliding_sum(rows, F.lit(1), -span + 1, 0, "__count")
+    ahead = _sliding_sum(counted, (F.col("__count") > F.col("max_requests")).cast("int"), 0, span - 1, "__over_ahead")
+    calm = ahead.filter("__over_ahead = 0").withColumn("allowed", F.lit(True))
+    busy = _sliding_sum(ahead.filter("__over_ahead > 0"), F.lit(1), -span + 1, -1, "__earlier")
     busy = busy.withColumn("__spell", F.when(F.col("__earlier") == 0, F.col("__at")))
     busy = directional_fill(busy, ["__spell"], ["__at", tie], ["__pair"])
     names = [*log.columns, "max_requests"]
