@@ -139,7 +139,7 @@ def _text_time(df, *names):
 
 def _trd3(spark, sf):
     df = from_sql(spark, sf, "SELECT ts, event_id, CASE WHEN event_id % 9 <> 4 THEN value END AS value, user_id FROM {events}")
-    out = trends.linear_trend(df, ["ts", "event_id"])
+    out = trends.linear_trend(df, ["ts", "event_id"], ["value", "user_id"])
     return out.drop("p_value", "significant")
 
 

@@ -252,7 +252,7 @@ def apply_plan(
     return result, audit_frame(df.sparkSession, entries)
 
 
-def _shared_means(df: DataFrame, plan: Sequence[CleaningOperation]) -> dict:
+def _shared_means(df: DataFrame, plan: Sequence[CleaningOperation]) -> "_ByIdentity":
     """Means for the leading run of mean imputations on distinct columns, from one pass."""
     leading: list[CleaningOperation] = []
     for op in plan:
@@ -262,9 +262,7 @@ def _shared_means(df: DataFrame, plan: Sequence[CleaningOperation]) -> dict:
         leading.append(op)
     numbers = set(numeric_columns(df))
     means = [op for op in leading if op.parameters.get("strategy", "mean") == "mean" and op.column in numbers]
-    if not means:
-        return {}
-    found = _means(df, [op.column for op in means])
+    found = _means(df, [op.column for op in means]) if means else {}
     return _ByIdentity({id(op): found[op.column][1] if found[op.column][0] else None for op in means})
 
 

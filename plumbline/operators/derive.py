@@ -31,8 +31,8 @@ def derive(df: DataFrame, name: str, expression: str) -> DataFrame:
     rejected as well.
     """
     out = df.withColumn(name, F.expr(expression))
-    plan = out._jdf.queryExecution().analyzed().getClass().getSimpleName()
-    if plan != "Project":
+    plan = out._jdf.queryExecution().analyzed()
+    if plan.nodeName() != "Project" or plan.children().head().nodeName() == "Generate":
         raise ValueError(f"{expression!r} is not one value per row")
     return out
 

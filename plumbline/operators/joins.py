@@ -110,9 +110,11 @@ class RelationStore:
         relations_frame(self.spark, [relation]).write.mode("overwrite").parquet(self._definition(relation.relation_id))
 
     def list(self) -> DataFrame:
-        if not self._exists(f"{self.root}/definitions"):
+        pattern = f"{self.root}/definitions/relation=*"
+        hadoop, fs = self._path(pattern)
+        if not fs.globStatus(hadoop):
             return relations_frame(self.spark, [])
-        return self.spark.read.schema(RELATION_SCHEMA).parquet(f"{self.root}/definitions/relation=*")
+        return self.spark.read.schema(RELATION_SCHEMA).parquet(pattern)
 
     def get(self, relation_id: str) -> Relation:
         if not self._exists(self._definition(relation_id)):

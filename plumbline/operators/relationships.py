@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.fixed import CONFIDENCE_GATE, CORRELATION_THRESHOLD, OVERLAP_THRESHOLD, STRONG_THRESHOLD
 from plumbline.functions.kinds import comparable_text, family_of, numeric_columns, ref
 from plumbline.operators.correlation import pearson_matrix, spearman_matrix
-from plumbline.operators.wide import per_item, stack_rows
+from plumbline.operators.wide import MAX_EXPRESSIONS, chunks, stack_rows
 
 # Columns per bit word of a value's membership.
 WORD = 62
@@ -57,22 +57,23 @@ def overlap_counts(columns: Sequence[tuple[DataFrame, str]], pairs: Sequence[tup
     """``source, target`` (positions), shared and own distinct values of the wanted pairs.
 
     Values with the same membership are counted together first; what remains is one row per
-    combination of columns that occurs, and every pair is read off that table.
+    combination of columns that occurs. From it one aggregate gives, per column, how many of its
+    values each other column holds: one row per column, from which the pairs are read off.
     """
     members = value_membership(columns)
     words = [c for c in members.columns if c.startswith("w")]
     combos = members.groupBy(*words).agg(F.count(F.lit(1)).alias("values"))
-    total = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("values"))), F.lit(0))
-    return per_item(
-        combos,
-        list(pairs),
-        lambda p: {"source": F.lit(p[0]), "target": F.lit(p[1])},
-        {
-            "overlap_count": lambda p: total(_holds(p[0]) & _holds(p[1])),
-            "unique_values_1": lambda p: total(_holds(p[0])),
-            "unique_values_2": lambda p: total(_holds(p[1])),
-        },
-    )
+    holders = F.array_compact(F.array(*[F.when(_holds(i), F.lit(i)) for i in range(len(columns))]))
+    held = combos.select(*words, "values", F.explode(holders).alias("source"))
+    shared: dict[int, dict[int, int]] = {}
+    for chunk in chunks(list(range(len(columns))), MAX_EXPRESSIONS):
+        sums = [F.sum(F.when(_holds(j), F.col("values"))).alias(f"t{j}") for j in chunk]
+        for row in held.groupBy("source").agg(*sums).collect():
+            shared.setdefault(row["source"], {}).update({j: row[f"t{j}"] or 0 for j in chunk})
+    count = lambda i, j: shared.get(i, {}).get(j, 0)
+    rows = [(i, j, count(i, j), count(i, i), count(j, j)) for i, j in pairs]
+    schema = "source int, target int, overlap_count bigint, unique_values_1 bigint, unique_values_2 bigint"
+    return columns[0][0].sparkSession.createDataFrame(rows, schema)
 
 
 def value_overlap(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = OVERLAP_THRESHOLD) -> DataFrame:
