@@ -17,7 +17,7 @@ from plumbline.functions.fixed import (
 from plumbline.functions.kinds import comparable_text, kind_of, kinds, numeric_columns, plain_text, ref
 from plumbline.functions.text import as_number, is_missing, matches_any
 from plumbline.operators.quantiles import order_statistics, quantile_table
-from plumbline.operators.wide import chunks, per_column, stack_rows
+from plumbline.operators.wide import chunks, is_plain_scan, per_column, stack_rows
 
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
@@ -59,18 +59,30 @@ def _cell_bytes(column: Column, data_type: T.DataType) -> Column:
     return F.when(column.isNotNull(), F.lit(widths.get(type(data_type), 8)))
 
 
-def cardinality(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
-    """Distinct non-null values per column: exact, or by HyperLogLog without a shuffle of values."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    count = F.approx_count_distinct if approximate else F.count_distinct
+def _distinct_key(df: DataFrame, c: str) -> Column:
+    data_type = df.schema[c].dataType
+    if kind_of(data_type) in ("list", "struct", "other"):
+        return F.when(ref(c).isNotNull(), comparable_text(ref(c), data_type))
+    return ref(c)
 
-    def distinct(c: str) -> Column:
-        column = ref(c)
-        if kind_of(types[c]) in ("list", "struct", "other"):
-            column = F.when(column.isNotNull(), comparable_text(column, types[c]))
-        return count(column)
 
-    return per_column(df, list(columns or df.columns), {"distinct_values": distinct})
+def cardinality(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
+    """Distinct non-null values per column: exact, or by HyperLogLog without a shuffle of values.
+
+    Exact counts of a stored table read and group each column by itself. On a derived table, which
+    would be computed once per column that way, they come from one pass that multiplies its rows.
+    """
+    columns = list(columns or df.columns)
+    if approximate or not is_plain_scan(df):
+        count = F.approx_count_distinct if approximate else F.count_distinct
+        return per_column(df, columns, {"distinct_values": lambda c: count(_distinct_key(df, c))})
+    place = {c: i for i, c in enumerate(df.columns)}
+    parts = [
+        df.select(_distinct_key(df, c).alias("v")).distinct().agg(F.count("v").alias("distinct_values"))
+        .select(F.lit(place[c]).alias("position"), F.lit(c).alias("column"), "distinct_values")
+        for c in columns
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def profile_schema(
@@ -81,23 +93,15 @@ def profile_schema(
     Samples are added when an order is given, because rows have no order of their own.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-
-    def values(c: str) -> Column:
-        if kind_of(types[c]) in ("list", "struct", "other"):
-            return F.when(ref(c).isNotNull(), comparable_text(ref(c), types[c]))
-        return ref(c)
-
     stats = per_column(
         df,
         df.columns,
         {
             "rows": lambda c: F.count(F.lit(1)),
             "null_count": lambda c: F.count_if(ref(c).isNull()),
-            "distinct_values": lambda c: distinct(values(c)),
             "size_bytes": lambda c: F.coalesce(F.sum(_cell_bytes(ref(c), types[c])), F.lit(0)),
         },
-    )
+    ).join(F.broadcast(cardinality(df, approximate=approximate).drop("position")), "column")
     labels = _labels(
         "column", {c: (f"{t.simpleString()}", kind_of(t)) for c, t in types.items()}, ("dtype", "dtype_category")
     )

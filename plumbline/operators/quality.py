@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.kinds import comparable_text, kind_of, numeric_columns, ref, string_columns
+from plumbline.functions.kinds import comparable_text, numeric_columns, ref, string_columns
 from plumbline.operators.outliers import collect_bounds, iqr_bounds, outside
 from plumbline.operators.pii import PROFILE_TYPES
 from plumbline.functions.fixed import PII_PATTERNS
 from plumbline.functions.text import matches_any
-from plumbline.operators.profile import first_values, missing_counts, percent
+from plumbline.operators.profile import cardinality, first_values, missing_counts, percent
 from plumbline.operators.wide import per_column
 
 
@@ -41,29 +41,21 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def quality_columns(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
     """One row per column: nulls, cardinality, IQR outliers and whether personal data was found."""
-    types = {f.name: f.dataType for f in df.schema.fields}
     numbers, texts = numeric_columns(df), set(string_columns(df))
     bounds = collect_bounds(iqr_bounds(df, numbers)) if numbers else {}
     patterns = [PII_PATTERNS[t] for t in PROFILE_TYPES]
-
-    def values(c: str) -> Column:
-        if kind_of(types[c]) in ("list", "struct", "other"):
-            return F.when(ref(c).isNotNull(), comparable_text(ref(c), types[c]))
-        return ref(c)
-
     stats = per_column(
         df,
         df.columns,
         {
             "rows": lambda c: F.count(F.lit(1)),
             "null_count": lambda c: F.count_if(ref(c).isNull()),
-            "distinct_values": lambda c: F.count_distinct(values(c)),
             "outlier_count": lambda c: F.count_if(outside(c, bounds[c])) if c in bounds else F.lit(0).cast("bigint"),
             "has_pii": lambda c: (
                 F.coalesce(F.max(matches_any(ref(c), patterns)), F.lit(False)) if c in texts else F.lit(False)
             ),
         },
-    )
+    ).join(F.broadcast(cardinality(df).drop("position")), "column")
     unique = F.col("distinct_values") + (F.col("null_count") > 0).cast("bigint")
     out = stats.select(
         "position", "column", "rows", "null_count",

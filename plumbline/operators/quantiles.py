@@ -134,12 +134,33 @@ def order_statistics(
     return counts, {(t.column, rank): value for t in targets for rank, value in t.values.items()}
 
 
+def _layers(targets: Sequence[_Target]) -> list[list[int]]:
+    """Split targets into groups of one column whose brackets do not overlap."""
+    above = lambda t: math.inf if math.isnan(t.high) else t.high
+    layers: list[list[int]] = []
+    for i in sorted(range(len(targets)), key=lambda i: (targets[i].column, targets[i].low)):
+        for layer in layers:
+            last = targets[layer[-1]]
+            if last.column == targets[i].column and above(last) <= targets[i].low and above(last) < math.inf:
+                layer.append(i)
+                break
+        else:
+            layers.append([i])
+    return layers
+
+
 def _settle(df: DataFrame, targets: Sequence[_Target]) -> None:
     """Order the values of small brackets and read off the wanted ranks."""
     for chunk in chunks(list(targets), 64):
-        rows = [{"t": F.lit(i), "v": F.when(t.inside(), t.number())} for i, t in enumerate(chunk)]
+        rows = []
+        for layer in _layers(chunk):
+            number = chunk[layer[0]].number()
+            which = F.lit(None).cast("int")
+            for i in layer:
+                which = F.when(chunk[i].inside(), F.lit(i)).otherwise(which)
+            rows.append({"t": which, "v": number})
         candidates = df.filter(reduce(or_, [t.inside() for t in chunk]))
-        values = stack_rows(candidates, rows).filter(F.col("v").isNotNull()).groupBy("t", "v").agg(F.count(F.lit(1)).alias("n"))
+        values = stack_rows(candidates, rows).filter(F.col("t").isNotNull()).groupBy("t", "v").agg(F.count(F.lit(1)).alias("n"))
         upto = Window.partitionBy("t").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         first = F.element_at(F.array(*[F.lit(t.open[0] - t.upto_low).cast("bigint") for t in chunk]), F.col("t") + 1)
         last = F.element_at(F.array(*[F.lit(t.open[-1] - t.upto_low).cast("bigint") for t in chunk]), F.col("t") + 1)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.fixed import CONFIDENCE_GATE, CORRELATION_THRESHOLD, OVERLAP_THRESHOLD, STRONG_THRESHOLD
 from plumbline.functions.kinds import comparable_text, family_of, numeric_columns, ref
 from plumbline.operators.correlation import pearson_matrix, spearman_matrix
-from plumbline.operators.wide import MAX_EXPRESSIONS, chunks, stack_rows
+from plumbline.operators.wide import MAX_COUNTERS, chunks, stack_rows
 
 # Columns per bit word of a value's membership.
 WORD = 62
@@ -66,7 +66,7 @@ def overlap_counts(columns: Sequence[tuple[DataFrame, str]], pairs: Sequence[tup
     holders = F.array_compact(F.array(*[F.when(_holds(i), F.lit(i)) for i in range(len(columns))]))
     held = combos.select(*words, "values", F.explode(holders).alias("source"))
     shared: dict[int, dict[int, int]] = {}
-    for chunk in chunks(list(range(len(columns))), MAX_EXPRESSIONS):
+    for chunk in chunks(list(range(len(columns))), MAX_COUNTERS):
         sums = [F.sum(F.when(_holds(j), F.col("values"))).alias(f"t{j}") for j in chunk]
         for row in held.groupBy("source").agg(*sums).collect():
             shared.setdefault(row["source"], {}).update({j: row[f"t{j}"] or 0 for j in chunk})

@@ -15,7 +15,7 @@ from plumbline.operators.wide import collect_wide
 # Values per column that a sample may bring to the driver, and the total over all columns.
 SAMPLE_VALUES = 200_000
 SAMPLE_TOTAL = 4_000_000
-SMALL_SAMPLE = 10_000
+SMALL_SAMPLE = 50_000
 SEED = 42
 
 

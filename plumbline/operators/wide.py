@@ -8,8 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# More expressions than this in one aggregate make the generated code too long to compile well.
-MAX_EXPRESSIONS = 200
+# More expressions than this in one aggregate make generated methods too long for the JVM to compile
+# to machine code, which costs more than reading disjoint columns in several passes.
+MAX_EXPRESSIONS = 40
+# The same for lists of plain counters and sums.
+MAX_COUNTERS = 120
 
 
 def chunks(items: Sequence, size: int):
@@ -62,10 +65,21 @@ def per_column(df: DataFrame, columns: Sequence[str], stats: Mapping[str, Callab
     )
 
 
+def is_plain_scan(df: DataFrame) -> bool:
+    """Whether the table is read from storage or memory with projections and filters only.
+
+    Then columns can be read apart from each other, each once, at no extra cost.
+    """
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.children().size() == 1 and node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.nodeName() in ("LogicalRelation", "InMemoryRelation", "RelationV2", "DataSourceV2ScanRelation", "LocalRelation")
+
+
 def collect_wide(df: DataFrame, expressions: Mapping[str, Column]) -> dict:
     """Run aggregates in one pass per chunk and return their values by name (one row each)."""
     found: dict = {}
-    for chunk in chunks(list(expressions.items()), MAX_EXPRESSIONS):
+    for chunk in chunks(list(expressions.items()), MAX_COUNTERS):
         names = [f"e{i}" for i in range(len(chunk))]
         row = df.agg(*[e.alias(n) for n, (_, e) in zip(names, chunk)]).first()
         found.update({key: row[n] for n, (key, _) in zip(names, chunk)})

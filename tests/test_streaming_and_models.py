@@ -44,10 +44,11 @@ def test_rate_flags_match_brute_force(spark):
 
 @pytest.fixture
 def log_files(spark, tmp_path):
-    """Three files read one after the other; the last row is far behind the watermark."""
+    """Files read one after the other; a row of the last one is far behind the watermark."""
     batches = [
         [("a", 0.0, 0.1), ("a", 10.0, 0.9), ("b", 20.0, 5.0)],
         [("a", 5000.0, 0.2), ("a", 5001.0, 0.2)],
+        [("a", 6000.0, 0.2)],
         [("a", 5.0, 9.9), ("b", 9000.0, 0.3)],
     ]
     seen = set()
