@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.kinds import kinds, ref
 from plumbline.operators.ordering import row_index
 from plumbline.operators.profile import loose_numeric_columns
+from plumbline.session import checkpointed
 
 FEATURES, LABEL, PREDICTION = "__features", "__label", "prediction_label"
 # Text features are hashed into this many slots, so the vector does not grow with the data.
@@ -186,7 +187,7 @@ def explain(model: TrainedModel, df: DataFrame, order_by: Sequence[str], k: int
     The values of one feature are moved along the row index by a fixed stride, the rows are scored
     again, and the loss of score is the importance of the feature.
     """
-    indexed = row_index(df, order_by, "__i")
+    indexed = checkpointed(row_index(df, order_by, "__i"))
     n = df.count()
     stride = max(n // 2 + n // 7 + 1, 1)
     target = ref(model.target)

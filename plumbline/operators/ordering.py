@@ -181,8 +181,13 @@ def directional_fill(
     partition_by: Sequence[str] = (),
     direction: str = "forward",
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    index: str | None = None,
 ) -> DataFrame:
-    """Replace nulls by the last (forward) or next (backward) non-null value in the given order."""
+    """Replace nulls by the last (forward) or next (backward) non-null value in the given order.
+
+    ``index`` names a column for the row number 0..n-1 of each key in that direction, which comes
+    from the same pass.
+    """
     if direction not in ("forward", "backward"):
         raise ValueError(f"unknown direction {direction!r}")
     forward = direction == "forward"
@@ -199,17 +204,26 @@ def directional_fill(
     place = F.struct(*[ref(c) for c in order_by])
     edge = F.max_by if forward else F.min_by
     ends = rows.groupBy(*[ref(k) for k in keys], B1, B2).agg(
-        *[edge(ref(c), F.when(ref(c).isNotNull(), place)).alias(f"__end_{i}") for i, c in enumerate(columns)]
+        F.count(F.lit(1)).alias("__rows"),
+        *[edge(ref(c), F.when(ref(c).isNotNull(), place)).alias(f"__end_{i}") for i, c in enumerate(columns)],
     )
     carry = ends.withColumns(
         {f"__carry_{i}": F.last(f"__end_{i}", ignorenulls=True).over(earlier) for i in range(len(columns))}
+        | ({"__offset": F.coalesce(F.sum("__rows").over(earlier), F.lit(0))} if index else {})
     )
     filled = rows.withColumns({f"__in_{i}": F.last(ref(c), ignorenulls=True).over(inside) for i, c in enumerate(columns)})
-    joined = _join_carry(filled, carry, keys, [f"__carry_{i}" for i in range(len(columns))])
+    carried = [f"__carry_{i}" for i in range(len(columns))]
+    if index:
+        numbering = Window.partitionBy(*[ref(k) for k in keys], B1, B2).orderBy(*order)
+        filled = filled.withColumn("__place", F.row_number().over(numbering) - 1)
+        carried.append("__offset")
+    joined = _join_carry(filled, carry, keys, carried)
+    number = [(F.col("__offset") + F.col("__place")).alias(index)] if index else []
     which = {c: i for i, c in enumerate(columns)}
     return joined.select(
         *[
             F.coalesce(F.col(f"__in_{which[c]}"), F.col(f"__carry_{which[c]}")).alias(c) if c in which else ref(c)
             for c in df.columns
-        ]
+        ],
+        *number,
     )

@@ -300,9 +300,8 @@ def column_types(df: DataFrame, order_by: Sequence[str], samples: int = 5) -> Da
             "dtype": type_of,
             "null_count": lambda c: F.count_if(ref(c).isNull()),
             "rows": lambda c: F.count(F.lit(1)),
-            "cardinality": lambda c: F.count_distinct(plain_text(ref(c), types[c])),
         },
-    )
+    ).join(F.broadcast(cardinality(df).drop("position").withColumnRenamed("distinct_values", "cardinality")), "column")
     out = stats.select(
         "position", "column", "dtype", "null_count",
         percent(F.col("null_count"), F.col("rows")).alias("null_percentage"), "cardinality",
@@ -328,12 +327,11 @@ def infer_types(df: DataFrame, order_by: Sequence[str], samples: int = 5) -> Dat
         {
             "rows": lambda c: F.count(F.lit(1)),
             "values": lambda c: F.count(ref(c)),
-            "distinct_values": lambda c: F.count_distinct(plain_text(ref(c), types[c])),
             "first_value": lambda c: _first_text(c, types[c], order_by),
             "avg_length": lambda c: F.avg(text_only(c, F.length).cast("double")),
             "numbers": lambda c: F.count(text_only(c, lambda v: as_number(F.regexp_replace(v, "[,$€]", ""))).cast("double")),
         },
-    )
+    ).join(F.broadcast(cardinality(df).drop("position")), "column")
     kind = _labels("column", {c: (kind_of(t),) for c, t in types.items()}, ("kind",))[0]
     ratio = F.coalesce(F.try_divide(F.col("distinct_values"), F.col("values")), F.lit(0.0))
     first = F.coalesce(F.col("first_value"), F.lit(""))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,6 +83,12 @@ def score(missing: Column, outliers: Column, duplicates: Column, pii: Column, ce
     return F.round(F.greatest(F.lit(0.0), F.lit(1.0) - penalty), 4)
 
 
+def _side_by_side(*rows: DataFrame) -> DataFrame:
+    """Tables of one row each as one row."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def quality_summary(columns: DataFrame, duplicates: DataFrame) -> DataFrame:
     """One row for the table from :func:`quality_columns` and :func:`duplicate_rows`."""
     totals = columns.agg(
@@ -91,9 +98,8 @@ def quality_summary(columns: DataFrame, duplicates: DataFrame) -> DataFrame:
         F.sum("outlier_count").alias("total_outliers"),
         F.count_if("has_pii").alias("pii_columns"),
         F.count(F.lit(1)).alias("total_columns"),
-    ).withColumn("one", F.lit(1))
-    pair = duplicates.select(F.lit(1).alias("one"), "duplicate_count", "duplicate_percentage")
-    return totals.join(F.broadcast(pair), "one").select(
+    )
+    return _side_by_side(totals, duplicates.select("duplicate_count", "duplicate_percentage")).select(
         "total_cells", "total_missing",
         percent(F.col("total_missing"), F.col("total_cells")).alias("missing_percentage"),
         "columns_with_missing", "total_outliers", "duplicate_count", "duplicate_percentage", "pii_columns",
@@ -116,11 +122,11 @@ def quality_metrics(df: DataFrame) -> DataFrame:
         F.coalesce(F.sum("rows"), F.lit(0)).alias("total_cells"),
         F.coalesce(F.sum("null_count"), F.lit(0)).alias("total_missing"),
         F.count_if(F.col("null_count") > 0).alias("columns_with_missing"),
-    ).withColumn("one", F.lit(1))
-    copies = duplicate_rows(df).select(F.lit(1).alias("one"), "rows", F.col("surplus_copies").alias("duplicate_rows"))
+    )
+    copies = duplicate_rows(df).select("rows", F.col("surplus_copies").alias("duplicate_rows"))
     missing = percent(F.col("total_missing"), F.col("total_cells"))
     spread = F.coalesce(F.try_divide(F.col("duplicate_rows"), F.col("rows")), F.lit(0.0)) * 0.1
-    return cells.join(F.broadcast(copies), "one").select(
+    return _side_by_side(cells, copies).select(
         "total_cells", "total_missing", missing.alias("missing_percentage"), "columns_with_missing", "duplicate_rows",
         F.greatest(F.lit(0.0), F.round(1 - missing / 100 - spread, 4)).alias("quality_score"),
     )

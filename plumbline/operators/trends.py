@@ -11,7 +11,7 @@ from plumbline.functions.fixed import TREND_DATE_FORMATS
 from plumbline.functions.kinds import kinds, numeric_columns, ref, temporal_columns
 from plumbline.functions.student_t import correlation_p_value
 from plumbline.functions.text import matches_any, parse_time
-from plumbline.operators.ordering import directional_fill, row_index
+from plumbline.operators.ordering import directional_fill
 from plumbline.operators.wide import per_column
 
 PERIODS = ("day", "week", "month", "quarter", "year")
@@ -67,8 +67,7 @@ def linear_trend(df: DataFrame, order_by: Sequence[str], columns: Sequence[str]
     columns = list(columns or [c for c in numeric_columns(df) if c != order_by[0]])[:MAX_TREND_COLUMNS]
     size = {"rows_per_bucket": rows_per_bucket} if rows_per_bucket else {}
     rows = df.select(*dict.fromkeys([*order_by, *columns]))
-    rows = directional_fill(rows, [c for c in columns if c not in order_by], order_by, **size)
-    rows = row_index(rows, order_by, "x", **size)
+    rows = directional_fill(rows, [c for c in columns if c not in order_by], order_by, index="x", **size)
     x = F.col("x").cast("double")
     v = lambda c: ref(c).cast("double")
     found = per_column(

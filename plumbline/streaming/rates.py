@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from plumbline.functions.fixed import RATE_LIMIT_DEFAULT, RATE_LIMITS, RATE_WINDOW_SECONDS
 from plumbline.functions.kinds import ref
 from plumbline.operators.ordering import directional_fill
+from plumbline.session import checkpointed
 
 # Length, in windows, of the time slices into which the requests of one key are divided.
 SLICE_WINDOWS = 10
@@ -106,7 +107,7 @@ def rate_decisions(
     calm = ahead.filter("__over_ahead = 0").withColumn("allowed", F.lit(True))
     busy = _sliding_sum(ahead.filter("__over_ahead > 0"), F.lit(1), -span + 1, -1, "__earlier")
     busy = busy.withColumn("__spell", F.when(F.col("__earlier") == 0, F.col("__at")))
-    busy = directional_fill(busy, ["__spell"], ["__at", tie], ["__pair"])
+    busy = directional_fill(checkpointed(busy), ["__spell"], ["__at", tie], ["__pair"])
     names = [*log.columns, "max_requests"]
     sorted_spells = busy.repartition("__pair", "__spell").sortWithinPartitions("__pair", "__spell", "__at", tie)
     schema = T.StructType([*sorted_spells.schema.fields, T.StructField("allowed", T.BooleanType())])
