@@ -148,11 +148,17 @@ def schema_summary(profile: DataFrame) -> DataFrame:
     )
 
 
-def univariate_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+TAILS = {"p1": 0.01, "p5": 0.05, "p10": 0.1, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+
+
+def univariate_stats(
+    df: DataFrame, columns: Sequence[str] | None = None, quantiles: dict[str, float] | None = None
+) -> DataFrame:
     """Moments, extremes and quartiles of every numeric column; columns without values are left out.
 
     Skewness and excess kurtosis are the population forms, 0 for fewer than three values and null
-    for a constant column, where they are undefined.
+    for a constant column, where they are undefined. ``quantiles`` adds further named fractions.
     """
     columns = list(columns or numeric_columns(df))
     x = lambda c: ref(c).cast("double")
@@ -168,16 +174,18 @@ def univariate_stats(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
             "skewness": lambda c: F.when(F.count(ref(c)) <= 2, F.lit(0.0)).otherwise(F.skewness(x(c))),
             "kurtosis": lambda c: F.when(F.count(ref(c)) <= 2, F.lit(0.0)).otherwise(F.kurtosis(x(c))),
             "zero_count": lambda c: F.count_if(x(c) == 0),
+            "inf_count": lambda c: F.count_if(F.abs(x(c)) == float("inf")),
             "null_count": lambda c: F.count_if(ref(c).isNull()),
             "count": lambda c: F.count(ref(c)),
         },
     )
-    quartiles = quantile_table(df, columns, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    return (
+    fractions = quantile_table(df, columns, {**QUARTILES, **(quantiles or {})})
+    out = (
         stats.filter(F.col("count") > 0)
-        .join(F.broadcast(quartiles), "column")
+        .join(F.broadcast(fractions), "column")
         .withColumn("iqr", F.col("q3") - F.col("q1"))
     )
+    return out if quantiles else out.drop("inf_count")
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -191,13 +199,16 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Most frequent value of each numeric column and its count; the smallest value wins a tie."""
-    best = F.min(F.struct((-F.col("n")).alias("m"), F.col("value")))
-    return (
-        value_counts(df, columns)
-        .groupBy("column")
-        .agg(best.alias("b"))
-        .select("column", F.col("b.value").alias("mode"), (-F.col("b.m")).alias("mode_count"))
-    )
+    best = F.min(F.struct((-F.col("n")).alias("m"), F.col("value"))).alias("b")
+    if is_plain_scan(df):
+        counts = [
+            df.select(ref(c).cast("double").alias("value")).filter("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+            for c in columns
+        ]
+        found = reduce(DataFrame.unionByName, [n.agg(best).select(F.lit(c).alias("column"), "b") for c, n in zip(columns, counts)])
+    else:
+        found = value_counts(df, columns).groupBy("column").agg(best)
+    return found.select("column", F.col("b.value").alias("mode"), (-F.col("b.m")).alias("mode_count"))
 
 
 def univariate_detailed(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -206,20 +217,12 @@ def univariate_detailed(df: DataFrame, columns: Sequence[str] | None = None) ->
     Computed for columns with at least two values.
     """
     columns = list(columns or numeric_columns(df))
-    basic = univariate_stats(df, columns)
-    tails = quantile_table(df, columns, {"p1": 0.01, "p5": 0.05, "p10": 0.1, "p90": 0.9, "p95": 0.95, "p99": 0.99})
-    infinite = per_column(
-        df, columns, {"inf_count": lambda c: F.count_if(F.abs(ref(c).cast("double")) == float("inf"))}
-    )
+    variation = F.coalesce(F.round(F.try_divide(F.col("std"), F.abs(F.col("mean"))), 4), F.lit(0.0))
     return (
-        basic.filter(F.col("count") >= 2)
-        .join(F.broadcast(tails), "column")
+        univariate_stats(df, columns, TAILS)
+        .filter(F.col("count") >= 2)
         .join(F.broadcast(modes(df, columns)), "column")
-        .join(F.broadcast(infinite.drop("position")), "column")
-        .withColumn(
-            "cv", F.coalesce(F.round(F.try_divide(F.col("std"), F.abs(F.col("mean"))), 4), F.lit(0.0))
-        )
-        .withColumn("range", F.col("max") - F.col("min"))
+        .withColumns({"cv": variation, "range": F.col("max") - F.col("min")})
     )
 
 
