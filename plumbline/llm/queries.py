@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm import language, packing, private
+from plumbline.llm import jaccard, language, packing, private
 
 
 def load(spark, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def _op7(spark, sf_dir):
     return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _op8(spark, sf_dir):
+    return jaccard.join(load(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def _op9(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     model = language.fit(docs.filter(remainder("doc_id", 4) != 2))
@@ -36,6 +40,7 @@ def _op9(spark, sf_dir):
 QUERIES = {
     "op4_pii": _op4,
     "op7_pack": _op7,
+    "op8_jaccard": _op8,
     "op9_language": _op9,
 }
 SQL: dict[str, str] = {}
