@@ -125,7 +125,7 @@ def memberships(sets: DataFrame, buckets: int) -> DataFrame:
             blobs = [rows[a:b].tobytes() for a, b in zip(begins, [*begins[1:], len(rows)])]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
 
-    def gather(key, table: pa.Table) -> pa.Table:
+    def gather(key, table):
         rows = np.unique(np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRY))
         same = np.diff(rows["key"].astype(np.int64), prepend=-1) == 0
         shared = same | np.r_[same[1:], False]
@@ -148,7 +148,7 @@ def edges_table(pairs: list[tuple[bytes, bytes]]) -> pa.Table:
 def coarse_edges(members: DataFrame, signs: DataFrame, percent: int, shards: int) -> DataFrame:
     """Pairs of one list that the signature trees leave open, as few as connect all of them."""
 
-    def compare(key, table: pa.Table) -> pa.Table:
+    def compare(key, table):
         table = table.sort_by("list")
         lists, ids = table.column("list").to_numpy(), table.column("id").to_pylist()
         sizes, bits = table.column("n").to_numpy(), table.column("bits").to_pylist()
@@ -181,7 +181,7 @@ def exact_edges(sets: DataFrame, percent: int, shards: int, block: int) -> DataF
     single = F.pmod(F.xxhash64("component"), F.lit(shards))
     rows = rows.withColumn("shard", F.when(F.col("blocks") > 1, F.xxhash64("component", "low", "high") * 2 + 1).otherwise(single * 2))
 
-    def compare(key, table: pa.Table) -> pa.Table:
+    def compare(key, table):
         table = table.sort_by([("component", "ascending"), ("low", "ascending"), ("high", "ascending"), ("id", "ascending")])
         group = list(zip(*(table.column(c).to_pylist() for c in ("component", "low", "high"))))
         ids, own, hashes, known = (table.column(c).to_pylist() for c in ("id", "block", "hashes", "known"))
