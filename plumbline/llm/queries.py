@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm import jaccard, language, packing, private
+from plumbline.llm import jaccard, language, packing, private, winnowing
 
 
 def load(spark, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,33 @@ def _op4(spark, sf_dir):
     return private.digests(private.detect(load(spark, sf_dir, "documents")))
 
 
+def _op6(spark, sf_dir):
+    found = winnowing.find(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return winnowing.summaries(found)
+
+
+_OP6_SQL = """
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents
+), b AS (
+    SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+), windows AS (
+    SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS g
+    FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 11))) AS i FROM b WHERE len(w) > 0)
+), spots AS (
+    SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS g
+    FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+), hits AS (SELECT r, i, spots.n, item_id FROM spots JOIN windows USING (n, g)
+), words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM hits)) GROUP BY r
+), items AS (
+    SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+
 def _op7(spark, sf_dir):
     return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -39,8 +66,11 @@ def _op9(spark, sf_dir):
 
 QUERIES = {
     "op4_pii": _op4,
+    "op6_decontaminate": _op6,
     "op7_pack": _op7,
     "op8_jaccard": _op8,
     "op9_language": _op9,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_decontaminate": _OP6_SQL,
+}
