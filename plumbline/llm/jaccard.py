@@ -229,8 +229,8 @@ def verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "left", "right").mapInArrow(run, EDGE)
 
 
-def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id``.
+def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, keep_text_hash: bool = False) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id``, with ``keep_text_hash`` also ``component, text_hash``.
 
     Words are lower-cased (A to Z) runs of visible characters, a set holds the distinct shingles of
     ``words`` words; a shorter text is one shingle. ``component_id`` is the least ``doc_id`` reachable
@@ -267,8 +267,9 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
         left = labelled.join(split, "component", "left_semi").join(sets, "id")
         exact = exact_edges(left, percent, shards, block).unionAll(sure)
     final = stored(components(exact), "shingle-components")
-    placed = described_rows.filter("n > 0").select("doc_id", "n", "id").join(final, "id", "left")
+    placed = described_rows.filter("n > 0").select("doc_id", "n", "id", "text_hash").join(final, "id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "id"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    with_words = placed.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return with_words.unionAll(described_rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    wordless = described_rows.filter("n = 0").withColumn("component", F.col("id")).withColumn("component_id", F.col("doc_id"))
+    names = ["doc_id", F.col("n").alias("n_shingles"), "component_id"] + (["component", "text_hash"] if keep_text_hash else [])
+    return placed.join(least, "component").select(*names).unionAll(wordless.select(*names))

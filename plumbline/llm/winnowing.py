@@ -149,27 +149,28 @@ def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[s
     yield rows
 
 
-def _scan(rows: DataFrame, index: Index) -> DataFrame:
-    """``rows`` (doc_id, text, n_words, hits) with the hits of one block of items added."""
+def _scan(rows: DataFrame, index: Index, text_col: str) -> DataFrame:
+    """``rows``, whose last columns are n_words and hits, with the hits of one block of items added."""
+    place, names = rows.columns.index(text_col), rows.columns
     shared = rows.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
         own = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
-                texts = part.column("text").to_pylist()
+            for part in slices(batch, place):
+                texts = part.column(place).to_pylist()
                 hashes, counts = word_hashes(texts, ALPHANUMERIC)
-                hits = part.column("hits").to_pylist()
+                hits = part.column(part.num_columns - 1).to_pylist()
                 for row, met in own.meetings(hashes, counts).items():
                     for number, start, end in sorted(own.spans(words_of(texts[row]), met)):
                         hits[row] = (hits[row] or []) + [{"item_id": item, "start": start, "end": end} for item in own.items[number]]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(counts.astype(np.int64)), pa.array(hits, ARROW_HITS)], names=["doc_id", "text", "n_words", "hits"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(counts.astype(np.int64)), pa.array(hits, ARROW_HITS)], names=names)
 
     return rows.mapInArrow(run, rows.schema)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, text, n_words, hits`` of every row: the spans of words it shares with benchmark items.
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep: bool = False) -> DataFrame:
+    """``doc_id, text`` (all columns with ``keep``) and ``n_words, hits`` of every row: the spans of words it shares with benchmark items.
 
     A span (``item_id, start, end`` in words, end exclusive) is as long as both sides agree and has
     ``window`` words at least, or is a whole shorter item. ``hits`` is empty or null where nothing is
@@ -179,10 +180,10 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str =
     """
     if window < GRAM:
         raise ValueError(f"window must be at least {GRAM}")
-    source = narrowed(docs, doc_id=id_col, text=text_col)
-    rows = source.select("doc_id", "text", F.lit(None).cast("long").alias("n_words"), F.lit(None).cast(HITS).alias("hits"))
+    source = docs if keep else narrowed(docs, doc_id=id_col, text=text_col)
+    rows = source.select("*", F.lit(None).cast("long").alias("n_words"), F.lit(None).cast(HITS).alias("hits"))
     for k, block in enumerate(item_blocks(narrowed(benchmark, item_id=item_col, text=item_text_col), block_bytes)):
-        rows = _scan(stored(rows, "winnowed") if k else rows, Index.build(block, window))
+        rows = _scan(stored(rows, "winnowed") if k else rows, Index.build(block, window), text_col if keep else "text")
     return rows
 
 
@@ -195,26 +196,37 @@ def covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def summaries(found: DataFrame) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` from :func:`find`."""
-    schema = T.StructType([
-        column_field(found, "doc_id"), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
-        T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()),
-    ])
+SUMMARY = [
+    T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
+    T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()),
+]
+
+
+def marked(found: DataFrame) -> DataFrame:
+    """The rows of :func:`find` with ``n_hit, n_items, items_sha256, contaminated`` in place of the hits.
+
+    ``contaminated``: at least a twentieth of the words, and at least one, stand in shared spans.
+    """
+    schema = T.StructType(found.schema.fields[:-1] + SUMMARY)
 
     def run(batches):
         for batch in batches:
-            rows = [row or [] for row in batch.column("hits").to_pylist()]
-            words = batch.column("n_words").to_pylist()
+            rows = [row or [] for row in batch.column(batch.num_columns - 1).to_pylist()]
+            words = batch.column(batch.num_columns - 2).to_pylist()
             hit = [covered([(s["start"], s["end"]) for s in row]) for row in rows]
             items = [sorted({s["item_id"] for s in row}) for row in rows]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
+                    *batch.columns[:-1], pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
                     pa.array([h > 0 and 20 * h >= n for h, n in zip(hit, words)], pa.bool_()),
                 ],
                 names=schema.names,
             )
 
-    return found.select("doc_id", "n_words", "hits").mapInArrow(run, schema)
+    return found.mapInArrow(run, schema)
+
+
+def summaries(found: DataFrame) -> DataFrame:
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` from :func:`find`."""
+    return marked(found.select("doc_id", "n_words", "hits"))
