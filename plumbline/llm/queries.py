@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm import jaccard, language, packing, private, winnowing
+from plumbline.llm import jaccard, language, packing, private, rules, winnowing
 
 
 def load(spark, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,39 @@ def remainder(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def _op2(spark, sf_dir):
+    found = rules.judged(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _texts(values: list[str]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+_OP2_SQL = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+    FROM documents
+), windows AS (
+    SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)
+), repeated AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM windows) WHERE n >= 2
+), words AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM repeated) GROUP BY r
+), m AS (
+    SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+           len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines,
+           len(list_filter(w, lambda x: lower(x) IN ({_texts(sorted({w for words in rules.STOP_WORDS.values() for w in words}))}))) AS n_stop,
+           len(list_filter(w, lambda x: x = upper(x) AND x <> lower(x))) AS n_capital
+    FROM d LEFT JOIN words USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words AND word_chars / n_words BETWEEN 2.0 AND 15.0 AND n_symbols / n_words <= 0.25
+       AND n_stop / n_words >= 0.02 AND n_dup_lines / n_lines <= 0.5 AND n_capital / n_words <= 0.7 AS kept
+FROM m
+"""
+
+
 def _op4(spark, sf_dir):
     return private.digests(private.detect(load(spark, sf_dir, "documents")))
 
@@ -65,6 +98,7 @@ def _op9(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_rules": _op2,
     "op4_pii": _op4,
     "op6_decontaminate": _op6,
     "op7_pack": _op7,
@@ -72,5 +106,6 @@ QUERIES = {
     "op9_language": _op9,
 }
 SQL: dict[str, str] = {
+    "op2_rules": _OP2_SQL,
     "op6_decontaminate": _OP6_SQL,
 }
