@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm import jaccard, language, packing, private, rules, winnowing
+from plumbline.llm import jaccard, language, packing, private, quality, rules, winnowing
 
 
 def load(spark, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +97,13 @@ def _op9(spark, sf_dir):
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def _op10(spark, sf_dir):
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.filter(remainder("doc_id", 5) != 0))
+    found = quality.score(docs, model)
+    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES = {
     "op2_rules": _op2,
     "op4_pii": _op4,
@@ -104,6 +111,7 @@ QUERIES = {
     "op7_pack": _op7,
     "op8_jaccard": _op8,
     "op9_language": _op9,
+    "op10_quality": _op10,
 }
 SQL: dict[str, str] = {
     "op2_rules": _OP2_SQL,
