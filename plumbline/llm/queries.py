@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm import jaccard, language, packing, private, quality, rules, winnowing
+from plumbline.llm import fixity, jaccard, language, lists, packing, private, quality, rules, winnowing
 
 
 def load(spark, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,34 @@ def remainder(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+# The second replica has changed records and has lost some; the first has lost others.
+_CHANGED, _LOST_RIGHT, _LOST_LEFT = "page_id % 101 = 7", "page_id % 211 = 13", "page_id % 307 = 5"
+
+
+def _op1(spark, sf_dir):
+    whole = fixity.records(load(spark, sf_dir, "pages"))
+    left = whole.filter(f"NOT coalesce({_LOST_LEFT}, false)")
+    right = whole.filter(f"NOT coalesce({_LOST_RIGHT}, false)").withColumn("record", F.expr(f"CASE WHEN {_CHANGED} THEN concat(substr(record, 2), substr(record, 1, 1)) ELSE record END"))
+    return fixity.audit(left, right).fillna(0, ["left_length", "right_length"])
+
+
+_OP1_SQL = f"""
+WITH pieces AS (
+    SELECT page_id, CAST(CAST(floor(page_id / 500) AS BIGINT) AS VARCHAR) AS file,
+           'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
+           || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record
+    FROM pages
+), records AS (SELECT page_id, file, record, CAST(sum(strlen(record)) OVER (PARTITION BY file ORDER BY page_id, sha256(record) ROWS UNBOUNDED PRECEDING) - strlen(record) AS BIGINT) AS "offset" FROM pieces
+), l AS (SELECT file, "offset", strlen(record) AS left_length, sha256(record) AS left_sha256 FROM records WHERE NOT ({_LOST_LEFT})
+), r AS (
+    SELECT file, "offset", strlen(record) AS right_length, sha256(CASE WHEN {_CHANGED} THEN substr(record, 2) || substr(record, 1, 1) ELSE record END) AS right_sha256
+    FROM records WHERE NOT ({_LOST_RIGHT})
+)
+SELECT file, "offset", CASE WHEN right_sha256 IS NULL THEN 'missing' WHEN left_sha256 IS NULL THEN 'extra' ELSE 'changed' END AS status, coalesce(left_length, 0) AS left_length, coalesce(right_length, 0) AS right_length, left_sha256, right_sha256
+FROM l FULL JOIN r USING (file, "offset") WHERE left_sha256 IS DISTINCT FROM right_sha256
+"""
+
+
 def _op2(spark, sf_dir):
     found = rules.judged(load(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -55,6 +83,45 @@ def _op4(spark, sf_dir):
     return private.digests(private.detect(load(spark, sf_dir, "documents")))
 
 
+# Fetch days and list entries are made from the pages: each host, and some domains above it, is listed, taken off and allowed on days that its first page's number gives.
+_ENTRIES = """
+    SELECT host AS domain, {first} AS listed_on, 'block' AS action FROM hosts WHERE k % 3 = 0
+    UNION ALL SELECT host, {removed}, 'remove' FROM hosts WHERE k % 6 = 0
+    UNION ALL SELECT host, {allowed}, 'allow' FROM hosts WHERE k % 9 = 0
+    UNION ALL SELECT regexp_replace(host, '^[^.]+[.]', ''), {above}, 'block' FROM hosts WHERE k % 5 = 1
+"""
+
+
+def _op5(spark, sf_dir):
+    pages = load(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.expr("date_add(DATE '2024-01-01', CAST(page_id * 37 % 366 AS INT))").alias("fetched_on"))
+    hosts = pages.select(lists.host_of(F.col("url")).alias("host"), "page_id").groupBy("host").agg(F.min("page_id").alias("k"))
+    day = "date_add(DATE '2024-01-01', CAST({} AS INT))".format
+    entries = spark.sql(_ENTRIES.format(first=day("k % 200"), removed=day("k % 200 + 40 + k % 30"), allowed=day("k % 200 + 120"), above=day("k % 300")).replace("hosts", "{hosts}"), hosts=hosts)
+    return lists.judged(captures, entries).withColumn("fetched_on", F.date_format("fetched_on", "yyyy-MM-dd"))
+
+
+_DAY = "DATE '2024-01-01' + CAST({} AS INTEGER)".format
+_OP5_SQL = f"""
+WITH captures AS (
+    SELECT page_id, {_DAY("page_id * 37 % 366")} AS fetched_on, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '') AS host FROM pages
+), hosts AS (SELECT host, min(page_id) AS k FROM captures GROUP BY host
+), entries AS ({_ENTRIES.format(first=_DAY("k % 200"), removed=_DAY("k % 200 + 40 + k % 30"), allowed=_DAY("k % 200 + 120"), above=_DAY("k % 300"))}
+), daily AS (SELECT domain, listed_on, max(CASE action WHEN 'remove' THEN 1 WHEN 'block' THEN 2 ELSE 3 END) AS rank FROM entries GROUP BY ALL
+), spans AS (SELECT domain, rank, listed_on, lead(listed_on) OVER (PARTITION BY domain ORDER BY listed_on) AS ended_on FROM daily
+), parts AS (
+    SELECT page_id, fetched_on, host, array_to_string(string_split(host, '.')[i:], '.') AS domain
+    FROM (SELECT *, unnest(range(1, greatest(len(string_split(host, '.')), 2))) AS i FROM captures WHERE host IS NOT NULL)
+), active AS (
+    SELECT page_id, count(*) AS n_active, arg_max(struct_pack(domain := parts.domain, rank := rank), length(parts.domain)) AS best
+    FROM parts JOIN spans ON parts.domain = spans.domain AND rank > 1 AND listed_on <= fetched_on AND (ended_on IS NULL OR fetched_on < ended_on) GROUP BY page_id
+)
+SELECT page_id, host, strftime(fetched_on, '%Y-%m-%d') AS fetched_on, coalesce(n_active, 0) AS n_active, best.domain AS decided_by,
+       CASE best.rank WHEN 2 THEN 'block' WHEN 3 THEN 'allow' END AS action, coalesce(best.rank = 2, false) AS blocked
+FROM captures LEFT JOIN active USING (page_id)
+"""
+
+
 def _op6(spark, sf_dir):
     found = winnowing.find(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     return winnowing.summaries(found)
@@ -105,8 +172,10 @@ def _op10(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_fixity": _op1,
     "op2_rules": _op2,
     "op4_pii": _op4,
+    "op5_lists": _op5,
     "op6_decontaminate": _op6,
     "op7_pack": _op7,
     "op8_jaccard": _op8,
@@ -114,6 +183,8 @@ QUERIES = {
     "op10_quality": _op10,
 }
 SQL: dict[str, str] = {
+    "op1_fixity": _OP1_SQL,
     "op2_rules": _OP2_SQL,
+    "op5_lists": _OP5_SQL,
     "op6_decontaminate": _OP6_SQL,
 }
