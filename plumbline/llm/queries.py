@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm import fixity, jaccard, language, lists, packing, private, quality, rules, winnowing
+from plumbline.llm import fixity, jaccard, language, lists, packing, private, quality, repeats, rules, winnowing
 
 
 def load(spark, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,10 @@ FROM m
 """
 
 
+def _op3(spark, sf_dir):
+    return repeats.digests(load(spark, sf_dir, "documents"))
+
+
 def _op4(spark, sf_dir):
     return private.digests(private.detect(load(spark, sf_dir, "documents")))
 
@@ -174,6 +178,7 @@ def _op10(spark, sf_dir):
 QUERIES = {
     "op1_fixity": _op1,
     "op2_rules": _op2,
+    "op3_repeats": _op3,
     "op4_pii": _op4,
     "op5_lists": _op5,
     "op6_decontaminate": _op6,

@@ -7,6 +7,7 @@ import numpy as np
 _MIX = np.random.Generator(np.random.PCG64(20250101))
 _BYTE = _MIX.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _STEPS = _MIX.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -51,3 +52,13 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         total = mixed(total * _STEPS[0]) + hashes[k : k + size]
     return mixed(total)
+
+
+def byte_gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` bytes: differences of running sums of powers, brought to one power."""
+    if len(data) < n:
+        return np.zeros(0, np.uint64)
+    up = np.r_[np.uint64(1), np.cumprod(np.full(len(data), _BASE), dtype=np.uint64)]
+    down = np.r_[np.uint64(1), np.cumprod(np.full(len(data), _BASE_INVERSE), dtype=np.uint64)]
+    sums = np.r_[np.uint64(0), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)]
+    return mixed((sums[n:] - sums[:-n]) * down[: len(data) - n + 1])
