@@ -26,6 +26,7 @@ GRAM = 64
 #: Bytes of anchors that one task sorts, and of segments that one task builds suffixes of.
 ANCHOR_BYTES, SEGMENT_BYTES = 8 << 20, 2 << 20
 
+LOW_HALF = np.uint64(0xFFFFFFFF)
 ANCHOR = np.dtype([("anchor", "<u8"), ("text", "<u8"), ("start", "<u4"), ("runs", "u1")])
 SEGMENT = np.dtype([("start", "<u4"), ("runs", "u1"), ("anchor", "<u8")])
 
@@ -40,29 +41,28 @@ def sliding_least(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, text number, first run and number of runs of every segment; a segment has no more runs than anchors can share."""
+    """Anchor, text number, first run and number of runs of every segment, all of whose runs have one and the same gram as anchor."""
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     begins = ends - sizes
     runs = np.maximum(0, sizes - length + 1)
     if not runs.any():
         return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
-    window = length - GRAM + 1
-    least = sliding_least(byte_gram_hashes(np.frombuffer(b"".join(texts), np.uint8), GRAM), window)
+    hashes = byte_gram_hashes(np.frombuffer(b"".join(texts), np.uint8), GRAM)
+    # The least gram of a run is told by the upper half of its hash, and of several by the last one.
+    place = np.arange(len(hashes), dtype=np.uint64)
+    least = sliding_least(hashes & ~LOW_HALF | LOW_HALF - place, length - GRAM + 1)
+    at = (LOW_HALF - (least & LOW_HALF)).astype(np.int64)
     own = np.flatnonzero(runs)
-    inside = np.zeros(len(least) + 1, np.int32)
+    inside = np.zeros(len(at) + 1, np.int32)
     np.add.at(inside, begins[own], 1)
     np.add.at(inside, begins[own] + runs[own], -1)
-    first = np.r_[True, least[1:] != least[:-1]]
+    first = np.r_[True, at[1:] != at[:-1]]
     first[begins[own]] = True
     starts = np.flatnonzero(first & (np.cumsum(inside[:-1]) > 0))
     text = np.searchsorted(ends, starts, "right")
-    stops = np.minimum(np.r_[starts[1:], len(least)], begins[text] + runs[text])
-    # A run of equal anchors longer than the window comes from periodic bytes; it is cut.
-    parts = -(-(stops - starts) // window)
-    at = np.repeat(starts, parts) + window * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
-    text, stops = np.repeat(text, parts), np.repeat(stops, parts)
-    return least[at], text, at - begins[text], np.minimum(stops - at, window)
+    stops = np.minimum(np.r_[starts[1:], len(at)], begins[text] + runs[text])
+    return hashes[at[starts]], text, starts - begins[text], stops - starts
 
 
 def anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
