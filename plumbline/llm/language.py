@@ -16,11 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import column_field, narrowed, slices
+from plumbline.llm.common import narrowed, slices, whole_rows
 
 ORDER = 3
 LETTER = re.compile(r"[^\W\d_]")
@@ -79,13 +79,17 @@ def context_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def training_rows(docs: DataFrame, docs_per_language: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+def training_rows(docs: DataFrame, docs_per_language: int, max_languages: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """At most about ``docs_per_language`` rows of each language, chosen by a hash of the id and the text."""
     rows = narrowed(docs, doc_id=id_col, text=text_col, lang=lang_col).filter("text IS NOT NULL AND lang IS NOT NULL")
-    rate = F.least(F.lit(1.0), F.lit(float(docs_per_language)) / F.count("*"))
-    rates = narrowed(docs, lang=lang_col, text=text_col).filter("text IS NOT NULL AND lang IS NOT NULL").groupBy("lang").agg(rate.alias("rate"))
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return rows.join(rates, "lang").filter(drawn < F.col("rate")).select("lang", "text")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003))
+    chosen = F.lit(False)
+    for lang, n in sorted(counts):
+        chosen |= (F.col("lang") == lang) & (drawn < int(min(1.0, docs_per_language / n) * 1_000_003))
+    return rows.filter(chosen).select("lang", "text")
 
 
 def fit(docs: DataFrame, docs_per_language: int = 400, max_languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -95,12 +99,9 @@ def fit(docs: DataFrame, docs_per_language: int = 400, max_languages: int = 64,
     ``max_languages`` languages are refused. Rows without text or language teach nothing. A table
     without any teaching row gives a model without languages.
     """
-    rows = context_counts(training_rows(docs, docs_per_language, id_col, text_col, lang_col))
+    rows = context_counts(training_rows(docs, docs_per_language, max_languages, id_col, text_col, lang_col))
     table = rows.toPandas()
-    languages = sorted(table["lang"].unique())
-    if len(languages) > max_languages:
-        raise ValueError(f"{len(languages)} languages, at most {max_languages} are allowed")
-    return freeze(languages, table["lang"].to_numpy(), table["gram"].to_numpy(np.int64), table["n"].to_numpy(np.int64))
+    return freeze(sorted(table["lang"].unique()), table["lang"].to_numpy(), table["gram"].to_numpy(np.int64), table["n"].to_numpy(np.int64))
 
 
 def freeze(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
@@ -168,25 +169,21 @@ def _charges(gram, n, symbols, width, first, two, last, short, triples) -> np.nd
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """``lang_pred, score, bits_per_byte`` of every row after its ``doc_id`` (all columns of the row with ``keep``).
+    """``lang_pred, score, bits_per_byte`` of every row after its ``doc_id`` (with ``keep`` after the whole ``row``).
 
     ``score`` is the share of the best language if all were equally likely before: 1 divided by the sum of
     ``2 ** -(its code length over the best)``. A null text, or one without any letter, is ``und`` with score 0
     and no bits; so is every text under a model without languages. Rows are neither merged nor dropped.
     """
-    source = docs if keep else narrowed(docs, doc_id=id_col, text=text_col)
-    at = source.columns.index(text_col if keep else "text")
-    head = list(source.schema.fields) if keep else [column_field(source, "doc_id")]
-    schema = T.StructType(head + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
+    source = docs.select(whole_rows(docs).alias("row") if keep else F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    schema = T.StructType([source.schema[0], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
     frozen = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         own = frozen.value
         for batch in batches:
-            names = list(batch.schema.names)
-            names[at] = "\0text"
-            for part in slices(batch.rename_columns(names), "\0text"):
-                texts = part.column(at).to_pylist()
+            for part in slices(batch, "text"):
+                texts = part.column("text").to_pylist()
                 coded = [b"\0" * ORDER + t.encode("utf-8", "replace") if own.languages and t and LETTER.search(t) else b"" for t in texts]
                 sizes = np.array([max(0, len(c) - ORDER) for c in coded], np.int64)
                 ends = np.cumsum([len(c) for c in coded])
@@ -200,7 +197,6 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                         best[row] = own.languages[k]
                     score[asked] = 1 / np.exp2(-np.minimum(bits - shortest[:, None], 1000)).sum(1)
                     bpb[asked] = shortest / sizes[asked]
-                lead = part.columns if keep else [part.column(0)]
-                yield pa.RecordBatch.from_arrays([*lead, pa.array(best, pa.string()), pa.array(score), pa.array(bpb, from_pandas=True)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.string()), pa.array(score), pa.array(bpb, from_pandas=True)], names=schema.names)
 
     return source.mapInArrow(run, schema)
