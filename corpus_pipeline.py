@@ -16,7 +16,7 @@ MOST_BITS = 6.5
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents written in a language that the labelled ones teach; texts without letters and noise go."""
     found = language.predict(docs, language.fit(docs), keep=True)
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("bits_per_byte") <= MOST_BITS)).select(*docs.columns)
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("bits_per_byte") <= MOST_BITS)).select("row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth stands in passages of benchmark items."""
     found = winnowing.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=True)
-    return winnowing.marked(found).filter("NOT contaminated").select(*docs.columns)
+    return winnowing.marked(found.drop("text")).filter("NOT contaminated").select("row.*")
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

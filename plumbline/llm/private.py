@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from plumbline.llm.common import column_field, narrowed
+from plumbline.llm.common import column_field, narrowed, whole_rows
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn", "local_phone")
@@ -166,14 +166,16 @@ def redact(text: str | None, min_score: float = 0.6) -> str | None:
 
 def mask(docs: DataFrame, min_score: float = 0.6, text_col: str = "text") -> DataFrame:
     """The same rows and columns with the personal data of the text column replaced; nulls stay null."""
-    place = docs.columns.index(text_col)
+    rows = docs.select(whole_rows(docs).alias("row"))
 
     def run(batches):
         for batch in batches:
-            texts = pa.array([redact(t, min_score) for t in batch.column(place).to_pylist()], batch.schema.field(place).type)
-            yield pa.RecordBatch.from_arrays([texts if k == place else c for k, c in enumerate(batch.columns)], schema=batch.schema)
+            row = batch.column("row")
+            texts = pa.array([redact(t, min_score) for t in row.field(text_col).to_pylist()], row.type.field(text_col).type)
+            columns = [texts if f.name == text_col else row.field(f.name) for f in row.type]
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=list(row.type))], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).select("row.*")
 
 
 def joined(spans: list) -> str:

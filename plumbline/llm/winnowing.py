@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import column_field, narrowed, slices, stored
+from plumbline.llm.common import narrowed, slices, stored, whole_rows
 from plumbline.llm.words import ALPHANUMERIC, gram_hashes, word_hashes
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -149,16 +149,16 @@ def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[s
     yield rows
 
 
-def _scan(rows: DataFrame, index: Index, text_col: str) -> DataFrame:
-    """``rows``, whose last columns are n_words and hits, with the hits of one block of items added."""
-    place, names = rows.columns.index(text_col), rows.columns
+def _scan(rows: DataFrame, index: Index) -> DataFrame:
+    """``rows``, whose last columns are text, n_words and hits, with the hits of one block of items added."""
+    names = rows.columns
     shared = rows.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
         own = shared.value
         for batch in batches:
-            for part in slices(batch, place):
-                texts = part.column(place).to_pylist()
+            for part in slices(batch, "text"):
+                texts = part.column("text").to_pylist()
                 hashes, counts = word_hashes(texts, ALPHANUMERIC)
                 hits = part.column(part.num_columns - 1).to_pylist()
                 for row, met in own.meetings(hashes, counts).items():
@@ -170,7 +170,7 @@ def _scan(rows: DataFrame, index: Index, text_col: str) -> DataFrame:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep: bool = False) -> DataFrame:
-    """``doc_id, text`` (all columns with ``keep``) and ``n_words, hits`` of every row: the spans of words it shares with benchmark items.
+    """``doc_id`` (with ``keep`` the whole ``row``), ``text, n_words, hits`` of every row: the spans of words it shares with benchmark items.
 
     A span (``item_id, start, end`` in words, end exclusive) is as long as both sides agree and has
     ``window`` words at least, or is a whole shorter item. ``hits`` is empty or null where nothing is
@@ -180,10 +180,10 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str =
     """
     if window < GRAM:
         raise ValueError(f"window must be at least {GRAM}")
-    source = docs if keep else narrowed(docs, doc_id=id_col, text=text_col)
+    source = docs.select(whole_rows(docs).alias("row") if keep else F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = source.select("*", F.lit(None).cast("long").alias("n_words"), F.lit(None).cast(HITS).alias("hits"))
     for k, block in enumerate(item_blocks(narrowed(benchmark, item_id=item_col, text=item_text_col), block_bytes)):
-        rows = _scan(stored(rows, "winnowed") if k else rows, Index.build(block, window), text_col if keep else "text")
+        rows = _scan(stored(rows, "winnowed") if k else rows, Index.build(block, window))
     return rows
 
 
