@@ -35,9 +35,9 @@ def _constant_sql(custkey, price):
     )
 
 
-def _imputed(strategy):
+def _imputed(strategy, **size):
     def run(spark, sf):
-        out = _prices(cleaning.impute(_orders(spark, sf), strategy, ["o_custkey", "o_orderstatus", "o_totalprice"]))
+        out = _prices(cleaning.impute(_orders(spark, sf), strategy, ["o_custkey", "o_orderstatus", "o_totalprice"], **size))
         return out.withColumn("o_custkey", F.round(F.col("o_custkey").cast("double"), 4))
 
     return run
@@ -57,6 +57,12 @@ def _directional(direction):
     return run
 
 
+def _by_days(spark, sf):
+    """Few first values, and an order only the third column decides."""
+    orders = from_sql(spark, sf, "SELECT o_orderkey, date_trunc('YEAR', o_orderdate) AS year, o_orderstatus, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS o_totalprice FROM {orders}")
+    return cleaning.impute(orders, "forward", ["o_totalprice"], ["year", "o_orderstatus", "o_orderkey"]).select("o_orderkey", "o_totalprice")
+
+
 def _grouped_fill(spark, sf):
     events = from_sql(spark, sf, "SELECT event_id, user_id, event_type, ts, CASE WHEN event_id % 3 = 0 THEN value END AS value FROM {events}")
     return cleaning.impute(events, "forward", ["value"], ["ts", "event_id"], ["event_type"]).select("event_id", "value")
@@ -181,9 +187,11 @@ _COUNTS = "(SELECT count(*) FROM b) AS rows_before, (SELECT count(*) FROM a) AS
 QUERIES = {
     "cln1": _imputed("mean"),
     "cln2": _imputed("median"),
+    "cln2_brackets": _imputed("median", percentile_rows=0),
     "cln3": _imputed("mode"),
     "cln4": _imputed("zero"),
     "cln5": _directional("forward"),
+    "cln5_days": _by_days,
     "cln5_grouped": _grouped_fill,
     "cln6": _directional("backward"),
     "cln7": lambda s, d: cleaning.impute_all(_contacts(s, d)),
@@ -208,6 +216,8 @@ SQL = {
     ),
     "cln4": _constant_sql("0", "0"),
     "cln5": _fill_sql("last_value", "UNBOUNDED PRECEDING AND CURRENT ROW"),
+    "cln5_days": """SELECT o_orderkey, last_value(v IGNORE NULLS) OVER (ORDER BY date_trunc('year', o_orderdate), o_orderstatus, o_orderkey ROWS UNBOUNDED PRECEDING) AS o_totalprice
+        FROM (SELECT *, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS v FROM orders)""",
     "cln5_grouped": """SELECT event_id, last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS value
         FROM (SELECT event_id, event_type, ts, CASE WHEN event_id % 3 = 0 THEN value END AS v FROM events)""",
     "cln6": _fill_sql("first_value", "CURRENT ROW AND UNBOUNDED FOLLOWING"),
@@ -233,3 +243,4 @@ SQL = {
     ),
     "aud1": _AUD1_SQL,
 }
+SQL["cln2_brackets"] = SQL["cln2"]

@@ -108,7 +108,7 @@ _CLASSIFIED = """SELECT source_column, target_column,
 
 def _rel5(spark, sf):
     df = _related(spark, sf)
-    found = relationships.classify_relationships(relationships.relationship_candidates(df))
+    found = relationships.classify_relationships(relationships.relationship_candidates(df), k=10)
     return relationships.validate_relationships(found, df.columns[:-1])
 
 
@@ -177,9 +177,9 @@ def _activity(spark, sf):
 
 def _dom1_sql():
     words = ", ".join(
-        f"({i}, '{d}', '{w}', {len(k.split())})" for i, (d, (k, _)) in enumerate(DOMAINS.items()) for w in k.split()
+        f"({i}, '{d}', '{w}', {len(k)})" for i, (d, (k, _)) in enumerate(DOMAINS.items()) for w in k
     )
-    subs = ", ".join(f"('{d}', '{s}', '{s.replace('_', ' ')}')" for d, (_, ss) in DOMAINS.items() for s in ss.split())
+    subs = ", ".join(f"('{d}', '{s}', '{s.replace('_', ' ')}')" for d, (_, ss) in DOMAINS.items() for s in ss)
     return f"""WITH cat AS (SELECT DISTINCT concat(user_id, '/', strftime(ts, '%Y-%m-%d')) AS table_name, concat(event_type, '_count') AS column_name FROM events),
     words(place, domain, word, size) AS (VALUES {words}), subs(domain, subdomain, phrase) AS (VALUES {subs}),
     hits AS (SELECT table_name, place, domain, word, size, count(*) * 2 + 1 AS points FROM cat, words WHERE contains(lower(column_name), word) GROUP BY ALL),
@@ -219,8 +219,8 @@ QUERIES = {
     "cor3": _cor3,
     "rel1": lambda s, d: relationships.value_overlap(load(s, d, "lineitem"), KEYS),
     "rel2": lambda s, d: relationships.relationship_candidates(_related(s, d)).fillna(0, ["overlap_count"]),
-    "rel3": lambda s, d: relationships.classify_relationships(relationships.relationship_candidates(_related(s, d))),
-    "rel4": lambda s, d: relationships.classify_correlated(relationships.correlation_candidates(_related(s, d))),
+    "rel3": lambda s, d: relationships.classify_relationships(relationships.relationship_candidates(_related(s, d)), k=10),
+    "rel4": lambda s, d: relationships.classify_correlated(relationships.correlation_candidates(_related(s, d)), k=5),
     "rel5": _rel5,
     "trd1": _trd1,
     "trd2": lambda s, d: _text_time(trends.date_range(load(s, d, "orders"), "o_orderdate"), "start", "end"),

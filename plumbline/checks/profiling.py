@@ -73,8 +73,8 @@ def _stats(df):
     return _rounded(df, 4, "mean", "median", "std", "q1", "q3", "iqr", "skewness", "kurtosis").withColumn("variance", F.round("variance", 2))
 
 
-def _agg3(spark, sf):
-    return _stats(profile.univariate_stats(load(spark, sf, "lineitem"))).select(*_STATS)
+def _agg3(spark, sf, **size):
+    return _stats(profile.univariate_stats(load(spark, sf, "lineitem"), **size)).select(*_STATS)
 
 
 def _agg3_gaps(spark, sf):
@@ -90,8 +90,8 @@ _DETAIL = """, round(stddev_samp({c}) / abs(avg({c})), 4) AS cv, (max({c}) - min
     0::BIGINT AS inf_count"""
 
 
-def _agg4(spark, sf):
-    df = _stats(profile.univariate_detailed(load(spark, sf, "lineitem")))
+def _agg4(spark, sf, **size):
+    df = _stats(profile.univariate_detailed(load(spark, sf, "lineitem"), **size))
     tails = ["p1", "p5", "p10", "p90", "p95", "p99"]
     return _rounded(df, 4, *tails).select(*_STATS, "cv", "range", "mode", "mode_count", *tails, "inf_count")
 
@@ -236,9 +236,9 @@ def _out_sql(table, columns):
     )
 
 
-def _out1(spark, sf):
+def _out1(spark, sf, **size):
     events = load(spark, sf, "events").select("event_id", "user_id", "value")
-    return _rounded(outliers.outliers_iqr(events), 4, "q1", "q3", "iqr", "lower_bound", "upper_bound")
+    return _rounded(outliers.outliers_iqr(events, **size), 4, "q1", "q3", "iqr", "lower_bound", "upper_bound")
 
 
 def _out1_rows(spark, sf):
@@ -374,8 +374,10 @@ QUERIES = {
     "agg1": _agg1,
     "agg2": lambda s, d: profile.schema_summary(profile.profile_schema(holed_orders(s, d))),
     "agg3": _agg3,
+    "agg3_brackets": lambda s, d: _agg3(s, d, percentile_rows=0),
     "agg3_gaps": _agg3_gaps,
     "agg4": _agg4,
+    "agg4_brackets": lambda s, d: _agg4(s, d, percentile_rows=0),
     "agg5": _agg5,
     "agg6": _agg6,
     "agg7": _agg7,
@@ -389,6 +391,7 @@ QUERIES = {
     "dup1_lines": lambda s, d: quality.duplicate_rows(load(s, d, "lineitem")),
     "crd1": lambda s, d: profile.cardinality(load(s, d, "lineitem")).drop("position"),
     "out1": _out1,
+    "out1_brackets": lambda s, d: _out1(s, d, percentile_rows=0),
     "out1_rows": _out1_rows,
     "out2": _out2,
     "pii1": lambda s, d: pii.detect_pii(load(s, d, "documents")).drop("position"),
@@ -438,3 +441,5 @@ SQL = {
     + ") WHERE email_count + phone_count + ssn_count + credit_card_count > 0",
     "pii4": _PII4_SQL,
 }
+# The path of large tables, taken at any size, gives the same.
+SQL |= {f"{name}_brackets": SQL[name] for name in ("agg3", "agg4", "out1")}

@@ -100,6 +100,10 @@ def _win4(spark, sf):
     return ordering.row_index(load(spark, sf, "events").select("event_id", "ts"), ["ts", "event_id"]).select("event_id", "row_index")
 
 
+def _win4_text(spark, sf):
+    return ordering.row_index(load(spark, sf, "customer").select("c_name", "c_custkey"), ["c_name", "c_custkey"]).select("c_custkey", "row_index")
+
+
 def _versions(spark, sf):
     """Orders of a customer as successive versions of one record."""
     return load(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice")
@@ -153,6 +157,7 @@ QUERIES = {
     "win3": lambda s, d: history.keep_last_n(load(s, d, "conversations"), "conv_id", "turn", 20),
     "win3_last2": lambda s, d: history.keep_last_n(load(s, d, "conversations"), "conv_id", "turn", 2),
     "win4": _win4,
+    "win4_text": _win4_text,
     "win5": _win5,
     "win5_history": _win5_history,
     "win5_revert": _win5_revert,
@@ -197,6 +202,7 @@ SQL = {
         FROM (SELECT l_extendedprice, rank() OVER (ORDER BY l_extendedprice) AS r FROM lineitem) GROUP BY 1""",
     "win3": "SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 20",
     "win3_last2": "SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2",
+    "win4_text": "SELECT c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) - 1 AS row_index FROM customer",
     "win4": "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_index FROM events",
     "win5": f"SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate) FROM ({_CURRENT.format(t='orders')})",
     "win5_history": "SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderstatus, o_totalprice FROM orders WHERE o_custkey = 7",

@@ -17,7 +17,7 @@ from plumbline.operators.audit import AuditEntry, audit_frame
 from plumbline.operators.ordering import directional_fill
 from plumbline.operators.pii import mask_pii, mask_pii_values
 from plumbline.operators.profile import loose_numeric_columns
-from plumbline.operators.quantiles import quantile_table
+from plumbline.operators.quantiles import PERCENTILE_ROWS, quantile_table
 from plumbline.operators.wide import per_column
 
 STRATEGIES = ("mean", "median", "mode", "zero", "forward", "backward")
@@ -75,6 +75,7 @@ def impute(
     columns: Sequence[str] | None = None,
     order_by: Sequence[str] = (),
     partition_by: Sequence[str] = (),
+    percentile_rows: int = PERCENTILE_ROWS,
 ) -> DataFrame:
     """Fill nulls. Mean, median and zero apply to numeric columns; others stay as they are.
 
@@ -100,7 +101,7 @@ def impute(
         return fill_constants(df, {c: means[c][1] for c in holed})
     if not holed:
         return df
-    medians = {r["column"]: r["median"] for r in quantile_table(df, holed, {"median": 0.5}).collect()}
+    medians = {r["column"]: r["median"] for r in quantile_table(df, holed, {"median": 0.5}, percentile_rows=percentile_rows).collect()}
     return fill_constants(df, medians)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.kinds import kinds, numeric_columns, ref
 from plumbline.functions.student_t import correlation_p_value
-from plumbline.operators.ordering import rank_points, value_ranks
+from plumbline.operators.ordering import value_ranks
 from plumbline.operators.wide import collect_wide, stack_rows
 from plumbline.session import drop_path, fresh_path
 
@@ -79,9 +79,7 @@ def _write_ranks(rows: DataFrame, variants: Sequence[tuple[str, str | None]], pa
         position, exact = _value(rows, column)
         present = ref(column).isNotNull() if partner is None else ref(column).isNotNull() & ref(partner).isNotNull()
         stacked.append({"variant": F.lit(i), "at": F.when(present, position), "exact": F.when(present, exact)})
-    columns = list(dict.fromkeys(c for c, _ in variants))
-    points = sorted({p for found in rank_points(rows, columns).values() for p in found})
-    ranks = value_ranks(stack_rows(rows, stacked), ["at", "exact"], ["variant"], points=points)
+    ranks = value_ranks(stack_rows(rows, stacked), ["at", "exact"], ["variant"])
     average = (F.col("below") + (F.col("n") + 1) / 2.0).alias("rank")
     ranks.select("variant", "at", "exact", "n", "total", average).write.partitionBy("variant").parquet(path)
 

@@ -20,10 +20,10 @@ def infer_domains(catalog: DataFrame) -> DataFrame:
     """
     order = {d: i for i, d in enumerate(DOMAINS)}
     keywords = _literals(
-        [(order[d], k) for d, (words, _) in DOMAINS.items() for k in words.split()], ("domain", "keyword")
+        [(order[d], k) for d, (words, _) in DOMAINS.items() for k in words], ("domain", "keyword")
     )
     areas = _literals(
-        [(order[d], s, s.replace("_", " ")) for d, (_, subs) in DOMAINS.items() for s in subs.split()],
+        [(order[d], s, s.replace("_", " ")) for d, (_, subs) in DOMAINS.items() for s in subs],
         ("domain", "subdomain", "phrase"),
     )
     names = catalog.select("table_name", "position", F.lower("column_name").alias("name"))
@@ -34,7 +34,7 @@ def infer_domains(catalog: DataFrame) -> DataFrame:
         .groupBy("table_name", "domain")
         .agg(F.sum("points").alias("points"))
     )
-    sizes = F.element_at(F.array(*[F.lit(len(words.split())) for words, _ in DOMAINS.values()]), F.col("domain") + 1)
+    sizes = F.element_at(F.array(*[F.lit(len(words)) for words, _ in DOMAINS.values()]), F.col("domain") + 1)
     scored = scores.withColumn("score", F.col("points") / sizes)
     best = scored.groupBy("table_name").agg(F.min(F.struct((-F.col("score")).alias("s"), "domain")).alias("b"))
     best = best.select("table_name", F.col("b.domain").alias("domain"), (-F.col("b.s")).alias("score"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,10 @@ def join(source: DataFrame, target: DataFrame, source_column: str, target_column
     """Join on one column each; other columns are prefixed ``source_`` and ``target_``.
 
     The key column keeps the source value and takes the target value in rows without a source.
-    Adaptive execution picks broadcast or sort-merge from measured sizes and splits skewed keys;
-    the outer join is a left join and an anti join, because a full join could not be split.
+    Adaptive execution picks broadcast or sort-merge from measured sizes. Every kind is an inner join,
+    whose hot keys can be split on both sides, and anti joins with the other side's distinct keys for
+    the rows without a partner. Null and empty keys match each other by rule, so their rows of both
+    sides do meet in all pairs; take them out before where that is not wanted.
     """
     if how not in JOIN_TYPES:
         raise ValueError(f"unknown join type {how!r}")
@@ -44,7 +47,7 @@ def join(source: DataFrame, target: DataFrame, source_column: str, target_column
     types = source.schema[source_column].dataType, target.schema[target_column].dataType
     as_shown = lambda c, t: F.col(c) if one_type else plain_text(F.col(c), t)
     left = source.select(
-        source_key.alias("__sk"), ref(source_column).alias("__sv"), F.lit(True).alias("__source"),
+        source_key.alias("__sk"), ref(source_column).alias("__sv"),
         *[ref(c).alias(f"source_{c}") for c in source.columns if c != source_column],
     )
     right = target.select(
@@ -55,18 +58,16 @@ def join(source: DataFrame, target: DataFrame, source_column: str, target_column
     source_value, target_value = as_shown("__sv", types[0]), as_shown("__tv", types[1])
     lefts = [c for c in left.columns if not c.startswith("__")]
     rights = [c for c in right.columns if not c.startswith("__")]
-    matched = left.join(right, same, "left" if how == "outer" else how)
-    if how == "inner" or how == "left":
-        return matched.select(F.col("__sv").alias(source_column), *[ref(c) for c in lefts + rights])
-    if how == "right":
-        key = F.when(F.col("__source"), source_value).otherwise(target_value)
-        return matched.select(key.alias(source_column), *[ref(c) for c in lefts + rights])
-    alone = right.join(left.select("__sk").distinct(), same, "left_anti").select(
-        target_value.alias(source_column),
-        *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in lefts],
-        *[ref(c) for c in rights],
-    )
-    return matched.select(source_value.alias(source_column), *[ref(c) for c in lefts + rights]).unionByName(alone)
+    shown = lambda key, rows: rows.select(key.alias(source_column), *[ref(c) for c in lefts + rights])
+    own_key = F.col("__sv") if how in ("inner", "left") else source_value
+    parts = [shown(own_key, left.join(right, same, "inner"))]
+    if how in ("left", "outer"):
+        alone = left.join(right.select("__tk").distinct(), same, "left_anti")
+        parts.append(shown(own_key, alone.withColumns({c: F.lit(None).cast(right.schema[c].dataType) for c in rights})))
+    if how in ("right", "outer"):
+        alone = right.join(left.select("__sk").distinct(), same, "left_anti")
+        parts.append(shown(target_value, alone.withColumns({c: F.lit(None).cast(left.schema[c].dataType) for c in lefts})))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @dataclass(frozen=True)

@@ -1,8 +1,8 @@
 """Global order without a one-task window: ordered buckets, row index, ranks and directional fill.
 
-Rows are placed in buckets that follow the requested order. Every bucket is processed on its own
-and a small table with one row per bucket carries counts (or last values) from bucket to bucket.
-A bucket is a fixed expression of the row itself, so a recomputed task gives the same answer.
+Rows are dealt to buckets by ranges of all order columns together and stored with their bucket. Every
+bucket is processed on its own and a small table with one row per bucket carries counts (or last values)
+from bucket to bucket. The bucket is stored with the row, so a recomputed task gives the same answer.
 """
 
 from __future__ import annotations
@@ -10,82 +10,31 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.kinds import quoted, ref, sort_position
-from plumbline.operators.sketches import Distribution, distributions
+from plumbline.functions.kinds import quoted, ref
+from plumbline.session import stored
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 10_000
 
-B1, B2 = "__bucket", "__subbucket"
+BUCKET = "__bucket"
 
 
 def _bucket_count(df: DataFrame, rows: int, rows_per_bucket: int) -> int:
-    wanted = math.ceil(rows / rows_per_bucket)
-    return max(1, min(MAX_BUCKETS, max(wanted, min(df.sparkSession.sparkContext.defaultParallelism, rows))))
-
-
-def _splits(dist: Distribution, buckets: int) -> tuple[list[float], dict[float, int]]:
-    """Split points for about equal buckets, and the hot values with the buckets they would fill.
-
-    A hot value gets a bucket that holds nothing else, so that its rows can be divided further by
-    the next order column.
-    """
-    if not len(dist.values):
-        return [], {}
-    grid = [dist.near(dist.count * i / buckets) for i in range(1, buckets)]
-    points, hot = set(), {}
-    for value, times in zip(*np.unique([g for g in grid if not math.isnan(g)], return_counts=True)):
-        points.add(float(value))
-        if times > 1:
-            hot[float(value)] = int(times)
-            points.add(float(np.nextafter(value, np.inf if value < np.inf else 0.0)))
-    missing = sum(math.isnan(g) for g in grid)
-    if missing > 1:
-        hot[math.nan] = missing
-    return sorted(p for p in points if math.isfinite(p)), hot
-
-
-def _place(df: DataFrame, position: str, bucket: str, points: Sequence[float]) -> DataFrame:
-    """Add the bucket number of a double column by binary search in the split points."""
-    if not points:
-        return df.withColumn(bucket, F.lit(0))
-    splits = [-math.inf, *points, math.inf]
-    stage = Bucketizer(splits=splits, inputCol=position, outputCol=bucket, handleInvalid="keep")
-    return stage.transform(df).withColumn(bucket, F.col(bucket).cast("int"))
+    """Buckets for about ``rows_per_bucket`` rows each, and enough of them to use all cores."""
+    return max(1, math.ceil(rows / rows_per_bucket), min(df.sparkSession.sparkContext.defaultParallelism, rows))
 
 
 def with_buckets(df: DataFrame, order_by: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """``df`` plus two bucket columns whose order follows ``order_by`` (ascending, nulls first).
+    """``df`` plus a bucket column whose order follows ``order_by`` (ascending, nulls first).
 
-    The first order column decides the bucket. Rows of a value that is too frequent for one bucket
-    are divided by the second order column.
+    Ranges are cut over the whole tuple of order columns, so a frequent first value, or texts with a
+    long common beginning, are divided like any others. Only rows with equal tuples stay together.
     """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    leading = list(order_by)[:2]
-    positions = {c: sort_position(ref(c), types[c]) for c in leading}
-    found = distributions(df, positions)
-    buckets = _bucket_count(df, found[leading[0]].count, rows_per_bucket)
-    points, hot = _splits(found[leading[0]], buckets)
-    out = _place(df.withColumn("__p1", positions[leading[0]]), "__p1", B1, points)
-    if hot and len(leading) > 1:
-        most = max(hot.values())
-        finer, _ = _splits(found[leading[1]], most)
-        out = _place(out.withColumn("__p2", positions[leading[1]]), "__p2", B2, finer).drop("__p2")
-        # Bucket 0 may hold only nulls, bucket i + 1 starts at point i, and NaN comes last. A hot
-        # value is divided into as many parts as it fills.
-        sizes = [hot.get(-math.inf, 0), *[hot.get(p, 0) for p in points], next((n for v, n in hot.items() if v != v), 0)]
-        if math.inf in hot:
-            sizes[-2] = hot[math.inf]
-        share = F.element_at(F.array(*[F.lit(n) for n in sizes]), F.col(B1) + 1)
-        out = out.withColumn(B2, F.floor(F.col(B2) * share / most).cast("int"))
-    else:
-        out = out.withColumn(B2, F.lit(0))
-    return out.drop("__p1")
+    buckets = _bucket_count(df, df.count(), rows_per_bucket)
+    dealt = df.repartitionByRange(buckets, *[ref(c).asc_nulls_first() for c in order_by])
+    return stored(dealt.withColumn(BUCKET, F.spark_partition_id()), "ordered")
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]):
@@ -98,7 +47,7 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]):
 
 def _join_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Attach the per-bucket carry. Without keys it holds one row per bucket, which is bounded."""
-    on = [*keys, B1, B2]
+    on = [*keys, BUCKET]
     small = carry.select(*[ref(k).alias("__k_" + k) for k in on], *[ref(v) for v in values])
     if not keys:
         small = F.broadcast(small)
@@ -109,10 +58,10 @@ def _join_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str], values:
 def row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_index", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Number the rows 0..n-1 in the order of ``order_by``, which must be unique to be stable."""
     rows = with_buckets(df, order_by, rows_per_bucket)
-    inside = Window.partitionBy(B1, B2).orderBy(*[ref(c) for c in order_by])
-    earlier = Window.orderBy(B1, B2).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(BUCKET).orderBy(*[ref(c) for c in order_by])
+    earlier = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        rows.groupBy(B1, B2)
+        rows.groupBy(BUCKET)
         .agg(F.count(F.lit(1)).alias("__rows"))
         .withColumn("__offset", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
     )
@@ -120,17 +69,11 @@ def row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_index", r
     return (
         _join_carry(numbered, offsets, [], ["__offset"])
         .withColumn(name, F.col("__offset") + F.col("__place"))
-        .drop(B1, B2, "__place", "__offset")
+        .drop(BUCKET, "__place", "__offset")
     )
 
 
-def value_ranks(
-    df: DataFrame,
-    columns: Sequence[str],
-    keys: Sequence[str] = (),
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-    points: Sequence[float] | None = None,
-) -> DataFrame:
+def value_ranks(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Distinct values with ``n`` (copies), ``below`` (rows before) and ``total`` per key.
 
     A value is one column or several that are ordered together; rows where the first is null are
@@ -138,22 +81,18 @@ def value_ranks(
     is one row here; a key that does is spread over the buckets of its values.
     """
     keys, columns = list(keys), list(columns)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    rows = df.filter(ref(columns[0]).isNotNull())
-    if points is None:
-        points = rank_points(df, columns[:1], rows_per_bucket)[columns[0]]
     by_key = [ref(k) for k in keys]
-    counts = rows.groupBy(*by_key, *[ref(c) for c in columns]).agg(F.count(F.lit(1)).alias("n"))
-    position = sort_position(ref(columns[0]), types[columns[0]])
-    placed = _place(counts.withColumn("__p1", position), "__p1", B1, points).drop("__p1").withColumn(B2, F.lit(0))
+    rows = df.filter(ref(columns[0]).isNotNull())
+    counts = stored(rows.groupBy(*by_key, *[ref(c) for c in columns]).agg(F.count(F.lit(1)).alias("n")), "value-counts")
+    placed = with_buckets(counts, [*columns, *keys], rows_per_bucket)
     inside = (
-        Window.partitionBy(*by_key, B1).orderBy(*[ref(c) for c in columns]).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*by_key, BUCKET).orderBy(*[ref(c) for c in columns]).rowsBetween(Window.unboundedPreceding, -1)
     )
     local = placed.withColumn("__inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     whole = Window.partitionBy(*by_key)
-    earlier = whole.orderBy(B1).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = whole.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy(*by_key, B1, B2)
+        placed.groupBy(*by_key, BUCKET)
         .agg(F.sum("n").alias("__rows"))
         .withColumn("__offset", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
         .withColumn("total", F.sum("__rows").over(whole))
@@ -161,17 +100,8 @@ def value_ranks(
     return (
         _join_carry(local, offsets, keys, ["__offset", "total"])
         .withColumn("below", F.col("__offset") + F.col("__inside"))
-        .drop(B1, B2, "__inside", "__offset")
-    )
-
-
-def rank_points(df: DataFrame, columns: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> dict[str, list[float]]:
-    """Split points of several columns from one pass."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    found = distributions(
-        df, {c: F.when(ref(c).isNotNull(), sort_position(ref(c), types[c])) for c in columns}
+        .drop(BUCKET, "__inside", "__offset")
     )
-    return {c: _splits(d, _bucket_count(df, d.count, rows_per_bucket))[0] for c, d in found.items()}
 
 
 def directional_fill(
@@ -194,16 +124,16 @@ def directional_fill(
     keys = list(partition_by)
     rows = with_buckets(df, order_by, rows_per_bucket)
     order = [ref(c).asc_nulls_first() if forward else ref(c).desc_nulls_last() for c in order_by]
-    blocks = [F.col(b).asc() if forward else F.col(b).desc() for b in (B1, B2)]
+    block = F.col(BUCKET).asc() if forward else F.col(BUCKET).desc()
     inside = (
-        Window.partitionBy(*[ref(k) for k in keys], B1, B2)
+        Window.partitionBy(*[ref(k) for k in keys], BUCKET)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    earlier = Window.partitionBy(*[ref(k) for k in keys]).orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*[ref(k) for k in keys]).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     place = F.struct(*[ref(c) for c in order_by])
     edge = F.max_by if forward else F.min_by
-    ends = rows.groupBy(*[ref(k) for k in keys], B1, B2).agg(
+    ends = rows.groupBy(*[ref(k) for k in keys], BUCKET).agg(
         F.count(F.lit(1)).alias("__rows"),
         *[edge(ref(c), F.when(ref(c).isNotNull(), place)).alias(f"__end_{i}") for i, c in enumerate(columns)],
     )
@@ -214,7 +144,7 @@ def directional_fill(
     filled = rows.withColumns({f"__in_{i}": F.last(ref(c), ignorenulls=True).over(inside) for i, c in enumerate(columns)})
     carried = [f"__carry_{i}" for i in range(len(columns))]
     if index:
-        numbering = Window.partitionBy(*[ref(k) for k in keys], B1, B2).orderBy(*order)
+        numbering = Window.partitionBy(*[ref(k) for k in keys], BUCKET).orderBy(*order)
         filled = filled.withColumn("__place", F.row_number().over(numbering) - 1)
         carried.append("__offset")
     joined = _join_carry(filled, carry, keys, carried)

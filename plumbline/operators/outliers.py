@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.fixed import IQR_MULTIPLIER, ZSCORE_THRESHOLD
 from plumbline.functions.kinds import numeric_columns, ref
-from plumbline.operators.quantiles import quantile_table
+from plumbline.operators.quantiles import PERCENTILE_ROWS, quantile_table
 from plumbline.operators.wide import per_column
 
 
 def iqr_bounds(
-    df: DataFrame, columns: Sequence[str] | None = None, multiplier: float = IQR_MULTIPLIER, rows: int | None = None
+    df: DataFrame, columns: Sequence[str] | None = None, multiplier: float = IQR_MULTIPLIER, rows: int | None = None, percentile_rows: int = PERCENTILE_ROWS
 ) -> DataFrame:
     """``column, q1, q3, iqr, lower_bound, upper_bound`` for columns that hold values."""
     columns = list(columns or numeric_columns(df))
-    quartiles = quantile_table(df, columns, {"q1": 0.25, "q3": 0.75}, rows)
+    quartiles = quantile_table(df, columns, {"q1": 0.25, "q3": 0.75}, rows, percentile_rows)
     iqr = F.col("q3") - F.col("q1")
     return quartiles.filter(F.col("q1").isNotNull()).select(
         "column", "q1", "q3", iqr.alias("iqr"),
@@ -48,9 +48,9 @@ def outlier_counts(df: DataFrame, bounds: Mapping[str, tuple[float, float]]) ->
     )
 
 
-def outliers_iqr(df: DataFrame, columns: Sequence[str] | None = None, multiplier: float = IQR_MULTIPLIER) -> DataFrame:
+def outliers_iqr(df: DataFrame, columns: Sequence[str] | None = None, multiplier: float = IQR_MULTIPLIER, percentile_rows: int = PERCENTILE_ROWS) -> DataFrame:
     """Bounds, number and share of values strictly outside them, one row per column."""
-    rows = iqr_bounds(df, columns, multiplier).collect()
+    rows = iqr_bounds(df, columns, multiplier, percentile_rows=percentile_rows).collect()
     limits = {r["column"]: (r["lower_bound"], r["upper_bound"]) for r in rows}
     schema = "column string, q1 double, q3 double, iqr double, lower_bound double, upper_bound double"
     table = df.sparkSession.createDataFrame(rows, schema)

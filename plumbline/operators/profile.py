@@ -16,7 +16,7 @@ from plumbline.functions.fixed import (
 )
 from plumbline.functions.kinds import comparable_text, kind_of, kinds, numeric_columns, plain_text, ref
 from plumbline.functions.text import as_number, is_missing, matches_any
-from plumbline.operators.quantiles import order_statistics, quantile_table
+from plumbline.operators.quantiles import PERCENTILE_ROWS, order_statistics, quantile_table
 from plumbline.operators.wide import chunks, is_plain_scan, per_column, stack_rows
 
 
@@ -153,7 +153,7 @@ TAILS = {"p1": 0.01, "p5": 0.05, "p10": 0.1, "p90": 0.9, "p95": 0.95, "p99": 0.9
 
 
 def univariate_stats(
-    df: DataFrame, columns: Sequence[str] | None = None, quantiles: dict[str, float] | None = None
+    df: DataFrame, columns: Sequence[str] | None = None, quantiles: dict[str, float] | None = None, percentile_rows: int = PERCENTILE_ROWS
 ) -> DataFrame:
     """Moments, extremes and quartiles of every numeric column; columns without values are left out.
 
@@ -179,7 +179,7 @@ def univariate_stats(
             "count": lambda c: F.count(ref(c)),
         },
     )
-    fractions = quantile_table(df, columns, {**QUARTILES, **(quantiles or {})})
+    fractions = quantile_table(df, columns, {**QUARTILES, **(quantiles or {})}, percentile_rows=percentile_rows)
     out = (
         stats.filter(F.col("count") > 0)
         .join(F.broadcast(fractions), "column")
@@ -211,7 +211,7 @@ def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return found.select("column", F.col("b.value").alias("mode"), (-F.col("b.m")).alias("mode_count"))
 
 
-def univariate_detailed(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def univariate_detailed(df: DataFrame, columns: Sequence[str] | None = None, percentile_rows: int = PERCENTILE_ROWS) -> DataFrame:
     """:func:`univariate_stats` with variation, range, mode, outer percentiles and infinities.
 
     Computed for columns with at least two values.
@@ -219,7 +219,7 @@ def univariate_detailed(df: DataFrame, columns: Sequence[str] | None = None) ->
     columns = list(columns or numeric_columns(df))
     variation = F.coalesce(F.round(F.try_divide(F.col("std"), F.abs(F.col("mean"))), 4), F.lit(0.0))
     return (
-        univariate_stats(df, columns, TAILS)
+        univariate_stats(df, columns, TAILS, percentile_rows)
         .filter(F.col("count") >= 2)
         .join(F.broadcast(modes(df, columns)), "column")
         .withColumns({"cv": variation, "range": F.col("max") - F.col("min")})

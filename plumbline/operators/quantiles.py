@@ -186,6 +186,13 @@ def _linear_ranks(fractions: Sequence[float]) -> Callable[[int], list[int]]:
     return wanted
 
 
+def _between(lower: float, upper: float, place: float) -> float:
+    """The value at a fractional place between two neighbours, as ``percentile`` computes it."""
+    if lower == upper or place == math.floor(place):
+        return lower
+    return (math.ceil(place) - place) * lower + (place - math.floor(place)) * upper
+
+
 def quantile_table(
     df: DataFrame,
     columns: Sequence[str],
@@ -221,6 +228,6 @@ def quantile_table(
                 continue
             place = (counts[c] - 1) * fractions[n]
             lower, upper = values[(c, math.floor(place))], values[(c, math.ceil(place))]
-            row.append(lower if lower == upper else lower + (upper - lower) * (place - math.floor(place)))
+            row.append(_between(lower, upper, place))
         out.append(tuple(row))
     return df.sparkSession.createDataFrame(out, "column string, " + ", ".join(f"{n} double" for n in names))

@@ -135,13 +135,13 @@ def candidate_summary(candidates: DataFrame, numeric: int) -> DataFrame:
     )
 
 
-def top_k(df: DataFrame, by: Sequence[Column], k: int) -> DataFrame:
-    """The first ``k`` rows in the given order; each task keeps only ``k`` rows."""
-    return df.orderBy(*by).limit(k)
+def top_k(df: DataFrame, by: Sequence[Column], k: int | None) -> DataFrame:
+    """The first ``k`` rows in the given order, each task keeping only ``k`` rows; all rows without ``k``."""
+    return df.orderBy(*by) if k is None else df.orderBy(*by).limit(k)
 
 
-def classify_relationships(candidates: DataFrame, k: int = 10) -> DataFrame:
-    """Type, confidence and chart hint of the strongest candidates."""
+def classify_relationships(candidates: DataFrame, k: int | None = None) -> DataFrame:
+    """Type, confidence and chart hint of the candidates, of the ``k`` strongest if that is given."""
     best = top_k(candidates, [F.desc("strength"), F.col("source_column"), F.col("target_column")], k)
     correlated = F.col("evidence") == "correlation"
     size = F.abs("pearson_r")
@@ -155,7 +155,7 @@ def classify_relationships(candidates: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
-def classify_correlated(candidates: DataFrame, k: int = 5) -> DataFrame:
+def classify_correlated(candidates: DataFrame, k: int | None = None) -> DataFrame:
     """The variant for correlated pairs only, with confidence equal to the strength."""
     best = top_k(candidates, [F.desc("strength"), F.col("source_column"), F.col("target_column")], k)
     size = F.abs("pearson_r")

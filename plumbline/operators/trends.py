@@ -15,7 +15,6 @@ from plumbline.operators.ordering import directional_fill
 from plumbline.operators.wide import per_column
 
 PERIODS = ("day", "week", "month", "quarter", "year")
-MAX_TREND_COLUMNS = 5
 
 
 def date_columns(df: DataFrame) -> DataFrame:
@@ -64,7 +63,7 @@ def linear_trend(df: DataFrame, order_by: Sequence[str], columns: Sequence[str]
 
     ``order_by`` starts with the time column; further columns break ties.
     """
-    columns = list(columns or [c for c in numeric_columns(df) if c != order_by[0]])[:MAX_TREND_COLUMNS]
+    columns = list(columns or [c for c in numeric_columns(df) if c != order_by[0]])
     size = {"rows_per_bucket": rows_per_bucket} if rows_per_bucket else {}
     rows = df.select(*dict.fromkeys([*order_by, *columns]))
     rows = directional_fill(rows, [c for c in columns if c not in order_by], order_by, index="x", **size)

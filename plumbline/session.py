@@ -66,6 +66,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def stored(df, name: str):
+    """The rows written once to the shared folder and read back, so that lost executors cost no recomputation."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df):
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext

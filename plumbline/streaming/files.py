@@ -16,8 +16,11 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int |
     return reader.load(path)
 
 
-def run_available(stream: DataFrame, mode: str = "append", timeout: int = 600) -> DataFrame:
-    """Process everything that is there now, write it as Parquet and read the result back."""
+def run_available(stream: DataFrame, mode: str = "append", timeout: float | None = None) -> DataFrame:
+    """Process everything that is there now, write it as Parquet and read the result back.
+
+    ``timeout``: seconds after which the run is stopped and fails; as long as it takes without.
+    """
     spark = stream.sparkSession
     target = fresh_path(spark, "stream")
     query = (
@@ -27,7 +30,7 @@ def run_available(stream: DataFrame, mode: str = "append", timeout: int = 600) -
         .trigger(availableNow=True)
         .start(f"{target}/rows")
     )
-    if not query.awaitTermination(timeout):
+    if not (query.awaitTermination(timeout) if timeout is not None else query.awaitTermination() or True):
         query.stop()
         raise TimeoutError("the stream did not finish in time")
     return spark.read.schema(stream.schema).parquet(f"{target}/rows")

@@ -9,11 +9,12 @@ from plumbline.functions.fixed import SLOW_SECONDS
 from plumbline.functions.kinds import ref
 from plumbline.operators.grouping import slow_class
 
-ACCURACY = 1000
+#: Up to about this many values in a window and group the percentiles are exact.
+ACCURACY = 10_000
 
 
 def latency_stream(
-    log: DataFrame, endpoint: str, seconds: str, ts: str, window: str = "1 hour", lateness: str = "10 minutes"
+    log: DataFrame, endpoint: str, seconds: str, ts: str, window: str = "1 hour", lateness: str = "10 minutes", accuracy: int = ACCURACY
 ) -> DataFrame:
     """Count, approximate percentiles, extremes and slow requests per endpoint and time window.
 
@@ -21,7 +22,7 @@ def latency_stream(
     """
     v = ref(seconds)
     timed = log.withColumn("__ts", ref(ts).cast("timestamp")).withWatermark("__ts", lateness)
-    quantiles = F.percentile_approx(v, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.lit(ACCURACY))
+    quantiles = F.percentile_approx(v, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.lit(accuracy))
     kind = slow_class(v)
     stats = timed.groupBy(F.window("__ts", window).alias("w"), ref(endpoint)).agg(
         F.count(v).alias("count"),
