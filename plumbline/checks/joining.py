@@ -142,6 +142,24 @@ _GRP7_SQL = f"""WITH r AS ({_REQUESTS.replace('{events}', 'events')}),
 
 _R = "coalesce(round(covar_pop({x}, {y}) / sqrt(var_pop({x}) * var_pop({y})), 4), 0)"
 
+def _hot(how):
+    """Both sides have one key with about a third of the rows."""
+    def run(spark, sf):
+        customers = from_sql(spark, sf, "SELECT CASE WHEN c_custkey % 100 = 3 THEN 1 ELSE c_custkey END AS k, c_custkey FROM {customer}")
+        orders = from_sql(spark, sf, "SELECT CASE WHEN o_orderkey % 10 < 3 THEN 1 ELSE o_custkey + 20 END AS k, o_orderkey FROM {orders}")
+        return joins.join(customers, orders, "k", "k", how).select(F.col("source_c_custkey").cast("string").alias("customer"), F.col("target_o_orderkey").cast("string").alias("order"))
+
+    return run
+
+
+def _hot_sql(how):
+    return f"""SELECT CAST(c_custkey AS VARCHAR) AS customer, CAST(o_orderkey AS VARCHAR) AS "order"
+        FROM (SELECT CASE WHEN c_custkey % 100 = 3 THEN 1 ELSE c_custkey END AS k, c_custkey FROM customer) AS c {how} JOIN
+             (SELECT CASE WHEN o_orderkey % 10 < 3 THEN 1 ELSE o_custkey + 20 END AS k, o_orderkey FROM orders) AS o ON c.k = o.k"""
+
+
+_HOT = {"jn1_hot": "inner", "jn2_hot": "left", "jn3_hot": "right", "jn4_hot": "outer"}
+
 QUERIES = {
     "jn0": _jn0,
     "jn1": _join("inner"),
@@ -199,3 +217,5 @@ SQL = {
     ),
     "grp7": _GRP7_SQL,
 }
+QUERIES |= {name: _hot(how) for name, how in _HOT.items()}
+SQL |= {name: _hot_sql("FULL" if how == "outer" else how.upper()) for name, how in _HOT.items()}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.checks.tables import from_sql, load
 from plumbline.operators import filters
+from plumbline.plans.prepare import prepare
 from plumbline.sources import readers, stores
 from plumbline.session import fresh_path
 
@@ -30,6 +31,40 @@ def _src1(spark, sf):
     return readers.read_csv(spark, path)
 
 
+def _src1_lineitem(spark, sf):
+    """A table written as text comes back with its numbers and times."""
+    read = readers.type_texts(readers.read_csv(spark, _written(load(spark, sf, "lineitem"), "lines", "csv", header=True)))
+    typed = readers.apply_schema(read, [{"column": "l_shipdate", "detected_type": "datetime", "format_spec": "%Y-%m-%dT%H:%M:%S"}])
+    return typed.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
+
+
+def _src1_documents(spark, sf):
+    """Texts with line breaks, quotes and separators come back as they were."""
+    path = _written(load(spark, sf, "documents").select("doc_id", "text", "lang"), "texts", "csv", header=True, escape='"')
+    return readers.type_texts(readers.read_csv(spark, path, multi_line=True))
+
+
+def _prepare_typed(spark, sf):
+    """The whole way from a written table: what it is typed and cleaned to, with no value lost."""
+    path = _written(load(spark, sf, "orders"), "orders", "csv", header=True)
+    done = prepare(readers.read_csv(spark, path), ["o_orderkey"])
+    return done.cleaned.select("o_orderkey", "o_custkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"), "o_orderpriority")
+
+
+def _prepare_losses(spark, sf):
+    raw = readers.read_csv(spark, _written(load(spark, sf, "orders"), "orders", "csv", header=True))
+    return readers.cast_losses(raw, prepare(raw, ["o_orderkey"]).typed)
+
+
+def _src8_files(spark, sf):
+    """Tables written twice: every file of a copy equals one of the first."""
+    path = fresh_path(spark, "copies")
+    for k, name in enumerate(["region", "nation", "region"]):
+        load(spark, sf, name).coalesce(1).write.json(f"{path}/{k}")
+    found = stores.duplicate_files(spark, f"{path}/*/", "*.json")
+    return found.groupBy("digest").agg(F.count("*").alias("files"), F.max("copies").alias("copies")).select("files", "copies")
+
+
 def _src2(spark, sf):
     df = from_sql(spark, sf, "SELECT o_orderkey, o_totalprice, o_orderpriority, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey END AS key, CASE WHEN o_orderkey = 5 THEN 'x' ELSE '7' END AS mixed FROM {orders}")
     return readers.read_csv_rows(spark, _written(df, "rows", "csv", header=False), has_header=False)
@@ -84,6 +119,11 @@ def _src6(spark, sf):
 
 
 QUERIES = {
+    "src1_lineitem": _src1_lineitem,
+    "src1_documents": _src1_documents,
+    "src8_files": _src8_files,
+    "prepare_cleaned": _prepare_typed,
+    "prepare_losses": _prepare_losses,
     "src1": _src1,
     "src2": _src2,
     "src3": _src3,
@@ -95,6 +135,11 @@ QUERIES = {
 }
 
 SQL = {
+    "src1_lineitem": "SELECT * REPLACE (CAST(l_linenumber AS BIGINT) AS l_linenumber, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate) FROM lineitem",
+    "src1_documents": "SELECT doc_id, text, lang FROM documents",
+    "prepare_cleaned": "SELECT o_orderkey, o_custkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders",
+    "prepare_losses": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS \"values\", 0::BIGINT AS lost FROM orders" for c in ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]),
+    "src8_files": "SELECT count(*) AS files, count(*) AS copies FROM (SELECT * FROM (VALUES ('region'), ('nation'), ('region')) AS t(name)) GROUP BY name HAVING count(*) > 1",
     "src1": """SELECT o_orderkey::VARCHAR AS o_orderkey, CASE WHEN o_orderkey % 10 NOT IN (1, 2, 3, 4) THEN o_orderstatus END AS status,
         o_orderpriority || ', "' || o_orderstatus || '"' AS note, o_totalprice::VARCHAR AS o_totalprice FROM orders""",
     "src2": """SELECT o_orderkey::DOUBLE AS col_0, o_totalprice AS col_1, o_orderpriority AS col_2,

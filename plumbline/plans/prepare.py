@@ -15,7 +15,8 @@ from plumbline.operators.profile import infer_types
 from plumbline.operators.quality import duplicate_rows, quality_columns, quality_summary
 from plumbline.operators.relationships import classify_relationships, relationship_candidates
 from plumbline.functions.kinds import numeric_columns
-from plumbline.sources.readers import apply_schema
+from plumbline.session import stored
+from plumbline.sources.readers import apply_schema, type_texts
 
 
 @dataclass
@@ -47,9 +48,12 @@ def clean_table(df: DataFrame, min_confidence: float = 0.70) -> tuple[DataFrame,
 
 def prepare(raw: DataFrame, order_by: Sequence[str]) -> PreparedTable:
     """Infer and apply types, clean, relate and derive. ``raw`` usually holds text columns only."""
-    inferred = infer_types(raw, order_by)
-    typed = apply_schema(raw, [r.asDict() for r in inferred.select("column", "detected_type", "format_spec").collect()])
+    read = type_texts(raw)
+    inferred = infer_types(read, order_by)
+    # Stored once, so that the statistics of later steps do not read and cast the texts again.
+    typed = stored(apply_schema(read, [r.asDict() for r in inferred.select("column", "detected_type", "format_spec").collect()]), "typed")
     quality, summary, cleaned, cleaning_audit = clean_table(typed)
+    cleaned = stored(cleaned, "cleaned")
     candidates = relationship_candidates(cleaned)
     specs = suggest_derived(cleaned)
     enriched, derive_audit = derive_all(cleaned, specs)

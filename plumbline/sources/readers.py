@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.fixed import NULL_TOKENS
+from plumbline.functions.fixed import INTEGER_TEXT, ISO_TIME_TEXT, NULL_TOKENS
 from plumbline.functions.kinds import kinds, ref
 from plumbline.functions.text import as_number, parse_time, without_null_tokens
 from plumbline.operators.wide import per_column
@@ -23,7 +23,7 @@ FORMATS = {
 }
 
 
-def _text_table(spark: SparkSession, path: str | Sequence[str], encoding: str | None, header: bool, sep: str) -> DataFrame:
+def _text_table(spark: SparkSession, path: str | Sequence[str], encoding: str | None, header: bool, sep: str, multi_line: bool = False) -> DataFrame:
     """All columns as text. Fields beyond the header are dropped, missing ones are null."""
     reader = (
         spark.read.option("header", header)
@@ -32,6 +32,7 @@ def _text_table(spark: SparkSession, path: str | Sequence[str], encoding: str |
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("inferSchema", False)
+        .option("multiLine", multi_line)
     )
     tried = [e for e in (encoding, "utf-8") if e]
     for name in tried:
@@ -44,13 +45,14 @@ def _text_table(spark: SparkSession, path: str | Sequence[str], encoding: str |
     raise AssertionError("unreachable")
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], encoding: str | None = None, sep: str = ",") -> DataFrame:
+def read_csv(spark: SparkSession, path: str | Sequence[str], encoding: str | None = None, sep: str = ",", multi_line: bool = False) -> DataFrame:
     """A CSV file with a header row, every column as text and null tokens as null.
 
     Types are applied afterwards from a profile of the whole column (:func:`apply_schema`), not
-    from a sample at read time. An unknown encoding falls back to UTF-8.
+    from a sample at read time. An unknown encoding falls back to UTF-8. ``multi_line`` allows line
+    breaks inside quoted fields; a file is then read by one task, as it cannot be split.
     """
-    table = _text_table(spark, path, encoding, True, sep)
+    table = _text_table(spark, path, encoding, True, sep, multi_line)
     return table.select(*[without_null_tokens(ref(c), NULL_TOKENS).alias(c) for c in table.columns])
 
 
@@ -72,9 +74,41 @@ def read_csv_rows(spark: SparkSession, path: str | Sequence[str], has_header: bo
     return trimmed.select(*[(as_number(ref(c)) if c in numeric else ref(c)).alias(c) for c in trimmed.columns])
 
 
+def type_texts(df: DataFrame) -> DataFrame:
+    """Text columns as whole numbers, numbers or truth values where every value of the column is one.
+
+    Whole columns decide, not a sample, so no value is lost; columns without values stay text.
+    """
+    own = kinds(df)
+    texts = [c for c in df.columns if own[c] == "string"]
+    if not texts:
+        return df
+    found = per_column(
+        df, texts,
+        {
+            "values": lambda c: F.count(ref(c)),
+            "integers": lambda c: F.count(F.when(ref(c).rlike(INTEGER_TEXT), ref(c).try_cast("bigint"))),
+            "numbers": lambda c: F.count(as_number(ref(c))),
+            "truths": lambda c: F.count_if(F.lower(ref(c)).isin("true", "false")),
+        },
+    ).collect()
+    casts = {}
+    for r in found:
+        c, n = r["column"], r["values"]
+        if n and r["integers"] == n:
+            casts[c] = ref(c).try_cast("bigint")
+        elif n and r["numbers"] == n:
+            casts[c] = as_number(ref(c))
+        elif n and r["truths"] == n:
+            casts[c] = ref(c).try_cast("boolean")
+    return df.select(*[casts.get(c, ref(c)).alias(c) for c in df.columns])
+
+
 def apply_schema(df: DataFrame, inferred: Sequence[Mapping]) -> DataFrame:
     """Cast columns to their inferred types in one projection; values that do not fit become null.
 
+    A fractional number is no ``int``. :func:`cast_losses` counts what a cast would empty.
+
     ``inferred`` holds mappings with ``column``, ``detected_type`` and ``format_spec``; columns
     that the table lacks are skipped, and other types leave the column as it is.
     """
@@ -85,15 +119,32 @@ def apply_schema(df: DataFrame, inferred: Sequence[Mapping]) -> DataFrame:
         if name not in own:
             continue
         if wanted == "int":
-            number = ref(name).try_cast("double") if own[name] == "string" else ref(name)
-            changes[name] = F.coalesce(ref(name).try_cast("bigint"), number.try_cast("bigint"))
+            if own[name] == "string":
+                number = ref(name).try_cast("double")
+                whole = F.when(number == F.floor(number), number.try_cast("bigint"))
+                changes[name] = F.coalesce(F.when(ref(name).rlike(INTEGER_TEXT), ref(name).try_cast("bigint")), whole)
+            else:
+                changes[name] = ref(name).try_cast("bigint")
         elif wanted == "float":
             changes[name] = ref(name).try_cast("double")
-        elif wanted in ("date", "datetime") and spec and own[name] == "string":
-            changes[name] = parse_time(ref(name), spec)
+        elif wanted in ("date", "datetime") and own[name] == "string":
+            # Fractions of a second and a blank before the time are read as well.
+            iso = F.when(ref(name).rlike(ISO_TIME_TEXT), ref(name).try_cast("timestamp_ntz"))
+            if spec:
+                changes[name] = F.coalesce(parse_time(ref(name), spec), iso)
+            elif wanted == "datetime":
+                changes[name] = iso
     return df.select(*[changes.get(c, ref(c)).alias(c) for c in df.columns])
 
 
+def cast_losses(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``column, values, lost``: values of each column of ``before`` that ``after`` no longer has, by count."""
+    shared = [c for c in before.columns if c in after.columns]
+    had = per_column(before, shared, {"values": lambda c: F.count(ref(c))})
+    has = per_column(after, shared, {"kept": lambda c: F.count(ref(c))}).drop("position")
+    return had.join(F.broadcast(has), "column").select("column", "values", (F.col("values") - F.col("kept")).alias("lost"))
+
+
 def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """A table in one of the accepted formats, chosen by suffix unless given."""
     suffix = "." + fmt.lstrip(".").lower() if fmt else "." + path.rsplit(".", 1)[-1].lower()
