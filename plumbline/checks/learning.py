@@ -42,7 +42,36 @@ def _ml3(spark, sf):
 def _ml4(spark, sf):
     df = _documents(spark, sf)
     model = learning.train_best(df.drop("doc_id"), learners=FAST)
-    return learning.explain(model, df, ["doc_id"])
+    return learning.explain(model, df, ["doc_id"], k=8)
+
+
+def _ml2_all(spark, sf):
+    """Every learner of both kinds."""
+    lines = load(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_extendedprice")
+    return learning.train_best(_features(spark, sf)).info(spark).unionByName(learning.train_best(lines).info(spark))
+
+
+def _ml2_folds(spark, sf):
+    return learning.train_best(_features(spark, sf), folds=3, learners=FAST).info(spark)
+
+
+def _ml3_linear(spark, sf):
+    """A straight line through one feature, which SQL can fit as well."""
+    lines = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    model = learning.train_best(lines.select("l_quantity", "l_extendedprice"), learners=["LinearRegression"])
+    scored = learning.predict(lines, model).groupBy("l_quantity").agg(F.round(F.avg("prediction_label"), 2).alias("predicted"), F.count("*").alias("rows"))
+    return scored.select("l_quantity", "predicted", "rows")
+
+
+def _ml5_same(spark, sf):
+    """A model read back decides every row as the one that was stored."""
+    df = _documents(spark, sf)
+    model = learning.train_best(df.drop("doc_id"), learners=FAST)
+    path = fresh_path(spark, "model")
+    learning.save_model(model, path, spark)
+    own = learning.predict(df, model).select("doc_id", F.col("prediction_label").alias("own"))
+    read = learning.predict(df, learning.load_model(spark, path)).select("doc_id", F.col("prediction_label").alias("read"))
+    return own.join(read, "doc_id").agg(F.count("*").alias("rows"), F.count_if(F.col("own") != F.col("read")).alias("differing"))
 
 
 def _ml5(spark, sf):
@@ -66,12 +95,19 @@ QUERIES = {
     "ml2_regression": _ml2_regression,
     "ml3": _ml3,
     "ml4": _ml4,
+    "ml2_all": _ml2_all,
+    "ml2_folds": _ml2_folds,
+    "ml3_linear": _ml3_linear,
     "ml5": _ml5,
+    "ml5_same": _ml5_same,
 }
 
 _NUMBER = r"'^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$'"
 
 SQL = {
+    "ml3_linear": """SELECT l_quantity, round(any_value(a) + any_value(b) * l_quantity, 2) AS predicted, count(*) AS rows
+        FROM lineitem, (SELECT regr_intercept(l_extendedprice, l_quantity) AS a, regr_slope(l_extendedprice, l_quantity) AS b FROM lineitem) GROUP BY l_quantity""",
+    "ml5_same": "SELECT count(*) AS rows, 0::BIGINT AS differing FROM documents JOIN labels USING (doc_id)",
     "ml1": """WITH t AS (SELECT d.doc_id, d.n_chars, d.n_chars AS words, d.lang, l.toxic, CASE WHEN l.quality = 1 THEN 'good' ELSE 'poor' END AS quality
         FROM documents d JOIN labels l USING (doc_id)) """
     + stacked(

@@ -29,6 +29,8 @@ from plumbline.session import checkpointed
 FEATURES, LABEL, PREDICTION = "__features", "__label", "prediction_label"
 # Text features are hashed into this many slots, so the vector does not grow with the data.
 HASH_SLOTS = 256
+# A classification target with more values is refused: its values are numbered on the driver.
+MAX_CLASSES = 10_000
 SEED = 42
 
 
@@ -135,7 +137,9 @@ def train_best(
     rows = labelled.count()
     if not rows:
         raise ValueError("at least one row is needed")
-    classes = labelled.select(ref(target)).distinct().count() if kind == "classification" else 0
+    classes = labelled.select(ref(target)).distinct().limit(MAX_CLASSES + 1).count() if kind == "classification" else 0
+    if classes > MAX_CLASSES:
+        raise ValueError(f"{target!r} has more than {MAX_CLASSES} values")
     stages = _stages(df, features, target, kind)
     prepared = Pipeline(stages=stages).fit(labelled)
     ready = prepared.transform(labelled).persist(StorageLevel.MEMORY_AND_DISK)
@@ -181,8 +185,8 @@ def predict(df: DataFrame, model: TrainedModel | None = None) -> DataFrame:
     return scored.select(*[ref(c) for c in df.columns], PREDICTION)
 
 
-def explain(model: TrainedModel, df: DataFrame, order_by: Sequence[str], k: int = 8) -> DataFrame:
-    """Permutation importance of the strongest ``k`` features as shares of the total.
+def explain(model: TrainedModel, df: DataFrame, order_by: Sequence[str], k: int | None = None) -> DataFrame:
+    """Permutation importance of the features, or of the strongest ``k``, as shares of the total.
 
     The values of one feature are moved along the row index by a fixed stride, the rows are scored
     again, and the loss of score is the importance of the feature.
