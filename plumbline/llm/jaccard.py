@@ -108,7 +108,10 @@ def described(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -
 
 
 def memberships(sets: DataFrame, buckets: int) -> DataFrame:
-    """``list, id`` for every first shingle that two or more sets have."""
+    """``list, id`` for every first shingle that two or more sets have.
+
+    A list is named after its members, so the many shingles that the same sets share make one list.
+    """
 
     def deal(batches):
         for batch in batches:
@@ -130,12 +133,16 @@ def memberships(sets: DataFrame, buckets: int) -> DataFrame:
         same = np.diff(rows["key"].astype(np.int64), prepend=-1) == 0
         shared = same | np.r_[same[1:], False]
         rows = rows[shared]
-        names = rows["key"].astype(np.int64) << 20 | key[0].as_py() & (1 << 20) - 1
+        begins = np.flatnonzero(np.diff(rows["key"].astype(np.int64), prepend=-1))
+        names = np.zeros(0, np.int64)
+        if len(rows):
+            sums = np.add.reduceat(mixed(rows["low"] ^ mixed(rows["high"])), begins, dtype=np.uint64)
+            names = np.repeat(sums.view(np.int64), np.diff(np.append(begins, len(rows))))
         ids = np.stack([rows["low"], rows["high"]], axis=1).tobytes()
         return pa.table({"list": names, "id": pa.array([ids[k : k + 16] for k in range(0, len(ids), 16)], pa.binary())})
 
     dealt = sets.select("id", "keys").mapInArrow(deal, "bucket long, entries binary")
-    return dealt.groupBy("bucket").applyInArrow(gather, "list long, id binary")
+    return dealt.groupBy("bucket").applyInArrow(gather, "list long, id binary").distinct()
 
 
 EDGE = "a binary, b binary"
@@ -152,15 +159,11 @@ def coarse_edges(members: DataFrame, signs: DataFrame, percent: int, shards: int
         table = table.sort_by("list")
         lists, ids = table.column("list").to_numpy(), table.column("id").to_pylist()
         sizes, bits = table.column("n").to_numpy(), table.column("bits").to_pylist()
-        begins = np.flatnonzero(np.diff(lists, prepend=-1))
+        begins = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
         found: set[tuple[bytes, bytes]] = set()
-        seen: set[tuple[bytes, ...]] = set()
         for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(lists)]):
             order = sorted(range(a, b), key=ids.__getitem__)
-            own = tuple(ids[k] for k in order)
-            if own in seen:
-                continue
-            seen.add(own)
+            own = [ids[k] for k in order]
             found.update((own[x], own[y]) for x, y in linked([bits[k] for k in order], sizes[order], percent).edges)
         return edges_table(sorted(found))
 
@@ -179,7 +182,7 @@ def exact_edges(sets: DataFrame, percent: int, shards: int, block: int) -> DataF
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "size")
     single = F.pmod(F.xxhash64("component"), F.lit(shards))
-    rows = rows.withColumn("shard", F.when(F.col("blocks") > 1, F.xxhash64("component", "low", "high") * 2 + 1).otherwise(single * 2))
+    rows = rows.withColumn("shard", F.when(F.col("blocks") > 1, F.xxhash64("component", "low", "high")).otherwise(single))
 
     def compare(key, table):
         table = table.sort_by([("component", "ascending"), ("low", "ascending"), ("high", "ascending"), ("id", "ascending")])
