@@ -172,7 +172,7 @@ QUERIES = {
     "grp1_top": _grp1_top,
     "grp2": lambda s, d: grouping.sql_query(load(s, d, "lineitem"), _GRP2),
     "grp3": lambda s, d: grouping.summarize_all(holed_orders(s, d)),
-    "grp4": lambda s, d: grouping.kpi_cards(load(s, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_orderkey")).withColumn("value", F.round("value", 4)),
+    "grp4": lambda s, d: grouping.kpi_cards(load(s, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_orderkey"), 4).withColumn("value", F.round("value", 4)),
     "grp5": lambda s, d: grouping.dataset_summary(load(s, d, "lineitem")),
     "grp6": _grp6,
     "grp6_bar": _grp6_bar,

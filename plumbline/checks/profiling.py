@@ -371,6 +371,7 @@ _PII4_SQL = """SELECT c_custkey, CASE c_custkey % 5
     FROM (SELECT c_custkey, c_name, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS d FROM customer)"""
 
 QUERIES = {
+    "agg1_table": lambda s, d: quality.table_profile(load(s, d, "nation").unionAll(load(s, d, "nation").filter("n_regionkey = 1"))),
     "agg1": _agg1,
     "agg2": lambda s, d: profile.schema_summary(profile.profile_schema(holed_orders(s, d))),
     "agg3": _agg3,
@@ -401,6 +402,8 @@ QUERIES = {
 }
 
 SQL = {
+    "agg1_table": """SELECT count(*) AS rows, 3::BIGINT AS "columns", CAST(sum(strlen(n_nationkey::VARCHAR) + strlen(n_name) + strlen(n_regionkey::VARCHAR)) AS BIGINT) AS bytes, count(*) > count(DISTINCT n_nationkey) AS has_duplicate_rows
+        FROM (SELECT * FROM nation UNION ALL SELECT * FROM nation WHERE n_regionkey = 1)""",
     "agg1": with_holed(_AGG1_SQL),
     "agg2": with_holed(
         f"""SELECT count(*) AS total_columns, count(*) FILTER (is_numeric) AS numeric_columns,

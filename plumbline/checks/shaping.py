@@ -140,6 +140,8 @@ def _set3(spark, sf):
 
 
 QUERIES = {
+    "sch1": lambda s, d: from_sql(s, d, "SELECT o_orderkey, o_orderdate, CASE o_orderpriority WHEN '1-URGENT' THEN 'daily' WHEN '2-HIGH' THEN 'weekly' WHEN '3-MEDIUM' THEN 'monthly' END AS frequency FROM {orders}")
+    .select("o_orderkey", F.date_format(history.next_run(F.col("frequency"), F.col("o_orderdate")), "yyyy-MM-dd").alias("next_run")),
     "prj1": _prj1,
     "prj1_audit": _prj1_audit,
     "prj2": _prj2,
@@ -172,6 +174,7 @@ QUERIES = {
 _RATIOS = ", ".join(f"{a}::DOUBLE / nullif({b}, 0)::DOUBLE AS {a}_to_{b}_ratio" for a, b in list(zip(NUMBERS, NUMBERS[1:]))[:5])
 
 SQL = {
+    "sch1": """SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) + CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 7 WHEN '3-MEDIUM' THEN 30 END, '%Y-%m-%d') AS next_run FROM orders""",
     "prj1": f"SELECT {', '.join(LINE)}, l_extendedprice, l_discount, l_extendedprice * (1 - l_discount) AS net FROM lineitem",
     "prj1_audit": stacked(
         f"SELECT {i} AS sequence, '{n}' AS \"column\", '{st}' AS status, (SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) FROM lineitem) AS total_net"

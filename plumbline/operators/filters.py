@@ -12,8 +12,6 @@ from plumbline.functions.fixed import PATTERN_SETS
 from plumbline.functions.kinds import plain_text, ref
 from plumbline.operators.wide import per_item
 
-DEFAULT_LIMIT = 100
-
 
 def matching(df: DataFrame, conditions: Mapping[str, object]) -> DataFrame:
     """Rows that equal every given value; a condition on None asks for null."""
@@ -25,7 +23,7 @@ def fetch(
     df: DataFrame,
     conditions: Mapping[str, object] | None = None,
     order_by: Sequence[Column | str] = (),
-    limit: int | None = DEFAULT_LIMIT,
+    limit: int | None = None,
     offset: int = 0,
 ) -> DataFrame:
     """Filter, order, skip ``offset`` rows and take ``limit``. Order by a unique key to page."""
@@ -76,7 +74,7 @@ def preview(df: DataFrame, order_by: Sequence[Column | str], n: int = 20, width:
     return df.orderBy(*order_by).limit(n).select(*cells)
 
 
-def limit(df: DataFrame, n: int = DEFAULT_LIMIT, order_by: Sequence[Column | str] = ()) -> DataFrame:
+def limit(df: DataFrame, n: int, order_by: Sequence[Column | str] = ()) -> DataFrame:
     return fetch(df, None, order_by, n)
 
 

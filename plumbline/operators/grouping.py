@@ -14,8 +14,6 @@ from plumbline.operators.correlation import pearson_matrix
 from plumbline.operators.ordering import value_ranks
 from plumbline.operators.wide import collect_wide, stack_rows
 
-DEFAULT_LIMIT = 100
-
 
 def _number(df: DataFrame, column: str) -> Column:
     """The numeric value of a cell; text that is not a number is ignored by every aggregate."""
@@ -47,7 +45,7 @@ def group_aggregate(
     keys: Sequence[str],
     aggregates: Mapping[str, tuple[str, str]],
     order_by: Sequence[Column | str] | None = None,
-    limit: int | None = DEFAULT_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """``aggregates`` maps an output name to ``(function, column)``.
 
@@ -93,8 +91,8 @@ def summarize_all(df: DataFrame) -> DataFrame:
     return df.agg(*out, F.count(F.lit(1)).alias("total_rows"))
 
 
-def kpi_cards(df: DataFrame, k: int = 4) -> DataFrame:
-    """Average of each of the first ``k`` numeric columns, one row per card."""
+def kpi_cards(df: DataFrame, k: int | None = None) -> DataFrame:
+    """Average of each numeric column, or of the first ``k``, one row per card."""
     columns = numeric_columns(df)[:k]
     wide = df.agg(*[F.avg(ref(c)).alias(f"a{i}") for i, c in enumerate(columns)])
     return stack_rows(

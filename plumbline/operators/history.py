@@ -21,6 +21,18 @@ def version_history(versions: DataFrame, key: str, value: object, created_at: st
     return versions.filter(ref(key) == F.lit(value)).orderBy(ref(created_at).desc(), *ties)
 
 
+# ---- fixed values: days from one run of a schedule to the next -------------------------------
+RUN_DAYS = {"daily": 1, "weekly": 7, "monthly": 30}
+
+
+def next_run(frequency: Column, last: Column) -> Column:
+    """The day of the next run after ``last``; null for an unknown frequency."""
+    days = F.lit(None).cast("int")
+    for name, step in RUN_DAYS.items():
+        days = F.when(frequency == name, F.lit(step)).otherwise(days)
+    return F.date_add(last.cast("date"), days)
+
+
 def current_versions(versions: DataFrame, key: str, created_at: str, tie: str) -> DataFrame:
     """The newest version of every key, found by a partial aggregate rather than a window."""
     others = [c for c in versions.columns if c != key]

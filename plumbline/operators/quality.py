@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.kinds import comparable_text, numeric_columns, ref, string_columns
+from plumbline.functions.kinds import comparable_text, numeric_columns, plain_text, ref, string_columns
 from plumbline.operators.outliers import collect_bounds, iqr_bounds, outside
 from plumbline.operators.pii import PROFILE_TYPES
 from plumbline.functions.fixed import PII_PATTERNS
@@ -27,6 +28,17 @@ def row_groups(df: DataFrame) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__copies"))
 
 
+def table_profile(df: DataFrame) -> DataFrame:
+    """One row for the whole table: rows, columns, bytes of its values as text, and whether rows repeat."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    size = reduce(add, [F.coalesce(F.octet_length(plain_text(ref(c), types[c])), F.lit(0)) for c in df.columns])
+    copies = F.col("__copies")
+    return row_groups(df).agg(
+        F.coalesce(F.sum(copies), F.lit(0)).alias("rows"), F.lit(len(df.columns)).cast("bigint").alias("columns"),
+        F.coalesce(F.sum(size * copies), F.lit(0)).alias("bytes"), F.coalesce(F.max(copies) > 1, F.lit(False)).alias("has_duplicate_rows"),
+    )
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows that belong to a duplicated group, surplus copies, and whether there are any."""
     copies = F.col("__copies")
