@@ -22,7 +22,7 @@ SYMBOL = 8
 PART = 1 << 18
 #: The part of an entry that says where the rest of the suffix stands.
 REST = np.uint64(0xFFFFFFFF)
-BLOCK = 64
+BLOCK = 16
 
 
 class RangeMinimum:
