@@ -148,31 +148,32 @@ def memberships(sets: DataFrame, buckets: int) -> DataFrame:
 EDGE = "a binary, b binary"
 
 
-def edges_table(pairs: list[tuple[bytes, bytes]]) -> pa.Table:
-    return pa.table({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())})
+def edges_table(edges: list[tuple[bytes, ...]], names: str = "ab") -> pa.Table:
+    return pa.table({name: pa.array([e[k] for e in edges], pa.binary()) for k, name in enumerate(names)})
 
 
 def coarse_edges(members: DataFrame, signs: DataFrame, percent: int, shards: int) -> DataFrame:
-    """Pairs of one list that the signature trees leave open, as few as connect all of them."""
+    """Pairs ``a, b`` of one list that the signature trees leave open, as few as connect all of them; ``c`` is the least of those connected."""
 
     def compare(key, table):
         table = table.sort_by("list")
         lists, ids = table.column("list").to_numpy(), table.column("id").to_pylist()
         sizes, bits = table.column("n").to_numpy(), table.column("bits").to_pylist()
         begins = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
-        found: set[tuple[bytes, bytes]] = set()
+        found: set[tuple[bytes, ...]] = set()
         for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(lists)]):
             order = sorted(range(a, b), key=ids.__getitem__)
             own = [ids[k] for k in order]
-            found.update((own[x], own[y]) for x, y in linked([bits[k] for k in order], sizes[order], percent).edges)
-        return edges_table(sorted(found))
+            links = linked([bits[k] for k in order], sizes[order], percent)
+            found.update((own[x], own[y], own[links.labels[x]]) for x, y in links.edges)
+        return edges_table(sorted(found), "abc")
 
     rows = members.join(signs, "id").withColumn("shard", F.pmod(F.xxhash64("list"), F.lit(shards)))
-    return rows.groupBy("shard").applyInArrow(compare, EDGE)
+    return rows.groupBy("shard").applyInArrow(compare, EDGE + ", c binary")
 
 
 def exact_edges(sets: DataFrame, percent: int, shards: int, block: int) -> DataFrame:
-    """Exact links, as few as connect each coarse group; ``sets`` has ``id, component, hashes, known`` and the group's ``size``.
+    """Exactly linked sets and the least set they are connected to, for each coarse group; ``sets`` has ``id, component, hashes, known`` and the group's ``size``.
 
     A group above ``block`` is dealt by blocks, and every two blocks meet in one task; what is ``known`` to be
     connected is not compared again.
@@ -197,7 +198,7 @@ def exact_edges(sets: DataFrame, percent: int, shards: int, block: int) -> DataF
             _, first, label = np.unique(np.array([k.hex() for k in known[a:b]]), return_index=True, return_inverse=True)
             accept = lambda x, y, s=arrays: links(s[x], s[y], percent)
             result = linked([bitmap(s) for s in arrays], np.array([len(s) for s in arrays]), percent, accept, sides, first[label])
-            found += [(ids[a + x], ids[a + y]) for x, y in result.edges]
+            found += [(ids[a + x], ids[a + y]) for x, y in enumerate(result.labels.tolist()) if x != y]
         return edges_table(found)
 
     return rows.groupBy("shard").applyInArrow(compare, EDGE)
@@ -253,7 +254,8 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     named = members.select("id").distinct()
     signs = some.groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits")).join(named, "id", "left_semi")
     coarse = stored(coarse_edges(members, signs, percent, shards).distinct(), "shingle-pairs")
-    groups = stored(components(coarse), "shingle-groups")
+    stars = coarse.select("a", F.col("c").alias("b")).unionAll(coarse.select(F.col("b").alias("a"), F.col("c").alias("b")))
+    groups = stored(components(stars), "shingle-groups")
     wanted = some.join(groups.select("id"), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
     sets = stored(exact_sets(rows, wanted.select("id", "row.doc_id", "row.text_hash"), words), "shingle-sets")
     sizes = stored(groups.groupBy("component").agg(F.count("*").alias("size")), "shingle-sizes")
@@ -262,7 +264,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
         exact = exact_edges(grouped.join(sets, "id").withColumn("known", F.col("id")), percent, shards, block)
     else:
         # Very large groups: the coarse pairs are checked first; where all of them hold, nothing is left to compare.
-        of_large = coarse.join(grouped.filter(F.col("size") > block).select(F.col("id").alias("a")), "a", "left_semi")
+        of_large = coarse.select("a", "b").distinct().join(grouped.filter(F.col("size") > block).select(F.col("id").alias("a")), "a", "left_semi")
         sure = stored(verified(of_large, sets, percent), "shingle-links")
         known = stored(components(sure), "shingle-known").withColumnRenamed("component", "known")
         labelled = grouped.join(known, "id", "left").withColumn("known", F.coalesce("known", "id"))
