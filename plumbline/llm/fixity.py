@@ -32,7 +32,7 @@ def records(pages: DataFrame, pages_per_file: int = 500, id_col: str = "page_id"
             F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"),
         ).alias("record"),
     )
-    # Offsets need lengths and order only; the records themselves are not moved twice.
+    # One archive file is one window; the caller bounds it by ``pages_per_file``.
     size = F.octet_length("record").cast("long")
     before = "sum(size) OVER (PARTITION BY file ORDER BY page_id, sha2(record, 256) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size"
     return rows.withColumn("size", size).withColumn("offset", F.expr(before)).select("file", "offset", "record", "page_id")
