@@ -37,7 +37,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth stands in passages of benchmark items."""
     found = winnowing.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=True)
-    return winnowing.marked(found.drop("text")).filter("NOT contaminated").select("row.*")
+    return winnowing.marked(found).filter("NOT contaminated").select("row.*")
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

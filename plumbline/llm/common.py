@@ -10,14 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import fresh_path
+from plumbline.session import stored
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once to the shared folder and read back, so that lost executors cost no recomputation."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["column_field", "narrowed", "slices", "stored", "texts_of", "whole_rows"]
 
 
 def narrowed(df: DataFrame, **columns: str) -> DataFrame:
@@ -30,9 +25,14 @@ def whole_rows(df: DataFrame):
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
 
-def slices(batch: pa.RecordBatch, column: str | int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def texts_of(batch: pa.RecordBatch, text_col: str) -> pa.Array:
+    """The text column of a batch, which may be part of the whole ``row``."""
+    return batch.column("row").field(text_col) if "row" in batch.schema.names else batch.column("text")
+
+
+def slices(batch: pa.RecordBatch, text_col: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about ``limit`` bytes of text each (one row at least)."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.fill_null(pc.binary_length(texts_of(batch, text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes + 1)
     start = 0
     while start < batch.num_rows:

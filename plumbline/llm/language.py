@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import narrowed, slices, whole_rows
+from plumbline.llm.common import narrowed, slices, texts_of, whole_rows
 
 ORDER = 3
 LETTER = re.compile(r"[^\W\d_]")
@@ -175,15 +175,15 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     ``2 ** -(its code length over the best)``. A null text, or one without any letter, is ``und`` with score 0
     and no bits; so is every text under a model without languages. Rows are neither merged nor dropped.
     """
-    source = docs.select(whole_rows(docs).alias("row") if keep else F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    source = docs.select(whole_rows(docs).alias("row")) if keep else narrowed(docs, doc_id=id_col, text=text_col)
     schema = T.StructType([source.schema[0], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
     frozen = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         own = frozen.value
         for batch in batches:
-            for part in slices(batch, "text"):
-                texts = part.column("text").to_pylist()
+            for part in slices(batch, text_col):
+                texts = texts_of(part, text_col).to_pylist()
                 coded = [b"\0" * ORDER + t.encode("utf-8", "replace") if own.languages and t and LETTER.search(t) else b"" for t in texts]
                 sizes = np.array([max(0, len(c) - ORDER) for c in coded], np.int64)
                 ends = np.cumsum([len(c) for c in coded])

@@ -7,6 +7,7 @@ and every piece finds its place by its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from functools import cache
@@ -43,9 +44,8 @@ def encoder(path: str):
     from tokenizers import Tokenizer
 
     letters = byte_of_letter()
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+    with open(path, encoding="utf-8") as file:
+        vocabulary = json.load(file)["model"]["vocab"]
     ranks = {bytes(map(letters.__getitem__, token)): n for token, n in vocabulary.items() if all(c in letters for c in token)}
     ranks.pop(b"<|endoftext|>", None)
     encoding = tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
@@ -54,6 +54,8 @@ def encoder(path: str):
         try:
             return encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
         except ValueError:  # a very long run of white space is too deep for its regular expressions
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     return encode

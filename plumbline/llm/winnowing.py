@@ -9,7 +9,6 @@ documents by the hash of all its words.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import narrowed, slices, stored, whole_rows
+from plumbline.llm.common import narrowed, slices, stored, texts_of, whole_rows
 from plumbline.llm.words import ALPHANUMERIC, gram_hashes, word_hashes
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -149,28 +148,30 @@ def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[s
     yield rows
 
 
-def _scan(rows: DataFrame, index: Index) -> DataFrame:
-    """``rows``, whose last columns are text, n_words and hits, with the hits of one block of items added."""
+def _scan(rows: DataFrame, index: Index, text_col: str) -> DataFrame:
+    """``rows``, whose last columns are n_words, n_hit and hits, with the hits of one block of items added."""
     names = rows.columns
     shared = rows.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
         own = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
-                texts = part.column("text").to_pylist()
+            for part in slices(batch, text_col):
+                texts = texts_of(part, text_col).to_pylist()
                 hashes, counts = word_hashes(texts, ALPHANUMERIC)
                 hits = part.column(part.num_columns - 1).to_pylist()
+                n_hit = part.column(part.num_columns - 2).to_pylist()
                 for row, met in own.meetings(hashes, counts).items():
                     for number, start, end in sorted(own.spans(words_of(texts[row]), met)):
                         hits[row] = (hits[row] or []) + [{"item_id": item, "start": start, "end": end} for item in own.items[number]]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(counts.astype(np.int64)), pa.array(hits, ARROW_HITS)], names=names)
+                    n_hit[row] = covered([(s["start"], s["end"]) for s in hits[row] or []])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-3], pa.array(counts.astype(np.int64)), pa.array(n_hit, pa.int64()), pa.array(hits, ARROW_HITS)], names=names)
 
     return rows.mapInArrow(run, rows.schema)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep: bool = False) -> DataFrame:
-    """``doc_id`` (with ``keep`` the whole ``row``), ``text, n_words, hits`` of every row: the spans of words it shares with benchmark items.
+    """``doc_id, text`` (with ``keep`` the whole ``row``) and ``n_words, n_hit, hits`` of every row: the spans of words it shares with benchmark items.
 
     A span (``item_id, start, end`` in words, end exclusive) is as long as both sides agree and has
     ``window`` words at least, or is a whole shorter item. ``hits`` is empty or null where nothing is
@@ -180,10 +181,10 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str =
     """
     if window < GRAM:
         raise ValueError(f"window must be at least {GRAM}")
-    source = docs.select(whole_rows(docs).alias("row") if keep else F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    rows = source.select("*", F.lit(None).cast("long").alias("n_words"), F.lit(None).cast(HITS).alias("hits"))
+    source = docs.select(whole_rows(docs).alias("row")) if keep else narrowed(docs, doc_id=id_col, text=text_col)
+    rows = source.select("*", F.lit(None).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast(HITS).alias("hits"))
     for k, block in enumerate(item_blocks(narrowed(benchmark, item_id=item_col, text=item_text_col), block_bytes)):
-        rows = _scan(stored(rows, "winnowed") if k else rows, Index.build(block, window))
+        rows = _scan(stored(rows, "winnowed") if k else rows, Index.build(block, window), text_col)
     return rows
 
 
@@ -196,37 +197,19 @@ def covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-SUMMARY = [
-    T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
-    T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()),
-]
-
-
 def marked(found: DataFrame) -> DataFrame:
-    """The rows of :func:`find` with ``n_hit, n_items, items_sha256, contaminated`` in place of the hits.
+    """The rows of :func:`find` with ``n_items, items_sha256, contaminated`` in place of the hits.
 
     ``contaminated``: at least a twentieth of the words, and at least one, stand in shared spans.
     """
-    schema = T.StructType(found.schema.fields[:-1] + SUMMARY)
-
-    def run(batches):
-        for batch in batches:
-            rows = [row or [] for row in batch.column(batch.num_columns - 1).to_pylist()]
-            words = batch.column(batch.num_columns - 2).to_pylist()
-            hit = [covered([(s["start"], s["end"]) for s in row]) for row in rows]
-            items = [sorted({s["item_id"] for s in row}) for row in rows]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[:-1], pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
-                    pa.array([h > 0 and 20 * h >= n for h, n in zip(hit, words)], pa.bool_()),
-                ],
-                names=schema.names,
-            )
-
-    return found.mapInArrow(run, schema)
+    items = F.array_sort(F.array_distinct(F.coalesce(F.transform("hits", lambda h: h["item_id"]), F.array().cast("array<string>"))))
+    hit = F.col("n_hit")
+    return found.select(
+        *[F.col(c) for c in found.columns[:-1]], F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"),
+    )
 
 
 def summaries(found: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` from :func:`find`."""
-    return marked(found.select("doc_id", "n_words", "hits"))
+    return marked(found.select("doc_id", "n_words", "n_hit", "hits"))
