@@ -5,6 +5,9 @@ grams inside it: equal runs have equal anchors. Consecutive runs with one anchor
 the bytes its last run needs. Anchors found once can hold no repeat; the segments of the others are collected,
 equal ones as one, and each task builds the sorted suffixes and common prefixes of its segments column by
 column. Places where the common prefix with a neighbour reaches ``length`` start a repeated run.
+
+A shard whose segments are too many for one task (a passage that very many documents share has few anchors but
+differing bytes around it) is not sorted: each of its runs is dealt by the hash of all its bytes and counted.
 """
 
 from __future__ import annotations
@@ -20,15 +23,19 @@ from pyspark.sql import types as T
 
 from plumbline.llm.common import column_field, narrowed, slices, stored
 from plumbline.llm.suffixes import repeated_starts
-from plumbline.llm.words import byte_gram_hashes
+from plumbline.llm.words import byte_gram_hashes, mixed
 
 GRAM = 64
 #: Bytes of anchors that one task sorts, and of segments that one task builds suffixes of.
 ANCHOR_BYTES, SEGMENT_BYTES = 8 << 20, 2 << 20
+#: Bytes of segments above which the runs of a shard are counted by their hashes.
+CROWDED_BYTES = 2 * SEGMENT_BYTES
 
 LOW_HALF = np.uint64(0xFFFFFFFF)
 ANCHOR = np.dtype([("anchor", "<u8"), ("text", "<u8"), ("start", "<u4"), ("runs", "u1")])
 SEGMENT = np.dtype([("start", "<u4"), ("runs", "u1"), ("anchor", "<u8")])
+RUN = np.dtype([("high", "<u8"), ("low", "<u8"), ("number", "<u8"), ("place", "<u4")])
+PLACE = np.dtype([("number", "<u8"), ("place", "<u4")])
 
 
 def sliding_least(values: np.ndarray, size: int) -> np.ndarray:
@@ -114,7 +121,7 @@ def shared_segments(found: DataFrame, buckets: int) -> DataFrame:
     return kept.groupBy("bucket").applyInArrow(by_text, "k1 long, segments binary")
 
 
-CUT = "shard long, contents binary, k1 long, k2 long, occurrences array<struct<start: int, content: binary>>"
+CUT = "shard long, contents binary, size long, k1 long, k2 long, occurrences array<struct<start: int, content: binary>>"
 
 
 def cut_out(rows: DataFrame, length: int, shards: int) -> DataFrame:
@@ -142,6 +149,7 @@ def cut_out(rows: DataFrame, length: int, shards: int) -> DataFrame:
                         own.append({"start": start, "content": name})
                     texts.append((k1, k2))
                     where.append(own)
+                sizes = [sum(len(c) for c, _ in own.values()) for own in contents.values()]
                 packed = [
                     zlib.compress(b"".join([np.array([len(own), *[len(c) for c, _ in own.values()], *[n for _, n in own.values()]], "<u4").tobytes(), *own, *[c for c, _ in own.values()]]), 1)
                     for own in contents.values()
@@ -149,11 +157,11 @@ def cut_out(rows: DataFrame, length: int, shards: int) -> DataFrame:
                 n, m = len(packed), len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([*contents, *[None] * m], pa.int64()), pa.array([*packed, *[None] * m], pa.binary()),
+                        pa.array([*contents, *[None] * m], pa.int64()), pa.array([*packed, *[None] * m], pa.binary()), pa.array([*sizes, *[None] * m], pa.int64()),
                         pa.array([*[None] * n, *[t[0] for t in texts]], pa.int64()), pa.array([*[None] * n, *[t[1] for t in texts]], pa.int64()),
                         pa.array([*[None] * n, *where], occurrence),
                     ],
-                    names=["shard", "contents", "k1", "k2", "occurrences"],
+                    names=["shard", "contents", "size", "k1", "k2", "occurrences"],
                 )
 
     return rows.mapInArrow(run, CUT)
@@ -193,7 +201,94 @@ def repeated_runs(packed: DataFrame, length: int) -> DataFrame:
             last += (edge[1::2] - 1).tolist()
         return pa.table({"content": pa.array(out, pa.binary()), "first": pa.array(first, pa.int32()), "last": pa.array(last, pa.int32())})
 
-    return packed.groupBy("shard").applyInArrow(run, "content binary, first int, last int")
+    return packed.groupBy("shard").applyInArrow(run, STARTS)
+
+
+STARTS = "content binary, first int, last int"
+
+
+def run_hashes(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every run of ``length`` bytes: all its bytes, and its halves mixed in their order."""
+    half = byte_gram_hashes(data, length // 2)
+    rest = half[length - length // 2 :]
+    return byte_gram_hashes(data, length), mixed(mixed(half[: len(rest)]) * np.uint64(3) + rest)
+
+
+def counted_runs(packed: DataFrame, length: int, parts: int) -> DataFrame:
+    """As :func:`repeated_runs`, for shards of any size: equal runs meet by their hashes, not by their anchor.
+
+    Of equal runs of one batch only one is sent on, so a run that very many segments have is no large group.
+    """
+
+    def unpack(batches):
+        for batch in batches:
+            for blob in batch.column("contents").to_pylist():
+                names, contents, counts = zip(*unpacked(blob))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(contents, pa.binary()), pa.array(counts, pa.int64())], names=["content", "bytes", "n"])
+
+    each = packed.select("contents").mapInArrow(unpack, "content binary, bytes binary, n long")
+    each = each.groupBy("content").agg(F.first("bytes").alias("bytes"), F.sum("n").alias("n"))
+    each = stored(each.withColumn("number", F.monotonically_increasing_id()), "repeat-crowded")
+    total = each.agg(F.sum(F.octet_length("bytes") - length + 1)).first()[0] or 0
+    buckets = max(parts, total * RUN.itemsize // ANCHOR_BYTES + 1)
+
+    def by_number(rows):
+        own = np.empty(len(rows), PLACE)
+        own["number"], own["place"] = rows["number"], rows["place"]
+        return own, (own["number"] % np.uint64(buckets)).astype(np.int64)
+
+    def several(rows):
+        """The runs in order of their hashes, which of them have an equal before, and which have any."""
+        rows = rows[np.lexsort((rows["low"], rows["high"]))]
+        same = np.r_[False, (rows["high"][1:] == rows["high"][:-1]) & (rows["low"][1:] == rows["low"][:-1])][: len(rows)]
+        return rows, same, same | np.r_[same[1:], False][: len(rows)]
+
+    def tagged(batch, known):
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([known] * batch.num_rows, pa.bool_())], names=["bucket", "entries", "known"])
+
+    def deal(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                contents = part.column("text").to_pylist()
+                sizes = np.array([len(c) for c in contents], np.int64)
+                begins = np.cumsum(sizes) - sizes
+                high, low = run_hashes(np.frombuffer(b"".join(contents), np.uint8), length)
+                runs = sizes - length + 1
+                place = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs)
+                at = np.repeat(begins, runs) + place
+                rows = np.empty(len(at), RUN)
+                rows["high"], rows["low"], rows["place"] = high[at], low[at], place
+                rows["number"] = np.repeat(part.column("number").to_numpy(zero_copy_only=False), runs)
+                rows, same, more = several(rows)
+                yield tagged(dealt(*by_number(rows[more])), True)
+                rows = rows[~same]
+                yield tagged(dealt(rows, (rows["high"] % np.uint64(buckets)).astype(np.int64)), False)
+
+    def meet(key, table):
+        rows, _, more = several(np.frombuffer(b"".join(table.column("entries").to_pylist()), RUN))
+        return pa.Table.from_batches([dealt(*by_number(rows[more]))])
+
+    def stretches(key, table):
+        rows = np.unique(np.frombuffer(b"".join(table.column("entries").to_pylist()), PLACE))
+        new = np.r_[True, (rows["number"][1:] != rows["number"][:-1]) | (rows["place"][1:] != rows["place"][:-1] + 1)][: len(rows)]
+        begins = np.flatnonzero(new)
+        ends = np.r_[begins[1:], len(rows)][: len(begins)] - 1
+        return pa.table({"number": rows["number"][begins].astype(np.int64), "first": rows["place"][begins].astype(np.int32), "last": rows["place"][ends].astype(np.int32)})
+
+    sent = stored(each.select("number", F.col("bytes").alias("text")).mapInArrow(deal, "bucket long, entries binary, known boolean"), "repeat-hashes")
+    met = sent.filter("NOT known").select("bucket", "entries").groupBy("bucket").applyInArrow(meet, "bucket long, entries binary")
+    places = met.unionAll(sent.filter("known").select("bucket", "entries")).groupBy("bucket").applyInArrow(stretches, "number long, first int, last int")
+    once = each.filter("n = 1").select("content", "number").join(places, "number").select("content", "first", "last")
+    return once.unionAll(each.filter("n > 1").select("content", F.lit(0).alias("first"), (F.octet_length("bytes") - length).alias("last")))
+
+
+def starts_of(packed: DataFrame, length: int, parts: int, crowded_bytes: int) -> DataFrame:
+    """``content, first, last`` of all shards, each by the way its size calls for."""
+    crowded = stored(packed.groupBy("shard").agg(F.sum("size").alias("size")).filter(F.col("size") > crowded_bytes).select("shard"), "repeat-shards")
+    if crowded.isEmpty():
+        return repeated_runs(packed, length)
+    few = repeated_runs(packed.join(F.broadcast(crowded), "shard", "left_anti"), length)
+    return few.unionAll(counted_runs(packed.join(F.broadcast(crowded), "shard", "left_semi"), length, parts))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -226,7 +321,7 @@ def find(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: s
     total = shared.agg(F.sum(F.octet_length("segments"))).first()[0] or 0
     shards = max(parts, total // SEGMENT.itemsize * (length + (length - GRAM) // 2) // SEGMENT_BYTES + 1)
     cut = stored(cut_out(source.join(shared, "k1").select("k1", "k2", "text", "segments"), length, shards), "repeat-segments")
-    starts = stored(repeated_runs(cut.filter("shard IS NOT NULL").select("shard", "contents"), length), "repeat-runs")
+    starts = stored(starts_of(cut.filter("shard IS NOT NULL").select("shard", "contents", "size"), length, parts, CROWDED_BYTES), "repeat-runs")
     places = cut.filter("k1 IS NOT NULL").select("k1", "k2", F.explode("occurrences").alias("o")).select("k1", "k2", "o.start", "o.content")
     covered = places.join(starts, "content").select("k1", "k2", F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + length).alias("b")).alias("span"), F.lit(False).alias("copied"))
     copied = source.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1")

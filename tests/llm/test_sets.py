@@ -124,6 +124,27 @@ def test_repeats_equal_brute_force(spark):
     assert repeats.digests(table(spark, [])).count() == 0
 
 
+def test_segments_of_a_common_passage_do_not_meet_in_one_task(spark, monkeypatch):
+    rng = random.Random(9)
+    passage = prose(rng, 70)[:300]
+    rows = [(k, prose(rng, 40) + passage + prose(rng, 40)) for k in range(120)] + [(200, passage), (201, prose(rng, 9) + passage[:150] + prose(rng, 40)), (202, "é" * 300)] + edge_texts()
+    whole, most = repeats.repeated_runs, []
+
+    def recorded(packed, length):
+        sizes = Counter()
+        for r in packed.collect():
+            sizes[r["shard"]] += sum(len(c) for _, c, _ in repeats.unpacked(r["contents"]))
+        most.append(max(sizes.values(), default=0))
+        return whole(packed, length)
+
+    monkeypatch.setattr(repeats, "repeated_runs", recorded)
+    for bound in (8000, 0):
+        monkeypatch.setattr(repeats, "CROWDED_BYTES", bound, raising=False)
+        got = repeats.digests(table(spark, rows))
+        assert by_row(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows, 200)
+        assert most.pop() <= bound
+
+
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
