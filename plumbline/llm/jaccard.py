@@ -21,7 +21,7 @@ from plumbline.llm.graph import components
 from plumbline.llm.signatures import bitmap, linked
 from plumbline.llm.words import VISIBLE, gram_hashes, mixed, word_hashes
 
-#: Sets of one task of the exact step; larger coarse groups are compared block by block.
+#: Sets of one comparison; larger lists and coarse groups are compared block by block.
 BLOCK = 1000
 #: Bytes of list entries that one task sorts.
 BUCKET_BYTES = 8 << 20
@@ -152,24 +152,58 @@ def edges_table(edges: list[tuple[bytes, ...]], names: str = "ab") -> pa.Table:
     return pa.table({name: pa.array([e[k] for e in edges], pa.binary()) for k, name in enumerate(names)})
 
 
-def coarse_edges(members: DataFrame, signs: DataFrame, percent: int, shards: int) -> DataFrame:
-    """Pairs ``a, b`` of one list that the signature trees leave open, as few as connect all of them; ``c`` is the least of those connected."""
+def stars(edges: DataFrame) -> DataFrame:
+    """``a, b``: every end of the edges ``a, b, c`` with ``c``."""
+    return edges.select("a", F.col("c").alias("b")).unionAll(edges.select(F.col("b").alias("a"), F.col("c").alias("b")))
+
+
+def coarse_edges(members: DataFrame, signs: DataFrame, percent: int, shards: int, block: int) -> DataFrame:
+    """Pairs ``a, b`` of one list that the signature trees leave open, as few as connect all of them; ``c`` is the least of those connected.
+
+    A list above ``block`` is dealt by blocks. Each block is compared in itself; where that and the other lists
+    leave its members in several components, every two blocks that differ in them meet in one task.
+    """
 
     def compare(key, table):
-        table = table.sort_by("list")
-        lists, ids = table.column("list").to_numpy(), table.column("id").to_pylist()
-        sizes, bits = table.column("n").to_numpy(), table.column("bits").to_pylist()
-        begins = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
+        table = table.sort_by([("list", "ascending"), ("low", "ascending"), ("high", "ascending"), ("id", "ascending")])
+        group = list(zip(*(table.column(c).to_pylist() for c in ("list", "low", "high"))))
+        ids, own, known, bits = (table.column(c).to_pylist() for c in ("id", "block", "known", "bits"))
+        sizes = table.column("n").to_numpy()
+        begins = [k for k in range(len(group)) if not k or group[k] != group[k - 1]]
         found: set[tuple[bytes, ...]] = set()
-        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(lists)]):
-            order = sorted(range(a, b), key=ids.__getitem__)
-            own = [ids[k] for k in order]
-            links = linked([bits[k] for k in order], sizes[order], percent)
-            found.update((own[x], own[y], own[links.labels[x]]) for x, y in links.edges)
+        for a, b in zip(begins, [*begins[1:], len(group)]):
+            _, low, high = group[a]
+            sides = None if low == high else np.array([int(x == high) for x in own[a:b]])
+            _, first, label = np.unique(np.array([k.hex() for k in known[a:b]]), return_index=True, return_inverse=True)
+            result = linked(bits[a:b], sizes[a:b], percent, None, sides, first[label])
+            found.update((ids[a + x], ids[a + y], ids[a + result.labels[x]]) for x, y in result.edges)
         return edges_table(sorted(found), "abc")
 
-    rows = members.join(signs, "id").withColumn("shard", F.pmod(F.xxhash64("list"), F.lit(shards)))
-    return rows.groupBy("shard").applyInArrow(compare, EDGE + ", c binary")
+    def compared(rows: DataFrame) -> DataFrame:
+        """Edges of ``list, id, block, low, high, known``."""
+        rows = rows.select("list", "id", "block", "low", "high", "known").join(signs, "id")
+        rows = rows.withColumn("shard", F.pmod(F.xxhash64("list", "low", "high"), F.lit(shards)))
+        return rows.groupBy("shard").applyInArrow(compare, EDGE + ", c binary")
+
+    large = stored(members.groupBy("list").agg(F.count("*").alias("size")).filter(F.col("size") > block), "shingle-large-lists")
+    if large.isEmpty():
+        zero = F.lit(0)
+        return compared(members.select("list", "id", zero.alias("block"), zero.alias("low"), zero.alias("high"), F.col("id").alias("known")))
+    sized = members.join(large, "list", "left").withColumn("blocks", F.ceil(F.coalesce("size", F.lit(1)) / block).cast("int"))
+    sized = sized.withColumn("block", F.pmod(F.xxhash64("list", "id"), F.col("blocks")).cast("int"))
+    inside = stored(compared(sized.select("list", "id", "block", F.col("block").alias("low"), F.col("block").alias("high"), F.col("id").alias("known"))).distinct(), "shingle-inside")
+    known = stored(components(stars(inside)), "shingle-inside-groups").withColumnRenamed("component", "known")
+    labelled = members.join(large.select("list"), "list").join(known, "id", "left").withColumn("known", F.coalesce("known", "id"))
+    counts = stored(labelled.groupBy("list", "known").agg(F.count("*").alias("n")), "shingle-list-parts")
+    # Members of the largest component of a list need no comparison with each other: they have the first blocks, all others the rest.
+    parts = counts.groupBy("list").agg(F.max(F.struct("n", "known")).alias("main"), F.sum("n").alias("all"))
+    parts = parts.filter(F.col("main.n") < F.col("all"))
+    parts = parts.select("list", F.col("main.known").alias("main"), F.ceil(F.col("main.n") / block).cast("int").alias("first"), F.ceil((F.col("all") - F.col("main.n")) / block).cast("int").alias("rest"))
+    rows = labelled.join(parts, "list").withColumn("is_main", F.col("known") == F.col("main"))
+    rows = rows.withColumn("block", F.when(F.col("is_main"), F.pmod(F.xxhash64("list", "id"), F.col("first"))).otherwise(F.col("first") + F.pmod(F.xxhash64("list", "id"), F.col("rest"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("is_main"), F.col("first")).otherwise(F.lit(0)), F.col("first") + F.col("rest") - 1)))
+    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    return inside.unionAll(compared(rows))
 
 
 def exact_edges(sets: DataFrame, percent: int, shards: int, block: int) -> DataFrame:
@@ -253,9 +287,8 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     members = stored(memberships(some, shards), "shingle-lists")
     named = members.select("id").distinct()
     signs = some.groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits")).join(named, "id", "left_semi")
-    coarse = stored(coarse_edges(members, signs, percent, shards).distinct(), "shingle-pairs")
-    stars = coarse.select("a", F.col("c").alias("b")).unionAll(coarse.select(F.col("b").alias("a"), F.col("c").alias("b")))
-    groups = stored(components(stars), "shingle-groups")
+    coarse = stored(coarse_edges(members, signs, percent, shards, block).distinct(), "shingle-pairs")
+    groups = stored(components(stars(coarse)), "shingle-groups")
     wanted = some.join(groups.select("id"), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
     sets = stored(exact_sets(rows, wanted.select("id", "row.doc_id", "row.text_hash"), words), "shingle-sets")
     sizes = stored(groups.groupBy("component").agg(F.count("*").alias("size")), "shingle-sizes")

@@ -70,9 +70,26 @@ class Links:
 
     def __init__(self, count: int, percent: int, accept: Callable[[int, int], bool] | None = None, labels: np.ndarray | None = None):
         self.labels = np.arange(count) if labels is None else labels.copy()
+        self.parent = self.labels.tolist()
         self.percent, self.accept = percent, accept
         self.edges: list[tuple[int, int]] = []
-        self.changes = 0
+        self.changes = self.seen = self.work = 0
+
+    def _root(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def _refresh(self) -> None:
+        """Bring ``labels`` up to date; while they are not, connected items may be looked at, and none is left out."""
+        if self.seen == self.changes:
+            return
+        labels = np.array(self.parent, np.int64)
+        while (labels != (further := labels[labels])).any():
+            labels = further
+        self.labels, self.parent = labels, labels.tolist()
+        self.seen, self.work = self.changes, 0
 
     def traverse(self, left: Tree, right: Tree) -> None:
         """Compare all items of both trees (of one, if it is the same), pruning by the largest possible overlap."""
@@ -86,9 +103,13 @@ class Links:
                 cuts = range(0, len(i), CHUNK)
                 stack += [(level, i[k : k + CHUNK], j[k : k + CHUNK]) for k in reversed(cuts)]
                 continue
+            # Labels are written anew once as many pairs as there are items have been looked at.
+            self.work += len(i)
+            if self.work >= len(self.labels):
+                self._refresh()
             a_level, b_level = min(level, len(left.levels) - 1), min(level, len(right.levels) - 1)
-            if known.get(level, (-1,))[0] != self.changes:
-                known[level] = (self.changes, left.labels(a_level, self.labels), right.labels(b_level, self.labels))
+            if known.get(level, (-1,))[0] != self.seen:
+                known[level] = (self.seen, left.labels(a_level, self.labels), right.labels(b_level, self.labels))
             _, (a_min, a_max), (b_min, b_max) = known[level]
             keep = ~((a_min[i] == a_max[i]) & (b_min[j] == b_max[j]) & (a_min[i] == b_min[j]))
             if same and level:
@@ -120,12 +141,13 @@ class Links:
                 near = np.argsort(cj - ci, kind="stable")
                 ci, cj = ci[near], cj[near]
             stack.append((level - 1, ci, cj))
+        self._refresh()
 
     def _settle(self, left: np.ndarray, right: np.ndarray) -> None:
         for x, y in zip(left.tolist(), right.tolist()):
-            a, b = self.labels[x], self.labels[y]
+            a, b = self._root(x), self._root(y)
             if a != b and (self.accept is None or self.accept(x, y)):
-                self.labels[self.labels == max(a, b)] = min(a, b)
+                self.parent[max(a, b)] = min(a, b)
                 self.edges.append((x, y))
                 self.changes += 1
 

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -8,7 +9,7 @@ import numpy as np
 from edges import by_row, edge_texts, prose, table
 
 from plumbline.llm import graph, jaccard, language, repeats, winnowing
-from plumbline.llm.signatures import bitmap, linked
+from plumbline.llm.signatures import Links, bitmap, linked
 from plumbline.llm.suffixes import repeated_starts
 
 VISIBLE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -61,6 +62,36 @@ def test_join_equals_all_pairs(spark):
         assert got == brute_join(rows, words, percent)
 
 
+def test_no_list_is_compared_in_one_task_above_a_block(spark, monkeypatch, tmp_path):
+    rng = random.Random(12)
+    base = prose(rng, 120).split()
+    rows = []
+    for k in range(90):
+        own = base.copy()
+        own[60 + k % 50] = f"own{k}"
+        rows.append((k, " ".join(own if k % 9 else own[:40] + prose(rng, 70).split())))
+    def counted(bitmaps, sizes, percent, accept=None, *rest):
+        if accept is None:
+            with open(f"{tmp_path}/{os.getpid()}", "a") as file:
+                file.write(f"{len(sizes)}\n")
+        return linked(bitmaps, sizes, percent, accept, *rest)
+
+    monkeypatch.setattr(jaccard, "linked", counted)
+    got = by_row(jaccard.join(table(spark, rows), 4, 85, block=10), "doc_id", "n_shingles", "component_id")
+    assert got == brute_join(rows, 4, 85)
+    assert 10 < max(int(n) for f in tmp_path.iterdir() for n in f.read_text().split()) < 50
+
+
+def test_a_chain_of_links_rewrites_labels_seldom():
+    result = Links(3000, 85)
+    writes = []
+    refresh = result._refresh
+    result._refresh = lambda: writes.append(1) or refresh()
+    result._settle(np.arange(2999), np.arange(1, 3000))
+    result._refresh()
+    assert not result.labels.any() and len(writes) == 1 and len(result.edges) == 2999
+
+
 def test_join_of_an_empty_table(spark):
     assert jaccard.join(table(spark, [])).count() == 0
 
