@@ -33,10 +33,11 @@ def byte_of_letter() -> dict[str, int]:
 
 
 @cache
-def encoder(path: str):
+def encoder(path: str, special: bool = False):
     """A function from a text to its packed ids under a tokenizer file with a byte-level BPE model.
 
-    The ids are those of the `tokenizers` library, with the strings of special tokens as ordinary text.
+    The ids are those of the `tokenizers` library. With ``special`` its added tokens get their own ids wherever
+    a text holds their strings, as by that library's default; without, they are ordinary text.
     Its vocabulary is numbered in the order of the merges, so the merges can be left to `tiktoken`,
     which takes a third of the time.
     """
@@ -45,17 +46,22 @@ def encoder(path: str):
 
     letters = byte_of_letter()
     with open(path, encoding="utf-8") as file:
-        vocabulary = json.load(file)["model"]["vocab"]
+        settings = json.load(file)
+    vocabulary, added = settings["model"]["vocab"], {t["content"]: t["id"] for t in settings["added_tokens"]}
+    if special and any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in settings["added_tokens"]):
+        raise ValueError("added tokens that take in what stands beside them are not supported")
     ranks = {bytes(map(letters.__getitem__, token)): n for token, n in vocabulary.items() if all(c in letters for c in token)}
-    ranks.pop(b"<|endoftext|>", None)
-    encoding = tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    for token in added:
+        ranks.pop(token.encode(), None)
+    encoding = tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=added if special else {})
+    allowed = set(added) if special else set()
 
     def encode(text: str) -> bytes:
         try:
-            return encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+            return encoding.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()).astype("<u4").tobytes()
         except ValueError:  # a very long run of white space is too deep for its regular expressions
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
+            tokenizer.encode_special_tokens = not special
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     return encode
@@ -74,7 +80,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: i
     ])
 
     def cut(batches):
-        encode, end = encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(tokenizer_path, special=True), np.array([end_id], dtype="<u4").tobytes()
         for whole in batches:
             for batch in slices(whole, "text"):
                 rows, at, piece, start, length, crc = batch.column("doc_id"), [], [], [], [], []

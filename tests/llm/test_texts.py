@@ -105,6 +105,17 @@ def test_ids_equal_the_tokenizer(spark):
         assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_special_tokens_have_their_own_ids(spark):
+    import zlib
+
+    encode, tokenizer = packing.encoder(PATH, special=True), Tokenizer.from_file(PATH)
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n\n b", "<|endoftext|", "it<|endoftext|>'s", "<|endoftext|> " + " " * 200_000 + "x"]
+    for text in texts:
+        assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    want = [(k, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for k, ids in enumerate(tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts[:5])]
+    assert by_row(packing.pack(table(spark, list(enumerate(texts[:5]))), PATH), "doc_id", "length", "ids_crc32") == sorted(want, key=repr)
+
+
 def test_packing_places_every_piece_without_gaps(spark):
     import zlib
 
