@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm import fixity, jaccard, language, lists, packing, private, quality, repeats, rules, winnowing
+from plumbline.llm import bisectors, fixity, infill, jaccard, language, lists, mixing, packing, private, quality, repeats, rules, winnowing
 
 
 def load(spark, sf_dir: str, name: str) -> DataFrame:
@@ -175,6 +175,109 @@ def _op10(spark, sf_dir):
     return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def _op11(spark, sf_dir):
+    return infill.transform(load(spark, sf_dir, "documents"), digests=True)
+
+
+_OP11_SQL = """
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), numbers AS (
+    SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d
+), cut AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+    FROM numbers
+), parts AS (
+    SELECT *, array_to_string(list_slice(u, 1, a), '') AS p, array_to_string(list_slice(u, a + 1, b), '') AS m, array_to_string(list_slice(u, b + 1, n), '') AS s FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+def _op12(spark, sf_dir):
+    return bisectors.cluster(load(spark, sf_dir, "embeddings"))
+
+
+def _op12_rounds() -> str:
+    """Five rounds of assignment and moving, each a pair of statements, and one more assignment."""
+    near = """a{r} AS MATERIALIZED (
+        SELECT i, x, k AS cluster, d AS distance FROM (
+            SELECT v.i, v.x, c.k, list_sum(list_transform(range(1, 65), lambda p: (v.x[p] - c.x[p]) * (v.x[p] - c.x[p]))) AS d,
+                   row_number() OVER (PARTITION BY v.i ORDER BY d, c.k) AS place
+            FROM v, c{r} AS c
+        ) WHERE place = 1
+    )"""
+    move = """c{n} AS MATERIALIZED (
+        WITH sums AS (SELECT cluster, p, sum(x[p]) AS s, count(*) AS n FROM a{r}, range(1, 65) AS t(p) GROUP BY cluster, p),
+        means AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY p) AS x FROM sums GROUP BY cluster)
+        SELECT c.k, coalesce(means.x, c.x) AS x FROM c{r} AS c LEFT JOIN means ON c.k = means.cluster
+    )"""
+    steps = []
+    for r in range(5):
+        steps += [near.format(r=r), move.format(r=r, n=r + 1)]
+    return ", ".join([*steps, near.format(r=5)])
+
+
+_OP12_SQL = f"""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64
+), c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x FROM (SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, x FROM v ORDER BY h, x LIMIT 40)
+), {_op12_rounds()}
+SELECT v.vec_id, CAST(a5.cluster AS INTEGER) AS cluster, CAST(a5.distance AS BIGINT) AS distance,
+       CAST(sum(a5.distance) OVER (PARTITION BY a5.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(a5.distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c5.x, ',')) AS centroid_sha256
+FROM a5 JOIN v USING (i) JOIN c5 ON c5.k = a5.cluster
+"""
+
+
+def _op13(spark, sf_dir):
+    return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+# The same tilts by halving, and the same copies by running sums; sizes with more documents than a part holds are not divided here.
+_OP13_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, sha256('13:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), s AS MATERIALIZED (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, avg(size) FILTER (size > 0) AS mean_size, [3, 1, 2][row_number() OVER (ORDER BY source IS NULL, source) % 3 + CASE WHEN row_number() OVER (ORDER BY source IS NULL, source) % 3 = 0 THEN 3 ELSE 0 END] AS w
+    FROM d GROUP BY source
+), filled(i, level) AS (
+    SELECT 0, 1.5 * sum(source_size) / sum(w) FROM s
+    UNION ALL
+    SELECT any_value(i) + 1, (1.5 * sum(source_size) - coalesce(sum(2.0 * source_size) FILTER (2.0 * source_size <= w * level), 0)) / sum(w) FILTER (2.0 * source_size > w * level)
+    FROM filled, s WHERE i < 60 GROUP BY level HAVING count(*) FILTER (2.0 * source_size > w * level) > 0
+), t AS MATERIALIZED (
+    SELECT source, source_size, mean_size, CASE WHEN source_size = 0 THEN 0.0 ELSE least(2.0 * source_size, w * (SELECT level FROM filled ORDER BY i DESC LIMIT 1)) END AS target FROM s
+), sizes AS MATERIALIZED (SELECT source, size, count(*) AS n FROM d GROUP BY ALL
+), halved(i, source, low, high) AS (
+    SELECT 0, source, -1000.0::DOUBLE, 1000.0::DOUBLE FROM t WHERE target > 0 AND target < 2.0 * source_size
+    UNION ALL
+    SELECT any_value(i) + 1, b.source, CASE WHEN got < any_value(target) THEN any_value(low + high) / 2 ELSE any_value(low) END, CASE WHEN got < any_value(target) THEN any_value(high) ELSE any_value(low + high) / 2 END
+    FROM (
+        SELECT any_value(i) AS i, t.source, any_value(low) AS low, any_value(high) AS high, any_value(target) AS target,
+               sum(size * n * least(2.0, exp(least((low + high) / 2 * (size / mean_size), 700.0)))) AS got
+        FROM halved JOIN t ON t.source IS NOT DISTINCT FROM halved.source JOIN sizes ON sizes.source IS NOT DISTINCT FROM t.source AND size > 0
+        WHERE i < 100 GROUP BY t.source
+    ) AS b GROUP BY b.source, got
+), rates AS (
+    SELECT sizes.source, size, n, source_size, target,
+           CAST(round(CASE WHEN low IS NULL THEN CASE WHEN target > 0 THEN 2.0 ELSE 0.0 END ELSE least(2.0, exp(least((low + high) / 2 * (size / mean_size), 700.0))) END * {mixing.UNITS}) AS HUGEINT) AS units
+    FROM sizes JOIN t ON t.source IS NOT DISTINCT FROM sizes.source LEFT JOIN (SELECT * FROM halved WHERE i = 100) AS x ON x.source IS NOT DISTINCT FROM t.source
+), sums AS (SELECT *, CAST(sum(n * units) OVER (PARTITION BY source ORDER BY size) AS HUGEINT) AS up_to FROM rates
+), odd AS (
+    SELECT *, units // {mixing.UNITS} AS base, (up_to + {mixing.UNITS // 2}) // {mixing.UNITS} - (up_to - n * units + {mixing.UNITS // 2}) // {mixing.UNITS} - n * (units // {mixing.UNITS}) AS odd FROM sums
+)
+SELECT doc_id, d.size, source_size, target, CAST(d.size * (base + CASE WHEN row_number() OVER (PARTITION BY d.source, d.size ORDER BY h, doc_id) <= odd THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN odd ON odd.source IS NOT DISTINCT FROM d.source AND odd.size = d.size
+"""
+
+
 QUERIES = {
     "op1_fixity": _op1,
     "op2_rules": _op2,
@@ -186,10 +289,16 @@ QUERIES = {
     "op8_jaccard": _op8,
     "op9_language": _op9,
     "op10_quality": _op10,
+    "op11_infill": _op11,
+    "op12_bisectors": _op12,
+    "op13_mix": _op13,
 }
 SQL: dict[str, str] = {
     "op1_fixity": _OP1_SQL,
     "op2_rules": _OP2_SQL,
     "op5_lists": _OP5_SQL,
     "op6_decontaminate": _OP6_SQL,
+    "op11_infill": _OP11_SQL,
+    "op12_bisectors": _OP12_SQL,
+    "op13_mix": _OP13_SQL,
 }
