@@ -44,6 +44,42 @@ def _strength(r):
 _GAPS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
+def _wide(n):
+    """``n`` columns w0, w1, ... of ``orders``: mixed with noise by key, three in four with gaps, one constant and one empty."""
+    bases = ["o_totalprice", "o_custkey", "o_orderkey % 97", "length(o_orderpriority)", "o_custkey % 31"]
+    out = []
+    for i in range(n):
+        noise = f"(o_orderkey * {i + 3} + o_custkey * {2 * i + 1}) % {11 + i}"
+        value = f"CAST({bases[i % 5]} AS DOUBLE) * {1 + i % 3} + CAST({bases[(i // 5 + 2) % 5]} AS DOUBLE) * {i % 4} - {noise}"
+        if i == 7:
+            value = "CAST(12.3 AS DOUBLE)"
+        if i % 4:
+            value = f"CASE WHEN (o_orderkey + o_custkey * {i}) % {5 + i % 13} <> 0 THEN {value} END"
+        if i == 13:
+            value = "CASE WHEN o_orderkey < 0 THEN CAST(o_custkey AS DOUBLE) END"
+        out.append(f"{value} AS w{i}")
+    return f"SELECT {', '.join(out)} FROM {{orders}}"
+
+
+def _wide_matrix(measure, n):
+    return lambda spark, sf: measure(from_sql(spark, sf, _wide(n)))
+
+
+def _wide_pairs(n, ranks):
+    """Correlations of all pairs of the wide table: of values by a join of the cells of a row, of ranks pair by pair."""
+    if ranks:
+        parts = stacked(f"SELECT {i} AS i, {j} AS j, {_rho(f'w{i}', f'w{j}', 'wide')} AS r" for i, j in combinations(range(n), 2))
+        cells = "SELECT 1"
+    else:
+        cells = f"SELECT r, i, v FROM (SELECT row_number() OVER () AS r, unnest(range({n})) AS i, unnest([{', '.join(f'w{i}' for i in range(n))}]) AS v FROM wide) WHERE v IS NOT NULL"
+        parts = """SELECT i, j, CASE WHEN n >= 3 AND x > 0 AND y > 0 THEN round(c / sqrt(x * y), 4) END AS r FROM (
+            SELECT a.i AS i, b.i AS j, count(*) AS n, covar_pop(a.v, b.v) AS c, var_pop(a.v) AS x, var_pop(b.v) AS y FROM cells AS a JOIN cells AS b ON a.r = b.r AND a.i < b.i GROUP BY 1, 2)"""
+    return f"""WITH wide AS ({_wide(n).replace('{orders}', 'orders')}), cells AS ({cells}), found AS ({parts}),
+        pairs AS (SELECT a.i AS i, b.j AS j, coalesce(r, 0) AS r FROM range({n}) AS a(i) JOIN range({n}) AS b(j) ON a.i < b.j LEFT JOIN found ON found.i = a.i AND found.j = b.j AND NOT isnan(r))
+        SELECT 'w' || i AS source_column, 'w' || j AS target_column, r FROM pairs
+        UNION ALL SELECT 'w' || j, 'w' || i, r FROM pairs UNION ALL SELECT 'w' || i, 'w' || i, 1.0::DOUBLE FROM range({n}) AS t(i)"""
+
+
 def _cor3_sql(columns, table):
     n = lambda a, b: f"(SELECT count(*) FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
     pairs = stacked(
@@ -214,6 +250,8 @@ def _cor3(spark, sf):
 QUERIES = {
     "cor1": lambda s, d: correlation.pearson_matrix(load(s, d, "lineitem"), LINES),
     "cor1_gaps": lambda s, d: correlation.pearson_matrix(holed_lines(s, d), _GAPS),
+    "cor1_wide": _wide_matrix(correlation.pearson_matrix, 200),
+    "cor2_wide": _wide_matrix(correlation.spearman_matrix, 20),
     "cor2": lambda s, d: correlation.spearman_matrix(load(s, d, "lineitem"), LINES),
     "cor2_gaps": lambda s, d: correlation.spearman_matrix(holed_lines(s, d), _GAPS),
     "cor3": _cor3,
@@ -235,6 +273,8 @@ QUERIES = {
 SQL = {
     "cor1": _matrix_sql(LINES, "lineitem", _r),
     "cor1_gaps": with_holed(_matrix_sql(_GAPS, "hl", _r)),
+    "cor1_wide": _wide_pairs(200, False),
+    "cor2_wide": _wide_pairs(20, True),
     "cor2": _matrix_sql(LINES, "lineitem", _rho),
     "cor2_gaps": with_holed(_matrix_sql(_GAPS, "hl", _rho)),
     "cor3": with_holed(_cor3_sql(_GAPS, "hl")),

@@ -6,23 +6,34 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.kinds import kinds, numeric_columns, ref
 from plumbline.functions.student_t import correlation_p_value
+from plumbline.operators.gram import column_moments, matrix_sums, pair_sums
 from plumbline.operators.ordering import value_ranks
-from plumbline.operators.wide import collect_wide, stack_rows
+from plumbline.operators.wide import MAX_COUNTERS, collect_wide, stack_rows
 from plumbline.session import drop_path, fresh_path
 
 # Rows of a value that holds more than one part in SALTS of all rows are spread over SALTS keys.
 SALTS = 256
+# Share of the mean square below which a difference of two sums is measured again without that difference.
+LOST_DIGITS = 1e-9
+# Ranks of all pairs that are multiplied at a time.
+RANK_CELLS = 1 << 22
 
 
 def _null_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     return collect_wide(df, {c: F.count_if(ref(c).isNull()) for c in columns})
 
 
+_MOMENTS = ("cov", "vx", "vy", "n")
+
+
 def _moments(x: Column, y: Column, x_complete: bool, y_complete: bool) -> dict[str, tuple]:
     """Aggregates for one pair over the rows where both are present.
 
@@ -50,7 +61,7 @@ def _coefficients(df: DataFrame, pairs: Sequence[tuple], columns: dict, complete
     found = collect_wide(df, wanted) if wanted else {}
     out = {}
     for a, b in pairs:
-        cov, vx, vy, n = (found[use[(name, a, b)]] for name in ("cov", "vx", "vy", "n"))
+        cov, vx, vy, n = (found[use[(name, a, b)]] for name in _MOMENTS)
         r = None
         if cov is not None and vx and vy and not any(math.isnan(v) for v in (cov, vx, vy)):
             r = max(-1.0, min(1.0, cov / math.sqrt(vx * vy)))
@@ -59,11 +70,41 @@ def _coefficients(df: DataFrame, pairs: Sequence[tuple], columns: dict, complete
 
 
 def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> dict[tuple, tuple[float | None, int]]:
-    """``{(a, b): (r, n)}`` for a before b; r is None where it is undefined."""
-    complete = {c: n == 0 for c, n in _null_counts(df, columns).items()}
+    """``{(a, b): (r, n)}`` for a before b; r is None where it is undefined.
+
+    Few columns are measured by one aggregate. For more, one pass gives the mean of every column and another one the sums
+    of products of all pairs, as one matrix.
+    """
+    columns = list(columns)
     pairs = list(combinations(columns, 2))
-    values = {(a, b): (ref(a).cast("double"), ref(b).cast("double")) for a, b in pairs}
-    return _coefficients(df, pairs, values, complete)
+    if len(pairs) * len(_MOMENTS) > MAX_COUNTERS:
+        return _gram_pairs(df, columns, pairs)
+    complete = {c: n == 0 for c, n in _null_counts(df, columns).items()}
+    return _coefficients(df, pairs, _doubles_of(pairs), complete)
+
+
+def _doubles_of(pairs: Sequence[tuple]) -> dict[tuple, tuple[Column, Column]]:
+    return {(a, b): (ref(a).cast("double"), ref(b).cast("double")) for a, b in pairs}
+
+
+def _gram_pairs(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple]) -> dict[tuple, tuple[float | None, int]]:
+    moments = column_moments(df, columns)
+    sums = pair_sums(df, columns, moments)
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        mx, my = sums.x / sums.n, sums.y / sums.n
+        vx, vy, cov = sums.xx / sums.n - mx**2, sums.yy / sums.n - my**2, sums.xy / sums.n - mx * my
+        r = cov / np.sqrt(vx * vy)
+        # Where a variance is next to nothing beside the distance from the mean of all rows, rounding has taken its digits.
+        lost = (vx <= LOST_DIGITS * sums.xx / sums.n) | (vy <= LOST_DIGITS * sums.yy / sums.n)
+    undefined = (sums.n == 0) | (sums.odd > 0) | (moments.low == moments.high)[:, None] | (moments.low == moments.high)[None, :]
+    at = {c: i for i, c in enumerate(columns)}
+    again = [(a, b) for a, b in pairs if lost[at[a], at[b]] and not undefined[at[a], at[b]]]
+    out = _coefficients(df, again, _doubles_of(again), dict.fromkeys(columns, False)) if again else {}
+    for a, b in pairs:
+        i, j = at[a], at[b]
+        known = not undefined[i, j] and math.isfinite(r[i, j])
+        out.setdefault((a, b), (max(-1.0, min(1.0, float(r[i, j]))) if known else None, int(sums.n[i, j])))
+    return out
 
 
 def _value(df: DataFrame, column: str) -> tuple[Column, Column]:
@@ -72,26 +113,35 @@ def _value(df: DataFrame, column: str) -> tuple[Column, Column]:
     return ref(column).cast("double"), exact
 
 
-def _write_ranks(rows: DataFrame, variants: Sequence[tuple[str, str | None]], path: str) -> None:
-    """Average ranks of all variants, one folder per variant, from one pass over the rows."""
+RANK_SCHEMA = "variant int, at double, exact bigint, n bigint, total bigint, counts array<bigint>, ranks array<double>"
+
+
+def _write_ranks(rows: DataFrame, columns: Sequence[str], partners: Sequence[str], path: str) -> None:
+    """Average ranks of the values of all columns, one folder per column, from one pass over the rows.
+
+    A value has its rank among all rows and, for each partner, its rank among the rows where the partner is present too,
+    with the number of copies in each. Ranks are written as distances from the mean rank.
+    """
+    with_partner = {f"p{j}": ref(c).isNotNull() for j, c in enumerate(partners)}
     stacked = []
-    for i, (column, partner) in enumerate(variants):
+    for i, column in enumerate(columns):
         position, exact = _value(rows, column)
-        present = ref(column).isNotNull() if partner is None else ref(column).isNotNull() & ref(partner).isNotNull()
-        stacked.append({"variant": F.lit(i), "at": F.when(present, position), "exact": F.when(present, exact)})
-    ranks = value_ranks(stack_rows(rows, stacked), ["at", "exact"], ["variant"])
-    average = (F.col("below") + (F.col("n") + 1) / 2.0).alias("rank")
-    ranks.select("variant", "at", "exact", "n", "total", average).write.partitionBy("variant").parquet(path)
+        stacked.append({"variant": F.lit(i), "at": position, "exact": exact, **with_partner})
+    found = value_ranks(stack_rows(rows, stacked), ["at", "exact"], ["variant"], counters={name: F.col(name) for name in with_partner})
+    tags = ["", *[f"_{name}" for name in with_partner]]
+    centred = F.array(*[F.col(f"below{t}") + (F.col(f"n{t}") - F.col(f"total{t}")) / 2.0 for t in tags])
+    table = found.select("variant", "at", "exact", "n", "total", F.array(*[F.col(f"n{t}") for t in tags]).alias("counts"), centred.alias("ranks"))
+    table.write.partitionBy("variant").parquet(path)
 
 
 def _with_rank(rows: DataFrame, ranks: DataFrame, column: str, hot: Sequence[float], name: str) -> DataFrame:
-    """Attach the rank of each value. Rows of frequent values meet copies of their rank under a
+    """Attach the ranks of each value. Rows of frequent values meet copies of their ranks under a
     second key, and rows without a value are spread by it, so no task gets a hot value whole."""
     position, exact = _value(rows, column)
     spread = F.pmod(F.xxhash64(*[ref(c) for c in rows.columns]), F.lit(SALTS)).cast("int")
     is_hot = lambda c: c.isin(list(hot)) if hot else F.lit(False)
     copies = F.when(is_hot(F.col("at")), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    table = ranks.select("at", "exact", F.col("rank").alias(name), F.explode(copies).alias("salt"))
+    table = ranks.select("at", "exact", F.col("ranks").alias(name), F.explode(copies).alias("salt"))
     keyed = rows.withColumns(
         {"__at": position, "__exact": exact, "__salt": F.when(is_hot(position) | position.isNull(), spread).otherwise(F.lit(0))}
     )
@@ -99,12 +149,39 @@ def _with_rank(rows: DataFrame, ranks: DataFrame, column: str, hot: Sequence[flo
     return keyed.join(table, same, "left").drop("at", "exact", "salt", "__at", "__exact", "__salt")
 
 
+def _cross_sums(ranked: DataFrame, tag: Sequence[int]) -> np.ndarray:
+    """Sums of products of the ranks of each pair of columns, each ranked among the rows of the pair.
+
+    ``ranked`` has the rank lists of all columns; ``tag`` is the place in any of these of the rank among the rows with a column.
+    """
+    k = len(tag)
+    pairs = list(combinations(range(k), 2))
+    out = np.zeros((k, k))
+    if len(pairs) <= MAX_COUNTERS:
+        products = {(i, j): F.sum(F.get(ranked[i], F.lit(tag[j])) * F.get(ranked[j], F.lit(tag[i]))) for i, j in pairs}
+        for (i, j), total in collect_wide(ranked, products).items():
+            out[i, j] = out[j, i] = total or 0.0
+        return out
+    place = np.array(tag)
+
+    def product(batch: pa.RecordBatch) -> np.ndarray:
+        of = np.zeros((batch.num_rows, k, k))
+        for i in range(k):
+            column = batch.column(i)
+            there = pc.is_valid(column).to_numpy(zero_copy_only=False)
+            if there.any():
+                of[there, i] = pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(int(there.sum()), -1)[:, place]
+        return np.einsum("nij,nji->ij", of, of)
+
+    return matrix_sums(ranked, (k, k), product, max(1, RANK_CELLS // k**2))
+
+
 def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> dict[tuple, tuple[float | None, int]]:
     """Correlation of average ranks, ranked within the rows where both columns are present.
 
-    A column is ranked once for all partners without nulls, and once more per partner with nulls.
-    The rank tables are written to the shared folder, so that their size is known when they are
-    joined and small ones are broadcast.
+    Every column has one table of its values with their ranks among all rows and among the rows of each column with gaps,
+    so the rows are joined with one table per column. The tables are written to the shared folder, so that their size is
+    known when they are joined and small ones are broadcast.
     """
     columns = list(columns)
     pairs = list(combinations(columns, 2))
@@ -112,31 +189,30 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> dict[tuple, tuple[f
         return {}
     spark = df.sparkSession
     nulls = _null_counts(df, columns)
-    complete = {c: nulls[c] == 0 for c in columns}
+    partners = [c for c in columns if nulls[c]]
+    tag = [1 + partners.index(c) if nulls[c] else 0 for c in columns]
     rows = df.select(*[ref(c) for c in columns])
-    variant = lambda c, partner: (c, None if complete[partner] else partner)
-    variants = list(dict.fromkeys(v for a, b in pairs for v in (variant(a, b), variant(b, a))))
     path = fresh_path(spark, "ranks")
     try:
-        _write_ranks(rows, variants, path)
-        table = spark.read.schema("variant int, at double, exact bigint, n bigint, total bigint, rank double").parquet(path)
-        # At most SALTS values of a variant can each hold more than that share of its rows.
+        _write_ranks(rows, columns, partners, path)
+        table = spark.read.schema(RANK_SCHEMA).parquet(path)
+        # At most SALTS values of a column can each hold more than that share of its rows.
         frequent: dict[int, list[float]] = {}
         for r in table.filter(F.col("n") * SALTS > F.col("total")).select("variant", "at").collect():
             frequent.setdefault(r["variant"], []).append(r["at"])
-        ranked, names = rows, {}
-        for i, v in enumerate(variants):
-            names[v] = f"__rank_{i}"
-            ranks = table.filter(F.col("variant") == i)
-            ranked = _with_rank(ranked, ranks, v[0], frequent.get(i, []), names[v])
-        values = {}
-        for a, b in pairs:
-            x, y = F.col(names[variant(a, b)]), F.col(names[variant(b, a)])
-            values[(a, b)] = (
-                x if complete[b] else F.when(ref(b).isNotNull(), x),
-                y if complete[a] else F.when(ref(a).isNotNull(), y),
-            )
-        return _coefficients(ranked, pairs, values, complete)
+        each = table.select("variant", F.posexplode(F.arrays_zip("counts", "ranks")).alias("tag", "v"))
+        spread = each.groupBy("variant", "tag").agg(F.sum("v.counts").alias("n"), F.sum(F.col("v.counts") * F.col("v.ranks") ** 2).alias("s"))
+        about = {(r["variant"], r["tag"]): (r["n"], r["s"]) for r in spread.collect()}
+        ranked = rows
+        for i, c in enumerate(columns):
+            ranked = _with_rank(ranked, table.filter(F.col("variant") == i), c, frequent.get(i, []), f"__rank_{i}")
+        cross = _cross_sums(ranked.select(*[f"__rank_{i}" for i in range(len(columns))]), tag)
+        out = {}
+        for i, j in combinations(range(len(columns)), 2):
+            (n, x), (_, y) = about.get((i, tag[j]), (0, 0.0)), about.get((j, tag[i]), (0, 0.0))
+            r = float(cross[i, j]) / math.sqrt(x * y) if n and x and y else None
+            out[(columns[i], columns[j])] = (None if r is None else max(-1.0, min(1.0, r)), n)
+        return out
     finally:
         drop_path(spark, path)
 

@@ -8,9 +8,9 @@ from bucket to bucket. The bucket is stored with the row, so a recomputed task g
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.kinds import quoted, ref
@@ -73,34 +73,40 @@ def row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_index", r
     )
 
 
-def value_ranks(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def value_ranks(
+    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET, counters: Mapping[str, Column] | None = None
+) -> DataFrame:
     """Distinct values with ``n`` (copies), ``below`` (rows before) and ``total`` per key.
 
     A value is one column or several that are ordered together; rows where the first is null are
     left out. Equal values collapse before the shuffle, so a value that holds a third of all rows
-    is one row here; a key that does is spread over the buckets of its values.
+    is one row here; a key that does is spread over the buckets of its values. ``counters`` names
+    further conditions: the rows that meet one are counted like all rows, as ``n_name``,
+    ``below_name`` and ``total_name``.
     """
     keys, columns = list(keys), list(columns)
     by_key = [ref(k) for k in keys]
+    tags = ["", *[f"_{name}" for name in counters or {}]]
+    sums = [F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(f"n_{name}") for name, c in (counters or {}).items()]]
     rows = df.filter(ref(columns[0]).isNotNull())
-    counts = stored(rows.groupBy(*by_key, *[ref(c) for c in columns]).agg(F.count(F.lit(1)).alias("n")), "value-counts")
+    counts = stored(rows.groupBy(*by_key, *[ref(c) for c in columns]).agg(*sums), "value-counts")
     placed = with_buckets(counts, [*columns, *keys], rows_per_bucket)
     inside = (
         Window.partitionBy(*by_key, BUCKET).orderBy(*[ref(c) for c in columns]).rowsBetween(Window.unboundedPreceding, -1)
     )
-    local = placed.withColumn("__inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    local = placed.withColumns({f"__inside{t}": F.coalesce(F.sum(f"n{t}").over(inside), F.lit(0)) for t in tags})
     whole = Window.partitionBy(*by_key)
     earlier = whole.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy(*by_key, BUCKET)
-        .agg(F.sum("n").alias("__rows"))
-        .withColumn("__offset", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
-        .withColumn("total", F.sum("__rows").over(whole))
+        .agg(*[F.sum(f"n{t}").alias(f"__rows{t}") for t in tags])
+        .withColumns({f"__offset{t}": F.coalesce(F.sum(f"__rows{t}").over(earlier), F.lit(0)) for t in tags})
+        .withColumns({f"total{t}": F.sum(f"__rows{t}").over(whole) for t in tags})
     )
     return (
-        _join_carry(local, offsets, keys, ["__offset", "total"])
-        .withColumn("below", F.col("__offset") + F.col("__inside"))
-        .drop(BUCKET, "__inside", "__offset")
+        _join_carry(local, offsets, keys, [f"{c}{t}" for t in tags for c in ("__offset", "total")])
+        .withColumns({f"below{t}": F.col(f"__offset{t}") + F.col(f"__inside{t}") for t in tags})
+        .drop(BUCKET, *[f"{c}{t}" for t in tags for c in ("__inside", "__offset")])
     )
 
 
