@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.checks.tables import load
+from plumbline.functions.fixed import SLOW_SECONDS
+from plumbline.session import drop_path, fresh_path
 from plumbline.streaming import files, latency, rates
 
 # Event types as request classes with limits that are reached.
@@ -35,24 +37,63 @@ def _stream(spark, sf):
 
 
 def _str1_stream(spark, sf):
-    out = files.run_available(rates.rate_counts_stream(_stream(spark, sf), "event_type", "ts", "1 hour", "15 minutes", limit=3))
-    closed = _closed(spark, sf, "2 minutes", "window_end", out)
-    return closed.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "requests", "exceeded")
+    count = lambda log: rates.rate_counts_stream(log, "event_type", "ts", "1 hour", "15 minutes", limit=3)
+    out = files.run_to_end(_stream(spark, sf), count, "ts")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "requests", "exceeded")
 
 
-def _closed(spark, sf, lateness, end, out):
-    """Windows that end well before the last event: the others stay open when the input ends."""
-    last = load(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("last")).first()["last"]
-    return out.filter(F.col(end) < F.lit(last) - F.expr(f"INTERVAL {lateness}"))
+def _decisions(spark, sf, log):
+    decide = lambda rows: rates.rate_decisions_stream(rows, "event_type", "ts", "event_id", "event_type", 600, _LIMITS, 3)
+    out = files.run_to_end(log, decide, "ts")
+    return out.select(F.col("tie").cast("bigint").alias("event_id"), F.get_json_object("pair", "$[0]").alias("event_type"), "max_requests", "allowed")
 
 
 def _str1_stream_decisions(spark, sf):
-    return files.run_available(rates.rate_decisions_stream(_stream(spark, sf), "event_type", "ts", 3, 600)).groupBy("key", "allowed").agg(F.count(F.lit(1)).alias("requests"))
+    return _decisions(spark, sf, _stream(spark, sf))
+
+
+def _str1_stream_files(spark, sf):
+    """The same log as ten files that arrive one after the other, each decided with what the ones before have left."""
+    path, events = fresh_path(spark, "event-files"), load(spark, sf, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(micros), F.max(micros)).first()
+    part = F.least(F.lit(9), F.floor((micros - low) * 10 / max(1, high - low)))
+    for k in range(10):
+        events.filter(part == k).coalesce(1).write.mode("append").parquet(path)
+    try:
+        return _decisions(spark, sf, files.read_stream(spark, path, events.schema, files_per_trigger=1))
+    finally:
+        drop_path(spark, path)
+
+
+def _str1_one_pair(spark, sf):
+    """All events as requests of one caller, above its limit most of the time, decided in slices of a few hundred."""
+    log = _log(spark, sf).withColumn("caller", F.lit("one"))
+    out = rates.rate_decisions(log, "caller", "ts", "event_id", None, 86400, {}, 40, slice_rows=300)
+    return out.select("event_id", "max_requests", "allowed")
 
 
 def _str2(spark, sf):
     log = _stream(spark, sf).withColumn("seconds", F.col("value") / 100)
-    return files.run_available(latency.latency_stream(log, "event_type", "seconds", "ts", "1 day"))
+    out = files.run_to_end(log, lambda rows: latency.latency_stream(rows, "event_type", "seconds", "ts", "1 day"), "ts")
+    return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+_ABOVE = sorted(SLOW_SECONDS.items(), key=lambda x: x[1])
+_SLOW = {name: f"value / 100 > {low}" + (f" AND value / 100 <= {_ABOVE[k + 1][1]}" if k + 1 < len(_ABOVE) else "") for k, (name, low) in enumerate(_ABOVE)}
+_LIMIT_CASE = "CASE event_type WHEN 'error' THEN 1 WHEN 'click' THEN 2 ELSE 3 END"
+
+
+def _decided_sql(pair, top, window):
+    """Requests of a pair one after the other: a list carries the allowed times that the next request still sees."""
+    return f"""WITH RECURSIVE log AS MATERIALIZED (
+        SELECT event_id, user_id, event_type, {pair} AS pair, epoch_us(ts) AS us, CAST({top} AS INTEGER) AS max_requests, row_number() OVER (PARTITION BY {pair} ORDER BY ts, event_id) AS k FROM events
+    ), walk(pair, k, recent, allowed) AS (
+        SELECT pair, 0::BIGINT, []::BIGINT[], false FROM (SELECT DISTINCT pair FROM log)
+        UNION ALL
+        SELECT pair, k, CASE WHEN len(live) < max_requests THEN list_append(live, us) ELSE live END, len(live) < max_requests
+        FROM (SELECT log.pair, log.k, us, max_requests, list_filter(recent, lambda t: t > us - {window} * 1000000::BIGINT) AS live FROM walk JOIN log ON log.pair = walk.pair AND log.k = walk.k + 1)
+    ), decided AS (SELECT event_id, user_id, event_type, max_requests, allowed FROM log JOIN walk USING (pair, k))"""
 
 
 QUERIES = {
@@ -61,6 +102,8 @@ QUERIES = {
     "str1_decisions": _str1_decisions,
     "str1_stream": _str1_stream,
     "str1_stream_decisions": _str1_stream_decisions,
+    "str1_stream_files": _str1_stream_files,
+    "str1_one_pair": _str1_one_pair,
     "str2": _str2,
 }
 
@@ -73,5 +116,13 @@ SQL = {
         count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS n FROM events) GROUP BY 1""",
     "str1_stream": """WITH s AS (SELECT event_type, to_timestamp(floor(epoch(ts) / 900) * 900 - k * 900) AT TIME ZONE 'UTC' AS w FROM events, range(4) r(k))
         SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS requests, count(*) > 3 AS exceeded
-        FROM s WHERE w + INTERVAL 1 HOUR < (SELECT max(ts) FROM events) - INTERVAL 2 MINUTES GROUP BY 1, 2""",
+        FROM s GROUP BY 1, 2""",
+    "str1_decisions": f"{_decided_sql('event_type', _LIMIT_CASE, 600)} SELECT event_id, user_id, event_type, max_requests, allowed FROM decided",
+    "str1_stream_decisions": f"{_decided_sql('event_type', _LIMIT_CASE, 600)} SELECT event_id, event_type, max_requests, allowed FROM decided",
+    "str1_stream_files": f"{_decided_sql('event_type', _LIMIT_CASE, 600)} SELECT event_id, event_type, max_requests, allowed FROM decided",
+    "str1_one_pair": f"""{_decided_sql("'one'", '40', 86400)} SELECT event_id, max_requests, allowed FROM decided""",
+    "str2": f"""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS count,
+        {", ".join(f"round(quantile_disc(value / 100, {q}) * 1000, 2) AS p{int(q * 100)}_ms" for q in (0.5, 0.95, 0.99))},
+        round(min(value / 100) * 1000, 2) AS min_ms, round(max(value / 100) * 1000, 2) AS max_ms, round(avg(value / 100) * 1000, 2) AS avg_ms,
+        {", ".join(f"count(*) FILTER ({c}) AS slow_{n}" for n, c in _SLOW.items())} FROM events GROUP BY 1, 2""",
 }

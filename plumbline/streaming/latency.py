@@ -18,7 +18,8 @@ def latency_stream(
 ) -> DataFrame:
     """Count, approximate percentiles, extremes and slow requests per endpoint and time window.
 
-    A window is emitted once the watermark has passed it; rows that come later are dropped.
+    A window is emitted once the watermark has passed it; rows that come later are dropped. What is still open when the
+    input ends is emitted by :func:`plumbline.streaming.files.run_to_end`.
     """
     v = ref(seconds)
     timed = log.withColumn("__ts", ref(ts).cast("timestamp")).withWatermark("__ts", lateness)

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from collections import deque
+from bisect import bisect_left
 from collections.abc import Iterator, Mapping
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from plumbline.functions.fixed import RATE_LIMIT_DEFAULT, RATE_LIMITS, RATE_WINDOW_SECONDS
 from plumbline.functions.kinds import ref
 from plumbline.operators.ordering import directional_fill
-from plumbline.session import checkpointed
+from plumbline.session import checkpointed, stored
 
 # Length, in windows, of the time slices into which the requests of one key are divided.
 SLICE_WINDOWS = 10
+# Requests of a pair that are decided in one piece.
+SLICE_ROWS = 100_000
 MICROS = 1_000_000
 
 
@@ -91,46 +93,114 @@ def rate_decisions(
     window: int = RATE_WINDOW_SECONDS,
     limits: Mapping[str, int] = RATE_LIMITS,
     default: int = RATE_LIMIT_DEFAULT,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Allowed or denied per request, where denied requests do not count against the limit.
 
     A request whose whole window holds no more requests than the limit is allowed whatever was
     decided before. Only the others, together with the requests in their windows, have to be
-    taken in order; they fall into spells separated by at least one window. A spell is read as a
-    stream of sorted rows that keeps at most ``limit`` times in memory, however long it is.
+    taken in order. They are numbered within their pair and cut into slices; a slice turns the
+    allowed times before it into those after it, see :func:`_slice_starts`. Once it is known with
+    which times each slice begins, all slices are decided by themselves.
     """
     span = window * MICROS
     rows = _prepared(log, key, ts, request_class, limits, default)
     # A request leaves the window after exactly ``window`` seconds, hence the open end.
     counted = _sliding_sum(rows, F.lit(1), -span + 1, 0, "__count")
-    ahead = _sliding_sum(counted, (F.col("__count") > F.col("max_requests")).cast("int"), 0, span - 1, "__over_ahead")
+    ahead = checkpointed(_sliding_sum(counted, (F.col("__count") > F.col("max_requests")).cast("int"), 0, span - 1, "__over_ahead"))
     calm = ahead.filter("__over_ahead = 0").withColumn("allowed", F.lit(True))
-    busy = _sliding_sum(ahead.filter("__over_ahead > 0"), F.lit(1), -span + 1, -1, "__earlier")
-    busy = busy.withColumn("__spell", F.when(F.col("__earlier") == 0, F.col("__at")))
-    busy = directional_fill(checkpointed(busy), ["__spell"], ["__at", tie], ["__pair"])
     names = [*log.columns, "max_requests"]
-    sorted_spells = busy.repartition("__pair", "__spell").sortWithinPartitions("__pair", "__spell", "__at", tie)
-    schema = T.StructType([*sorted_spells.schema.fields, T.StructField("allowed", T.BooleanType())])
-    decided = sorted_spells.mapInPandas(_decider(span), schema)
+    busy = directional_fill(ahead.filter("__over_ahead > 0"), [], ["__at", tie], ["__pair"], index="__place")
+    busy = stored(busy.withColumn("__slice", F.floor(F.col("__place") / slice_rows)), "busy")
+    starts = _slice_starts(busy, span)
+    spots = starts.mapInArrow(_allowed_places(span, slice_rows), "pair string, spot bigint")
+    met = busy.join(spots, (F.col("__pair") == F.col("pair")) & (F.col("__place") == F.col("spot")), "left")
+    decided = met.withColumn("allowed", F.col("spot").isNotNull())
     return calm.select(*[ref(c) for c in names], "allowed").unionByName(decided.select(*[ref(c) for c in names], "allowed"))
 
 
-def _decider(span: int):
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, recent = None, deque()
+def _walk(times: list[int], recent: list[int], top: int, span: int) -> tuple[list[int], list[int]]:
+    """The places of the allowed times of a slice, and the allowed times that its last request still sees.
+
+    Denied requests are leapt over: after ``top`` allowed ones the next is the first that comes a window after the oldest.
+    """
+    recent, places, at = list(recent), [], 0
+    while at < len(times) and top > 0:
+        if len(recent) >= top:
+            at = max(at, bisect_left(times, recent[-top] + span, at))
+            if at == len(times):
+                break
+        places.append(at)
+        recent.append(times[at])
+        at += 1
+    return places, _seen(recent, times[-1], top, span)
+
+
+def _seen(recent: list[int], now: int, top: int, span: int) -> list[int]:
+    return [t for t in recent[-top:] if t > now - span] if top > 0 else []
+
+
+_STATES = "pair string, slice bigint, first bigint, top int, entry array<bigint>, exit array<bigint>"
+
+
+def _slice_starts(busy: DataFrame, span: int) -> DataFrame:
+    """Slices ``pair, slice, top, times`` with ``entry``, the allowed times that a slice begins with.
+
+    First every slice is walked as if nothing had been allowed before it. Where the slice before ends otherwise, it is
+    walked again from that end; slices in a row that have to be walked again are one run, which a task reads slice by slice
+    and leaves at its end. That is repeated until every slice begins as the one before it ends. A pause of a window, or a
+    slice that forgets how it began, ends a run, so most runs are short; a pair that stays above its limit without a
+    pause may be one run, of eight bytes for each request, whose denied requests are leapt over.
+    """
+    spark = busy.sparkSession
+    slices = stored(
+        busy.groupBy(F.col("__pair").alias("pair"), F.col("__slice").alias("slice")).agg(F.min("max_requests").alias("top"), F.sort_array(F.collect_list("__at")).alias("times")), "rate-slices"
+    )
+
+    def walked(runs: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            current, state = None, []
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if not runs or (r["pair"], r["run"]) != current:
+                        current, state = (r["pair"], r.get("run")), r.get("start") or []
+                    entry = _seen(state, r["times"][0], r["top"], span)
+                    _, state = _walk(r["times"], entry, r["top"], span)
+                    row = {"pair": r["pair"], "slice": r["slice"], "first": r["times"][0], "top": r["top"], "entry": entry, "exit": state}
+                    yield pa.RecordBatch.from_pylist([row], _ARROW_STATES)
+
+        return run
+
+    states = stored(slices.mapInArrow(walked(False), _STATES), "rate-states")
+    in_pair = Window.partitionBy("pair").orderBy("slice")
+    while True:
+        before = F.coalesce(F.lag("exit").over(in_pair), F.array().cast("array<bigint>"))
+        seen = F.filter(F.col("before"), lambda t: t > F.col("first") - span)
+        checked = states.withColumn("before", before).withColumn("start", seen).withColumn("off", F.col("start") != F.col("entry"))
+        # A run goes on as long as slices are off; it is named by the slices of its pair that are not.
+        run = F.count_if(~F.col("off")).over(in_pair.rowsBetween(Window.unboundedPreceding, 0))
+        off = stored(checked.withColumn("run", run).filter("off").select("pair", "slice", "run", "start"), "rate-runs")
+        if off.isEmpty():
+            break
+        again = slices.join(off, ["pair", "slice"]).repartition("pair", "run").sortWithinPartitions("pair", "run", "slice")
+        new = again.mapInArrow(walked(True), _STATES)
+        kept = states.join(off, ["pair", "slice"], "left_anti").select(*states.columns)
+        states = stored(kept.unionByName(new), "rate-states")
+    return slices.join(states.select("pair", "slice", "entry"), ["pair", "slice"])
+
+
+_ARROW_STATES = pa.schema([("pair", pa.string()), ("slice", pa.int64()), ("first", pa.int64()), ("top", pa.int32()), ("entry", pa.list_(pa.int64())), ("exit", pa.list_(pa.int64()))])
+
+
+def _allowed_places(span: int, slice_rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flags = []
-            for pair, spell, at, top in zip(batch["__pair"], batch["__spell"], batch["__at"], batch["max_requests"]):
-                if (pair, spell) != current:
-                    current, recent = (pair, spell), deque()
-                while recent and recent[0] <= at - span:
-                    recent.popleft()
-                flags.append(len(recent) < top)
-                if flags[-1]:
-                    recent.append(at)
-            yield batch.assign(allowed=flags)
+            for r in batch.to_pylist():
+                places, _ = _walk(r["times"], r["entry"], r["top"], span)
+                spots = pa.array([r["slice"] * slice_rows + p for p in places], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r["pair"]] * len(places), pa.string()), spots], names=["pair", "spot"])
 
-    return decide
+    return run
 
 
 def rate_counts_stream(
@@ -145,27 +215,97 @@ def rate_counts_stream(
     )
 
 
-def rate_decisions_stream(log: DataFrame, key: str, ts: str, limit: int = RATE_LIMIT_DEFAULT, window: int = RATE_WINDOW_SECONDS) -> DataFrame:
-    """Streaming decisions with the last allowed times of each key as state (at most ``limit``).
+def rate_decisions_stream(
+    log: DataFrame,
+    key: str,
+    ts: str,
+    tie: str,
+    request_class: str | None = None,
+    window: int = RATE_WINDOW_SECONDS,
+    limits: Mapping[str, int] = RATE_LIMITS,
+    default: int = RATE_LIMIT_DEFAULT,
+    lateness: str = "2 minutes",
+) -> DataFrame:
+    """Streaming decisions ``pair, at, tie, max_requests, allowed`` in the order of event times, as :func:`rate_decisions` makes them.
+
+    A request waits in the state of its pair until the watermark has passed its time, so that it makes no difference how the
+    input is dealt over files and micro-batches. A timer at the least waiting time then decides what is due, in order. Times
+    that are later than the watermark are left out. The state of a pair holds its waiting requests and at most as many
+    allowed times as its limit; a second timer removes it one window after its last request. Run the stream with
+    :func:`plumbline.streaming.files.run_to_end`, which also takes what still waits when the input ends.
 
-    Requests of a key are taken in time order within a micro-batch.
+    Needs the RocksDB state store.
     """
     span = window * MICROS
-    timed = log.select(ref(key).cast("string").alias("key"), F.unix_micros(ref(ts).cast("timestamp")).alias("at"))
-
-    def decide(name, batches, state: GroupState):
-        recent = deque(state.get[0]) if state.exists else deque()
-        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
-        flags = []
-        for at in rows["at"]:
-            while recent and recent[0] <= at - span:
-                recent.popleft()
-            flags.append(len(recent) < limit)
-            if flags[-1]:
-                recent.append(int(at))
-        state.update((list(recent),))
-        yield rows.assign(allowed=flags)
-
-    return timed.groupBy("key").applyInPandasWithState(
-        decide, "key string, at bigint, allowed boolean", "recent array<bigint>", "append", GroupStateTimeout.NoTimeout
+    timed = _prepared(log, key, ts, request_class, limits, default).select(
+        F.col("__pair").alias("pair"), F.timestamp_micros("__at").alias("time"), F.col("__at").alias("at"), ref(tie).cast("string").alias("tie"), "max_requests"
+    )
+    return timed.withWatermark("time", lateness).groupBy("pair").transformWithState(
+        _Decisions(span), T.StructType.fromDDL(DECIDED), "Append", "EventTime"
     )
+
+
+DECIDED = "pair string, at bigint, tie string, max_requests int, allowed boolean"
+
+
+class _Decisions(StatefulProcessor):
+    """Requests of a pair in the order of their times, decided when the watermark has passed them."""
+
+    def __init__(self, span: int):
+        self.span = span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at bigint, tie string", "max_requests int, n int")
+        self.recent = handle.getValueState("recent", "times array<bigint>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        least = None
+        for r in rows:
+            if r["at"] // 1000 <= mark and mark > 0:
+                continue
+            spot = (r["at"], r["tie"])
+            n = self.waiting.getValue(spot)[1] if self.waiting.containsKey(spot) else 0
+            self.waiting.updateValue(spot, (r["max_requests"], n + 1))
+            least = r["at"] if least is None else min(least, r["at"])
+        if least is not None:
+            self.handle.registerTimer(least // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        spots = sorted(((tuple(spot), tuple(value)) for spot, value in self.waiting.iterator()), key=lambda s: (s[0][0], _in_order(s[0][1])))
+        due = [s for s in spots if s[0][0] // 1000 < mark]
+        recent = list(self.recent.get()[0]) if self.recent.exists() else []
+        out = []
+        for (at, tie), (top, n) in due:
+            for _ in range(n):
+                recent = _seen(recent, at, top, self.span)
+                allowed = len(recent) < top
+                if allowed:
+                    recent.append(at)
+                out.append(Row(pair=key[0], at=at, tie=tie, max_requests=top, allowed=allowed))
+            self.waiting.removeKey((at, tie))
+        if len(due) < len(spots):
+            self.handle.registerTimer(spots[len(due)][0][0] // 1000 + 1)
+        recent = [t for t in recent if t // 1000 + self.span // 1000 + 1 > mark]
+        if recent:
+            self.recent.update((recent,))
+            self.handle.registerTimer(recent[-1] // 1000 + self.span // 1000 + 1)
+        elif self.recent.exists():
+            self.recent.clear()
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(tie: str | None):
+    """Numbers written as text in the order of numbers, before other texts; null first."""
+    if tie is None:
+        return (0, 0, "")
+    try:
+        return (1, float(tie), tie)
+    except ValueError:
+        return (2, 0, tie)

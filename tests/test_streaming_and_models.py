@@ -26,10 +26,10 @@ def _decide(rows, limit_of, span):
     return allowed
 
 
-@pytest.mark.parametrize("seed, window", [(1, 10), (2, 30)])
-def test_rate_decisions_match_brute_force(spark, seed, window):
-    rows, df = _log(spark, seed)
-    got = rates.rate_decisions(df, "k", "ts", "id", "c", window, {"auth": 2}, 5)
+@pytest.mark.parametrize("seed, window, slice_rows", [(1, 10, 100_000), (2, 30, 7), (3, 10, 1)])
+def test_rate_decisions_match_brute_force(spark, seed, window, slice_rows):
+    rows, df = _log(spark, seed, 1500 if slice_rows > 1 else 300)
+    got = rates.rate_decisions(df, "k", "ts", "id", "c", window, {"auth": 2}, 5, slice_rows)
     want = _decide(rows, lambda c: 2 if c == "auth" else 5, window * 1_000_000)
     assert {r.id: r.allowed for r in got.collect()} == want and 0 < sum(want.values()) < len(want)
 
@@ -73,9 +73,36 @@ def test_count_stream(log_files):
     assert any(r.requests == 2 and r.exceeded for r in out) and all(r.window_start < r.window_end for r in out)
 
 
-def test_decision_stream(log_files):
-    out = files.run_available(rates.rate_decisions_stream(log_files, "k", "ts", limit=1, window=60)).collect()
-    assert sorted((r.key, r.at // 1_000_000, r.allowed) for r in out if r.at < 30_000_000 and r.at != 5_000_000) == [("a", 0, True), ("a", 10, False), ("b", 20, True)]
+def test_streams_close_with_their_input(log_files):
+    out = files.run_to_end(log_files, lambda log: latency.latency_stream(log, "k", "seconds", "ts", "1 hour", "10 minutes"), "ts").collect()
+    # The last row is the only one of its window; the late one of "a" is left out.
+    assert {(r.k, r.window_start.timestamp()): r["count"] for r in out} == {("a", 0.0): 2, ("b", 0.0): 1, ("a", 3600.0): 3, ("b", 7200.0): 1}
+
+
+def test_decision_stream_leaves_out_late_requests(log_files):
+    decide = lambda log: rates.rate_decisions_stream(log, "k", "ts", "at", window=60, default=1)
+    out = files.run_to_end(log_files, decide, "ts").collect()
+    # Spark counts a time at or before 1970 as late.
+    want = [("a", 10, True), ("a", 5000, True), ("a", 5001, False), ("a", 6000, True), ("b", 20, True), ("b", 9000, True)]
+    assert sorted((r.pair[2:-2], r.at // 1_000_000, r.allowed) for r in out) == want
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_decision_stream_equals_batch_however_files_are_dealt(spark, tmp_path, parts):
+    rows, df = _log(spark, 8, 400)
+    # Neighbouring requests change places, so that files overlap in time.
+    ordered = [rows[i ^ 3] for i in range(len(rows))]
+    step = -(-len(ordered) // parts)
+    for n in range(parts):
+        part = spark.createDataFrame(ordered[n * step : (n + 1) * step], "id int, k string, c string, m bigint").withColumn("ts", F.timestamp_micros("m")).drop("m")
+        before = set(tmp_path.glob("*.parquet"))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path))
+        for path in set(tmp_path.glob("*.parquet")) - before:
+            os.utime(path, (1_700_000_000 + n * 100,) * 2)
+    log = files.read_stream(spark, str(tmp_path), df.schema, files_per_trigger=1)
+    decide = lambda x: rates.rate_decisions_stream(x, "k", "ts", "id", "c", 10, {"auth": 2}, 5, "30 seconds")
+    out = files.run_to_end(log, decide, "ts").collect()
+    assert {int(r.tie): r.allowed for r in out} == _decide(rows, lambda c: 2 if c == "auth" else 5, 10_000_000)
 
 
 @pytest.fixture(scope="module")
