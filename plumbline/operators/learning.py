@@ -14,7 +14,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import FeatureHasher, Imputer, IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark import StorageLevel
@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.kinds import kinds, ref
-from plumbline.operators.ordering import row_index
+from plumbline.operators.contributions import explained
 from plumbline.operators.profile import loose_numeric_columns
-from plumbline.session import checkpointed
+from plumbline.operators.wide import stack_rows
 
-FEATURES, LABEL, PREDICTION = "__features", "__label", "prediction_label"
-# Text features are hashed into this many slots, so the vector does not grow with the data.
-HASH_SLOTS = 256
+FEATURES, LABEL, TARGET, PREDICTION = "__features", "__label", "__target", "prediction_label"
+# A label that no text has, as all of them begin with a mark.
+_NO_VALUE = "no value"
+# A value of a text feature has a slot of its own if at least one row in so many holds it; the others of the feature share one.
+RARE = 1000
 # A classification target with more values is refused: its values are numbered on the driver.
 MAX_CLASSES = 10_000
 SEED = 42
@@ -83,33 +85,66 @@ class TrainedModel:
         )
 
 
-def _stages(df: DataFrame, features: Sequence[str], target: str, kind: str) -> list:
-    """Missing numbers become the median; text is hashed, one slot group for all text columns."""
+def frequent_values(ready: DataFrame, columns: Sequence[str], rows: int, rare: int = RARE) -> list[list[str]]:
+    """Values of text columns that at least one row in ``rare`` holds, most frequent first; at most ``rare`` of each column.
+
+    Values are counted in one pass; only the frequent ones reach the driver.
+    """
+    out: list[list[str]] = [[] for _ in columns]
+    if columns:
+        cells = stack_rows(ready, [{"column": F.lit(i), "value": ref(c)} for i, c in enumerate(columns)])
+        counts = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * rare >= rows)
+        for r in counts.orderBy("column", F.desc("n"), "value").collect():
+            out[r["column"]].append(r["value"])
+    return out
+
+
+def _inputs(df: DataFrame, features: Sequence[str]) -> tuple[list[str], list[str]]:
+    """The names under which the stages take numbers and texts: the place of the feature, whatever its own name is."""
     own = kinds(df)
-    numbers = [c for c in features if own[c] in ("integer", "float")]
-    others = [c for c in features if c not in numbers]
+    names = [(f"__x{i}", own[c] in ("integer", "float")) for i, c in enumerate(features)]
+    return [n for n, number in names if number], [n for n, number in names if not number]
+
+
+def _stages(numbers: list[str], texts: list[str], values: list[list[str]], kind: str) -> list:
+    """Missing numbers become the median; a text has one slot for each of its frequent values and one for all others."""
     stages, inputs = [], []
     if numbers:
-        filled = [f"__n{i}" for i in range(len(numbers))]
+        filled = [f"{c}_filled" for c in numbers]
         stages.append(Imputer(strategy="median", inputCols=numbers, outputCols=filled))
         inputs += filled
-    if others:
-        stages.append(FeatureHasher(inputCols=others, outputCol="__text", numFeatures=HASH_SLOTS))
-        inputs.append("__text")
+    if texts:
+        places, slots = [f"{c}_place" for c in texts], [f"{c}_slots" for c in texts]
+        # A column without frequent values has one label that no text equals beside the slot of the others.
+        stages += [StringIndexerModel.from_labels(v or [_NO_VALUE], text, place, "keep") for v, text, place in zip(values, texts, places)]
+        stages.append(OneHotEncoder(inputCols=places, outputCols=slots, dropLast=False))
+        inputs += slots
     stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES, handleInvalid="keep"))
     if kind == "classification":
-        stages.append(StringIndexer(inputCol=target, outputCol=LABEL, handleInvalid="keep", stringOrderType="alphabetAsc"))
+        stages.append(StringIndexer(inputCol=TARGET, outputCol=LABEL, handleInvalid="keep", stringOrderType="alphabetAsc"))
     return stages
 
 
+def slot_features(model: TrainedModel) -> list[int]:
+    """The feature, by its place in ``model.features``, of every slot of the feature vector."""
+    place = lambda c: int(c.removeprefix("__x"))
+    out = []
+    for stage in model.pipeline.stages:
+        if stage.__class__.__name__ == "ImputerModel":
+            out += [place(c) for c in stage.getInputCols()]
+        elif stage.__class__.__name__ == "StringIndexerModel" and not _is_label(stage):
+            # One slot for each label, and one for all other values.
+            out += [place(stage.getInputCol())] * (len(stage.labels) + 1)
+    return out
+
+
 def _model_ready(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Numbers as double, everything else as text, which is what the feature stages take."""
+    """Adds what the feature stages take: numbers as doubles, everything else as text behind a mark, so that none is empty."""
     own = kinds(df)
-    casts = {
-        c: ref(c).cast("double") if own[c] in ("integer", "float") else F.coalesce(ref(c).cast("string"), F.lit(""))
-        for c in features
-    }
-    return df.withColumns(casts)
+    return df.withColumns({
+        f"__x{i}": ref(c).cast("double") if own[c] in ("integer", "float") else F.concat(F.lit("="), F.coalesce(ref(c).cast("string"), F.lit("")))
+        for i, c in enumerate(features)
+    })
 
 
 def train_best(
@@ -133,19 +168,23 @@ def train_best(
     if kind == "regression":
         labelled = labelled.withColumn(LABEL, ref(target).cast("double"))
     else:
-        labelled = labelled.withColumn(target, ref(target).cast("string"))
+        labelled = labelled.withColumn(TARGET, ref(target).cast("string"))
     rows = labelled.count()
     if not rows:
         raise ValueError("at least one row is needed")
     classes = labelled.select(ref(target)).distinct().limit(MAX_CLASSES + 1).count() if kind == "classification" else 0
     if classes > MAX_CLASSES:
         raise ValueError(f"{target!r} has more than {MAX_CLASSES} values")
-    stages = _stages(df, features, target, kind)
+    numbers, texts = _inputs(df, features)
+    stages = _stages(numbers, texts, frequent_values(labelled, texts, rows), kind)
     prepared = Pipeline(stages=stages).fit(labelled)
     ready = prepared.transform(labelled).persist(StorageLevel.MEMORY_AND_DISK)
     # The fold of a row is a fixed function of its content, so a recomputed task agrees.
-    held_out = F.pmod(F.xxhash64(*[ref(c) for c in labelled.columns]), F.lit(5)) == 0
+    held_out = F.pmod(F.xxhash64(*[ref(c) for c in df.columns]), F.lit(5)) == 0
     train, test = ready.filter(~held_out), ready.filter(held_out)
+    if not folds and (train.isEmpty() or test.isEmpty()):
+        # Too few rows for a fifth of them to be held out: learners are compared on the rows they have seen.
+        train = test = ready
     evaluator = (
         RegressionEvaluator(labelCol=LABEL, metricName="rmse")
         if kind == "regression"
@@ -178,41 +217,49 @@ def predict(df: DataFrame, model: TrainedModel | None = None) -> DataFrame:
     steps = model.pipeline.stages
     if model.problem == "classification":
         # The label indexer needs the target, which rows to predict need not have.
-        steps = [s for s in steps if s.__class__.__name__ != "StringIndexerModel"]
+        steps = [s for s in steps if not _is_label(s)]
     scored = PipelineModel(steps).transform(ready)
     if model.problem == "regression":
         scored = scored.withColumn(PREDICTION, F.col("prediction"))
     return scored.select(*[ref(c) for c in df.columns], PREDICTION)
 
 
-def explain(model: TrainedModel, df: DataFrame, order_by: Sequence[str], k: int | None = None) -> DataFrame:
-    """Permutation importance of the features, or of the strongest ``k``, as shares of the total.
+def contributions(model: TrainedModel, df: DataFrame, class_index: int = 0) -> DataFrame:
+    """The columns of ``df`` plus ``base, contributions, output``, see :func:`plumbline.operators.contributions.explained`.
 
-    The values of one feature are moved along the row index by a fixed stride, the rows are scored
-    again, and the loss of score is the importance of the feature.
+    ``contributions`` is in the order of ``model.features``. Of a classifier one class is explained, by default the first.
     """
-    indexed = checkpointed(row_index(df, order_by, "__i"))
-    n = df.count()
-    stride = max(n // 2 + n // 7 + 1, 1)
-    target = ref(model.target)
-
-    def loss(scored: DataFrame) -> float:
-        if model.problem == "regression":
-            gap = F.col(PREDICTION) - target.cast("double")
-            return scored.agg(F.sqrt(F.avg(gap * gap)).alias("v")).first()["v"]
-        wrong = F.when(F.col(PREDICTION) == target.cast("string"), 0.0).otherwise(1.0)
-        return scored.agg(F.avg(wrong).alias("v")).first()["v"]
-
-    base = loss(predict(df, model))
-    rows = []
-    for feature in model.features:
-        moved = indexed.select(F.pmod(F.col("__i") + stride, F.lit(n)).alias("__i"), ref(feature).alias("__moved"))
-        mixed = indexed.join(moved, "__i").withColumn(feature, F.col("__moved")).select(*[ref(c) for c in df.columns])
-        rows.append((feature, float(loss(predict(mixed, model)) - base)))
-    total = sum(abs(v) for _, v in rows)
-    out = [(f, abs(v) / total if total else 0.0, "positive" if v >= 0 else "negative") for f, v in rows]
-    out.sort(key=lambda r: (-r[1], r[0]))
-    return df.sparkSession.createDataFrame(out[:k], "feature string, importance double, impact_direction string")
+    ready = _model_ready(df, model.features).withColumn("__row", F.struct(*[ref(c) for c in df.columns]))
+    *steps, final = [s for s in model.pipeline.stages if s.__class__.__name__ != "IndexToString" and not _is_label(s)]
+    vectors = PipelineModel(steps).transform(ready).select("__row", FEATURES)
+    return explained(vectors, FEATURES, final, slot_features(model), class_index).select("__row.*", "base", "contributions", "output")
+
+
+def explain(model: TrainedModel, df: DataFrame, k: int | None = None, class_index: int = 0) -> DataFrame:
+    """The features, or the strongest ``k``, by the mean absolute contribution to the predictions of the rows of ``df``.
+
+    ``importance`` is the share of the sum over all features. The direction of a number is negative where larger values
+    contribute less; other features have no order and count as positive.
+    """
+    own = kinds(df)
+    found = contributions(model, df, class_index)
+    numbers = [i for i, c in enumerate(model.features) if own[c] in ("integer", "float")]
+    sums = found.agg(
+        *[F.avg(F.abs(F.get("contributions", F.lit(i)))).alias(f"c{i}") for i in range(len(model.features))],
+        *[F.covar_pop(ref(model.features[i]).cast("double"), F.get("contributions", F.lit(i))).alias(f"d{i}") for i in numbers],
+    ).first()
+    sizes = [sums[f"c{i}"] or 0.0 for i in range(len(model.features))]
+    total = sum(sizes)
+    out = [
+        (c, sizes[i], sizes[i] / total if total else 0.0, "negative" if i in numbers and (sums[f"d{i}"] or 0.0) < 0 else "positive")
+        for i, c in enumerate(model.features)
+    ]
+    out.sort(key=lambda r: (-r[2], r[0]))
+    return df.sparkSession.createDataFrame(out[:k], "feature string, contribution double, importance double, impact_direction string")
+
+
+def _is_label(stage) -> bool:
+    return stage.__class__.__name__ == "StringIndexerModel" and stage.getOutputCol() == LABEL
 
 
 def save_model(model: TrainedModel, path: str, spark: SparkSession) -> None:

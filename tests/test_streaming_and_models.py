@@ -120,7 +120,7 @@ def test_problem_type(flowers):
 def test_classifier_round_trip(spark, tmp_path, flowers):
     model = learning.train_best(flowers.drop("id"), learners=["DecisionTreeClassifier", "LogisticRegression"])
     assert model.problem == "classification" and model.score > 0.9 and model.rows_trained == 200
-    shares = learning.explain(model, flowers, ["id"]).collect()
+    shares = learning.explain(model, flowers).collect()
     assert shares[0].feature == "petal" and sum(r.importance for r in shares) == pytest.approx(1)
     learning.save_model(model, str(tmp_path / "model"), spark)
     again = learning.load_model(spark, str(tmp_path / "model"))
