@@ -153,7 +153,7 @@ class Links:
 
 
 def linked(bitmaps: list[bytes], sizes: np.ndarray, percent: int, accept=None, parts: np.ndarray | None = None, labels: np.ndarray | None = None) -> Links:
-    """Link sets by their bitmaps. Sets of one bitmap width share a tree; only neighbouring widths can hold similar sets.
+    """Link sets by their bitmaps. Sets of one bitmap width share a tree; widths are compared where their sizes are close enough.
 
     With ``parts`` (0 or 1 for each set) only pairs of different parts are compared.
     """
@@ -174,8 +174,12 @@ def linked(bitmaps: list[bytes], sizes: np.ndarray, percent: int, accept=None, p
         trees = [tree(word, side, word) for side in sides]
         if trees[0] and trees[-1]:
             links.traverse(trees[0], trees[-1])
-        if 2 * word in kinds:
-            wide = [tree(2 * word, side, word) for side in sides]
+        most = int(sizes[words == word].max())
+        for other in kinds[kinds > word].tolist():
+            # The larger set of a similar pair has at most 100 / percent times the size of the smaller one.
+            if percent * int(sizes[words == other].min()) > 100 * most:
+                continue
+            wide = [tree(other, side, word) for side in sides]
             for a, b in [(trees[0], wide[0])] if parts is None else [(trees[0], wide[1]), (trees[1], wide[0])]:
                 if a and b:
                     links.traverse(a, b)

@@ -62,6 +62,15 @@ def test_join_equals_all_pairs(spark):
         assert got == brute_join(rows, words, percent)
 
 
+def test_join_below_a_half_compares_sets_of_all_widths(spark):
+    rng = random.Random(21)
+    long = prose(rng, 400).split()
+    rows = [(k, " ".join(long[:n])) for k, n in enumerate((35, 68, 130, 260, 400))] + [(9, prose(rng, 30))]
+    for percent in (40, 20):
+        got = by_row(jaccard.join(table(spark, rows), 4, percent), "doc_id", "n_shingles", "component_id")
+        assert got == brute_join(rows, 4, percent) and len({g for _, _, g in got}) == 2
+
+
 def test_no_list_is_compared_in_one_task_above_a_block(spark, monkeypatch, tmp_path):
     rng = random.Random(12)
     base = prose(rng, 120).split()
