@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 
 from plumbline.llm.common import column_field, narrowed, slices, stored
 
-RANK_BUCKETS = 64
+#: Pieces of one length that are ranked together.
+RANKED = 20_000
 #: How the byte-level tokenizer splits a text before it merges bytes.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -177,13 +178,18 @@ def packing_plan(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[
     return runs
 
 
-def ranked(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """``rank``: the place, from 0, of each row among those with its key; no key is ordered in one task."""
-    bucket = F.pmod(F.xxhash64(*order), F.lit(RANK_BUCKETS)).cast("int")
-    rows = rows.withColumn("bucket", bucket)
-    counts = rows.groupBy(key, "bucket").agg(F.count("*").alias("n"))
+def ranked(rows: DataFrame, key: str, order: list[str], counts: dict[int, int]) -> DataFrame:
+    """``rank``: the place, from 0, of each row among those with its key.
+
+    ``counts`` has the rows of each key. A key is dealt by hashes of ``order`` into buckets of about ``RANKED`` rows, which
+    are ordered one by one; so tasks stay alike however many rows have one key.
+    """
+    dealt = [F.lit(x) for k, n in counts.items() if n > RANKED for x in (k, -(-n // RANKED))]
+    buckets = F.coalesce(F.create_map(*dealt)[F.col(key)], F.lit(1)) if dealt else F.lit(1)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), buckets).cast("long"))
+    sizes = rows.groupBy(key, "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(key, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = sizes.select(key, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = F.row_number().over(Window.partitionBy(key, "bucket").orderBy(*order)) - 1
     return rows.withColumn("within", within).join(bases, [key, "bucket"]).withColumn("rank", F.col("base") + F.col("within"))
 
@@ -192,13 +198,13 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     """The pieces of :func:`pieces` with ``sequence_id`` and ``offset``; places in a sequence have no gaps.
 
     Every piece is placed. Rows that are alike in all columns may swap places, which changes nothing.
-    An empty table gives an empty result. Token ids are stored in no place; a piece is found again by
+    An empty table gives an empty result. Pieces of one length are ranked in buckets whose number grows with theirs. Token ids are stored in no place; a piece is found again by
     its document, start and length.
     """
     cut = stored(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = {size: [np.array(x, dtype=np.int64) for x in zip(*sorted(runs))] for size, runs in packing_plan(counts, capacity).items()}
-    rows = ranked(cut, "length", ["doc_id", "piece", "start", "ids_crc32"])
+    rows = ranked(cut, "length", ["doc_id", "piece", "start", "ids_crc32"], counts)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     schema = T.StructType([cut.schema[c] for c in names] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 

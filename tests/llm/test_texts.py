@@ -140,6 +140,15 @@ def test_packing_places_every_piece_without_gaps(spark):
     assert packing.pack(table(spark, []), PATH).count() == 0
 
 
+def test_pieces_of_one_length_are_ranked_in_buckets_that_grow_with_them(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 10)
+    rows = spark.createDataFrame([(k, 7 if k < 150 else 3, k % 40) for k in range(160)], "doc_id long, length long, piece int")
+    out = packing.ranked(rows, "length", ["doc_id", "piece"], {7: 150, 3: 10}).collect()
+    assert sorted(r["rank"] for r in out if r["length"] == 7) == list(range(150))
+    assert sorted(r["rank"] for r in out if r["length"] == 3) == list(range(10))
+    assert len({r["bucket"] for r in out if r["length"] == 7}) > 10 and {r["bucket"] for r in out if r["length"] == 3} == {0}
+
+
 def test_plan_is_no_worse_than_first_fit_decreasing():
     rng = np.random.default_rng(0)
     for capacity in (10, 37, 100):
