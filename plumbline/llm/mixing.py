@@ -24,7 +24,7 @@ from plumbline.session import drop_path, fresh_path
 #: Rates are whole multiples of one part in this many, so that sums of them are exact.
 UNITS = 10**9
 #: Documents of one source and size that are ranked together.
-RANKED = 100_000
+RANKED = 5_000
 #: Rounds after which a tilt is taken as it is; halving a bracket as often leaves no double inside.
 ROUNDS = 200
 #: Rows of one id and size that are written out at a time.
