@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.checks.tables import from_sql, holed_orders, load, with_holed
+from plumbline.checks.tables import from_sql, holed_orders, load, plain, with_holed
 from plumbline.operators import audit, cleaning
 from plumbline.operators.outliers import collect_bounds, iqr_bounds
 from plumbline.operators.quality import duplicate_rows, quality_columns
@@ -182,6 +182,17 @@ def _dif1_summary(spark, sf):
     return audit.diff_summary(before, after, ["o_orderkey"])
 
 
+# Lines by order: keys are repeated, one in fifty is null, some lines are changed, some lost, some doubled.
+_LINES_BEFORE = "SELECT CASE WHEN l_orderkey % 50 <> 0 THEN l_orderkey END AS k, CASE WHEN l_partkey % 11 <> 0 THEN l_quantity END AS q, l_returnflag AS f FROM {lineitem}"
+_LINES_AFTER = """SELECT CASE WHEN l_orderkey % 50 <> 0 THEN l_orderkey END AS k, CASE WHEN l_partkey % 97 = 5 THEN l_quantity + 1 WHEN l_partkey % 11 <> 0 OR l_suppkey % 2 = 0 THEN l_quantity END AS q,
+    l_returnflag AS f FROM {lineitem} CROSS JOIN range(2) AS t(i) WHERE NOT (l_linenumber = 3 AND l_orderkey % 20 = 1) AND (i = 0 OR l_orderkey % 30 = 2)"""
+
+
+def _dif1_repeated(spark, sf):
+    after = _LINES_AFTER.replace("CROSS JOIN range(2) AS t(i)", "LATERAL VIEW explode(array(0, 1)) t AS i")
+    return audit.diff_summary(from_sql(spark, sf, _LINES_BEFORE), from_sql(spark, sf, after), ["k"])
+
+
 _COUNTS = "(SELECT count(*) FROM b) AS rows_before, (SELECT count(*) FROM a) AS rows_after"
 
 QUERIES = {
@@ -204,6 +215,7 @@ QUERIES = {
     "dif1": _dif1,
     "dif1_samples": _dif1_samples,
     "dif1_summary": _dif1_summary,
+    "dif1_repeated": _dif1_repeated,
     "aud1": _aud1,
 }
 
@@ -239,8 +251,18 @@ SQL = {
     ),
     "dif1_summary": with_holed(
         f"""{_VERSIONS} SELECT (SELECT count(*) FROM b) AS original_rows, (SELECT count(*) FROM a) AS cleaned_rows, 5 AS original_columns, 5 AS cleaned_columns,
-        count(*) FILTER (x <> y) AS total_changes, count(*) FILTER (x IS NULL) AS total_filled, 1::BIGINT AS columns_changed FROM j"""
+        count(*) FILTER (x <> y) AS total_changes, count(*) FILTER (x IS NULL) AS total_filled, 1::BIGINT AS columns_changed, 0::BIGINT AS repeated_before, 0::BIGINT AS repeated_after FROM j"""
     ),
+    "dif1_repeated": f"""WITH b AS ({plain(_LINES_BEFORE)}), a AS ({plain(_LINES_AFTER)}),
+    n AS (SELECT k, sum(b)::BIGINT AS nb, sum(a)::BIGINT AS na FROM (SELECT k, 1 AS b, 0 AS a FROM b UNION ALL SELECT k, 0, 1 FROM a) GROUP BY k),
+    lb AS (SELECT * FROM b EXCEPT ALL SELECT * FROM a), la AS (SELECT * FROM a EXCEPT ALL SELECT * FROM b),
+    j AS (SELECT b.q AS bq, a.q AS aq, b.f AS bf, a.f AS af FROM n JOIN b ON b.k IS NOT DISTINCT FROM n.k JOIN a ON a.k IS NOT DISTINCT FROM n.k WHERE nb = 1 AND na = 1),
+    c AS (SELECT count(*) FILTER (bq IS NOT NULL AND bq IS DISTINCT FROM aq) AS cq, count(*) FILTER (bf IS NOT NULL AND bf IS DISTINCT FROM af) AS cf,
+          count(*) FILTER (bq IS NULL AND aq IS NOT NULL) AS fq, count(*) FILTER (bf IS NULL AND af IS NOT NULL) AS ff FROM j)
+    SELECT (SELECT count(*) FROM b) AS original_rows, (SELECT count(*) FROM a) AS cleaned_rows, 3 AS original_columns, 3 AS cleaned_columns, cq + cf AS total_changes, fq + ff AS total_filled,
+        CAST((cq + fq > 0)::INT + (cf + ff > 0)::INT AS BIGINT) AS columns_changed,
+        (SELECT count(*) FROM lb JOIN n ON n.k IS NOT DISTINCT FROM lb.k WHERE nb > 1 OR na > 1) AS repeated_before,
+        (SELECT count(*) FROM la JOIN n ON n.k IS NOT DISTINCT FROM la.k WHERE nb > 1 OR na > 1) AS repeated_after FROM c""",
     "aud1": _AUD1_SQL,
 }
 SQL["cln2_brackets"] = SQL["cln2"]

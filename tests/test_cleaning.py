@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 from conftest import as_dict
 from pyspark.sql import functions as F
@@ -109,6 +112,47 @@ def test_diff_counts_changes_and_fills_apart(spark):
     assert audit.diff_summary(before, after, ["id"]).first().cleaned_rows == 3
 
 
+def brute_diff(before, after):
+    """Per column changed and filled cells of keys that both versions hold once, and rows left over under repeated keys."""
+    by = lambda rows: {k: [r for r in rows if r[0] == k] for k in {r[0] for r in rows}}
+    old, new, changed, filled, left = by(before), by(after), [0, 0], [0, 0], [0, 0]
+    for k in set(old) | set(new):
+        x, y = old.get(k, []), new.get(k, [])
+        if len(x) > 1 or len(y) > 1:
+            left[0] += (Counter(x) - Counter(y)).total()
+            left[1] += (Counter(y) - Counter(x)).total()
+        elif x and y:
+            for i in (0, 1):
+                a, b = x[0][1 + i], y[0][1 + i]
+                changed[i] += a is not None and a != b
+                filled[i] += a is None and b is not None
+    return changed, filled, left
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_versions_with_repeated_and_null_keys_are_compared_as_multisets(spark, seed):
+    rng = random.Random(seed)
+    row = lambda: (rng.choice([None, *range(30)]), rng.choice([None, 0.0, -0.0, 1.5]), rng.choice([None, "a", "b"]))
+    before = [row() for _ in range(60)] + [(None, 1.5, "a")] * 5 + [(100 + k, 1.0, None) for k in range(40)]
+    after = [r if rng.random() < 0.6 else row() for r in before if rng.random() < 0.9] + [(200, None, None)]
+    frames = [spark.createDataFrame(rows, "id int, x double, s string") for rows in (before, after)]
+    changed, filled, left = brute_diff(before, after)
+    rows = as_dict(audit.diff_columns(*frames, ["id"]), "column")
+    assert [(rows[c]["changed_count"], rows[c]["filled_count"]) for c in ("x", "s")] == list(zip(changed, filled))
+    total = audit.diff_summary(*frames, ["id"]).first()
+    assert (total.original_rows, total.cleaned_rows, total.repeated_before, total.repeated_after) == (len(before), len(after), *left)
+
+
+def test_equal_versions_of_many_columns_and_other_types(spark):
+    names = [f"c{i}" for i in range(45)]
+    before = spark.createDataFrame([(k, *range(45)) for k in range(5)], ", ".join(["k int", *[f"{n} int" for n in names]]))
+    after = before.select("k", *[F.col(n).cast("double") if i % 2 else F.col(n).cast("string") for i, n in enumerate(names)])
+    out = audit.diff_columns(before, after, ["k"]).collect()
+    assert len(out) == 45 and sum(r.changed_count + r.filled_count for r in out) == 0
+    assert audit.diff_samples(before, after, ["k"]).count() == 0
+    assert audit.diff_summary(before.limit(0), after.limit(0), ["k"]).first().total_changes == 0
+
+
 def test_derived_columns(people):
     out = derive.derive(derive.derive(people, "sum", "age + salary"), "per_year", "salary / age").orderBy("id").first()
     assert (out["sum"], out["per_year"]) == (50025, 2000)
