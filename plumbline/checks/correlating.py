@@ -24,6 +24,17 @@ def _ranked(x, y, table):
     return f"(SELECT {rank(x)} AS rx, {rank(y)} AS ry FROM {table} WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"
 
 
+def _significant(r2, n):
+    """Whether a correlation with this square has a two-sided p below 0.05, by the critical t of n - 2 degrees of freedom.
+
+    The quantile of Student's t is taken from the normal one by the first terms of its expansion, which has twelve digits
+    where there are thousands of rows.
+    """
+    z, d = 1.959963984540054, f"({n} - 2)"
+    t = f"({z} + {(z**3 + z) / 4} / {d} + {(5 * z**5 + 16 * z**3 + 3 * z) / 96} / {d} ** 2 + {(3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384} / {d} ** 3)"
+    return f"coalesce({r2} >= 1 OR {r2} * {d} > (1 - {r2}) * {t} ** 2, false)"
+
+
 def _rho(x, y, table):
     return f"(SELECT round(covar_pop(rx, ry) / sqrt(var_pop(rx) * var_pop(ry)), 4) FROM {_ranked(x, y, table)})"
 
@@ -82,17 +93,18 @@ def _wide_pairs(n, ranks):
 
 def _cor3_sql(columns, table):
     n = lambda a, b: f"(SELECT count(*) FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+    square = lambda a, b: f"(SELECT covar_pop({a}, {b}) ** 2 / (var_pop({a}) * var_pop({b})) FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
     pairs = stacked(
-        f"SELECT '{a}' AS a, '{b}' AS b, {_r(a, b, table)} AS r, {_rho(a, b, table)} AS rho, {n(a, b)} AS n"
+        f"SELECT '{a}' AS a, '{b}' AS b, {_r(a, b, table)} AS r, {_rho(a, b, table)} AS rho, {n(a, b)} AS n, {square(a, b)} AS r2"
         for a, b in combinations(columns, 2)
     )
-    diagonal = stacked(f"SELECT '{c}', '{c}', 1.0::DOUBLE, 1.0::DOUBLE, (SELECT count({c}) FROM {table})" for c in columns)
+    diagonal = stacked(f"SELECT '{c}', '{c}', 1.0::DOUBLE, 1.0::DOUBLE, (SELECT count({c}) FROM {table}), 1.0::DOUBLE" for c in columns)
     return f"""SELECT a AS source_column, b AS target_column, r AS pearson_r, rho AS spearman_r, n AS sample_size,
-        {_strength('r')} AS strength FROM (SELECT a, b, r, rho, n FROM ({pairs}) UNION ALL SELECT b, a, r, rho, n FROM ({pairs})
+        {_significant('r2', 'n')} AS significant, {_strength('r')} AS strength FROM (SELECT a, b, r, rho, n, r2 FROM ({pairs}) UNION ALL SELECT b, a, r, rho, n, r2 FROM ({pairs})
         UNION ALL {diagonal})"""
 
 
-def _overlap_sql(columns, table, numbers, threshold=0.3):
+def overlap_sql(columns, table, numbers, threshold=0.3):
     """Shared distinct values of column pairs of one family."""
     pairs = [(a, b) for a, b in combinations(columns, 2) if (a in numbers) == (b in numbers)]
     cast = lambda c: f"{c}::DOUBLE" if c in numbers else c
@@ -125,7 +137,7 @@ def _candidates_sql():
     )
     return f"""WITH rel AS ({_RELATED.replace('{orders}', 'orders')}),
     c AS (SELECT *, abs(pearson_r) AS strength FROM ({correlated}) WHERE abs(pearson_r) >= 0.5),
-    o AS ({_overlap_sql(_RELATED_COLUMNS, 'rel', _RELATED_NUMBERS)}),
+    o AS ({overlap_sql(_RELATED_COLUMNS, 'rel', _RELATED_NUMBERS)}),
     cand AS (SELECT source_column, target_column, evidence, pearson_r, spearman_r, strength, NULL::DOUBLE AS overlap_ratio, NULL::BIGINT AS overlap_count FROM c
         UNION ALL SELECT source_column, target_column, 'value_overlap', NULL, NULL, overlap_ratio, overlap_ratio, overlap_count FROM o
         WHERE (source_column, target_column) NOT IN (SELECT (source_column, target_column) FROM c))"""
@@ -176,13 +188,13 @@ def _text_time(df, *names):
 def _trd3(spark, sf):
     df = from_sql(spark, sf, "SELECT ts, event_id, CASE WHEN event_id % 9 <> 4 THEN value END AS value, user_id FROM {events}")
     out = trends.linear_trend(df, ["ts", "event_id"], ["value", "user_id"])
-    return out.drop("p_value", "significant")
+    return out.drop("p_value")
 
 
 def _trend_sql(column, expression):
     return f"""SELECT '{column}' AS "column",
         CASE WHEN regr_slope(v, x) > 0 THEN 'increasing' WHEN regr_slope(v, x) < 0 THEN 'decreasing' ELSE 'stable' END AS direction,
-        round(regr_slope(v, x), 4) AS slope, round(regr_r2(v, x), 4) AS r_squared,
+        round(regr_slope(v, x), 4) AS slope, round(regr_r2(v, x), 4) AS r_squared, {_significant('regr_r2(v, x)', 'count(v)')} AS significant,
         CASE WHEN arg_min(v, x) FILTER (v IS NOT NULL) = 0 THEN 0 ELSE round((arg_max(v, x) - arg_min(v, x)) / abs(arg_min(v, x)) * 100, 2) END AS change_pct
         FROM (SELECT last_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::DOUBLE AS v,
                      row_number() OVER (ORDER BY ts, event_id) - 1 AS x
@@ -244,7 +256,7 @@ def _jn6_sql():
 
 
 def _cor3(spark, sf):
-    return correlation.bivariate(holed_lines(spark, sf), _GAPS).drop("p_value", "significant")
+    return correlation.bivariate(holed_lines(spark, sf), _GAPS).drop("p_value")
 
 
 QUERIES = {
@@ -278,7 +290,7 @@ SQL = {
     "cor2": _matrix_sql(LINES, "lineitem", _rho),
     "cor2_gaps": with_holed(_matrix_sql(_GAPS, "hl", _rho)),
     "cor3": with_holed(_cor3_sql(_GAPS, "hl")),
-    "rel1": _overlap_sql(KEYS, "lineitem", KEYS[:5]),
+    "rel1": overlap_sql(KEYS, "lineitem", KEYS[:5]),
     "rel2": f"{_CANDIDATES} SELECT * REPLACE (coalesce(overlap_count, 0) AS overlap_count) FROM cand",
     "rel3": f"{_CANDIDATES} {_CLASSIFIED}",
     "rel4": f"""{_CANDIDATES} SELECT source_column, target_column,

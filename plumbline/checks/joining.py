@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.checks.correlating import KEYS, overlap_sql
 from plumbline.checks.tables import from_sql, holed_orders, load, stacked, with_holed
-from plumbline.operators import grouping, joins
+from plumbline.operators import grouping, joins, relationships
 from plumbline.session import fresh_path
 
 # One customer without a key and some orders without one, so that nulls meet nulls; both sides have
@@ -173,7 +174,7 @@ QUERIES = {
     "grp2": lambda s, d: grouping.sql_query(load(s, d, "lineitem"), _GRP2),
     "grp3": lambda s, d: grouping.summarize_all(holed_orders(s, d)),
     "grp4": lambda s, d: grouping.kpi_cards(load(s, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_orderkey"), 4).withColumn("value", F.round("value", 4)),
-    "grp5": lambda s, d: grouping.dataset_summary(load(s, d, "lineitem")),
+    "grp5": lambda s, d: grouping.dataset_summary(load(s, d, "lineitem"), relationships.value_overlap(load(s, d, "lineitem"), KEYS)),
     "grp6": _grp6,
     "grp6_bar": _grp6_bar,
     "grp6_line": _grp6_line,
@@ -205,7 +206,9 @@ SQL = {
         f"SELECT {i} AS card, '{c}' AS \"column\", 'avg' AS aggregation, round(avg({c}), 4) AS value FROM lineitem"
         for i, c in enumerate(["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
     ),
-    "grp5": "SELECT count(*) AS row_count, 11 AS column_count, 8 AS numeric_count, 0 AS relationship_count FROM lineitem",
+    "grp5": f"""SELECT count(*) AS row_count, (SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE lineitem)) AS column_count,
+        (SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE lineitem) WHERE column_type IN ('BIGINT', 'INTEGER', 'DOUBLE')) AS numeric_count,
+        (SELECT CAST(count(*) AS INTEGER) FROM ({overlap_sql(KEYS, 'lineitem', KEYS[:5])})) AS relationship_count FROM lineitem""",
     "grp6": """SELECT o_orderpriority AS x, round(sum(o_totalprice), 2) AS y, round(sum(o_totalprice) / (SELECT sum(o_totalprice) FROM orders), 6) AS share
         FROM orders GROUP BY 1""",
     "grp6_bar": "SELECT l_returnflag AS x, sum(l_quantity) AS y FROM lineitem GROUP BY 1",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.checks.tables import holed_lines, holed_orders, load, stacked, with_holed
+from plumbline.checks.tables import from_sql, holed_lines, holed_orders, load, plain, stacked, with_holed
 from plumbline.functions.fixed import PII_PATTERNS
 from plumbline.operators import outliers, pii, profile, quality
 
@@ -306,17 +306,24 @@ FROM f, o, g"""
 
 
 def _qlt3(spark, sf):
-    return quality.quality_metrics(holed_orders(spark, sf).drop("o_orderkey", "o_totalprice", "o_custkey", "o_orderdate"))
+    return quality.quality_metrics(_ninths(spark, sf))
 
 
-_QLT3_SQL = with_holed(
-    """, m AS (SELECT count(*) AS n, count(*) * 2 AS cells, count(*) FILTER (o_orderstatus IS NULL OR o_orderstatus = '') AS a,
-        count(*) FILTER (o_orderpriority IS NULL OR o_orderpriority = '') AS b FROM ho),
-    g AS (SELECT count(*) AS groups FROM (SELECT DISTINCT o_orderstatus, o_orderpriority FROM ho))
-    SELECT cells AS total_cells, a + b AS total_missing, round((a + b) * 100.0 / cells, 2)::DOUBLE AS missing_percentage,
-        CAST(a > 0 AS BIGINT) + CAST(b > 0 AS BIGINT) AS columns_with_missing, n - groups AS duplicate_rows,
-        greatest(0, round(1 - round((a + b) * 100.0 / cells, 2)::DOUBLE / 100 - (n - groups) / n::DOUBLE * 0.1, 4)) AS quality_score FROM m, g"""
-)
+# Orders with gaps and few values, so that rows repeat.
+_NINTHS = """SELECT o_orderkey % 9 AS part, CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey % 4 END AS customer, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS o_orderstatus,
+    CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice / 100000, 0) END AS price, date_trunc('year', o_orderdate) AS year, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority ELSE '' END AS o_orderpriority FROM {orders}"""
+
+
+def _ninths(spark, sf):
+    return from_sql(spark, sf, _NINTHS)
+
+
+_QLT3_SQL = f"""WITH t AS ({plain(_NINTHS)}), n AS (SELECT count(*) AS n FROM t),
+    m AS ({stacked(f"SELECT count(*) FILTER ({c} IS NULL{' OR ' + c + chr(32) + '=' + chr(32) + chr(39) * 2 if c.startswith('o_') else ''}) AS k FROM t" for c in ["part", "customer", "o_orderstatus", "price", "year", "o_orderpriority"])}),
+    g AS (SELECT count(*) AS groups FROM (SELECT DISTINCT * FROM t)),
+    s AS (SELECT n * 6 AS cells, (SELECT sum(k)::BIGINT FROM m) AS missing, (SELECT count(*) FROM m WHERE k > 0) AS with_missing, n - groups AS surplus, n FROM n, g)
+    SELECT cells AS total_cells, missing AS total_missing, round(missing * 100.0 / cells, 2)::DOUBLE AS missing_percentage, with_missing AS columns_with_missing, surplus AS duplicate_rows,
+        greatest(0, round(1 - round(missing * 100.0 / cells, 2)::DOUBLE / 100 - surplus / n::DOUBLE * 0.1, 4)) AS quality_score FROM s"""
 
 
 def _dup1(spark, sf):
@@ -371,7 +378,7 @@ _PII4_SQL = """SELECT c_custkey, CASE c_custkey % 5
     FROM (SELECT c_custkey, c_name, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS d FROM customer)"""
 
 QUERIES = {
-    "agg1_table": lambda s, d: quality.table_profile(load(s, d, "nation").unionAll(load(s, d, "nation").filter("n_regionkey = 1"))),
+    "agg1_table": lambda s, d: quality.table_profile(load(s, d, "documents").unionAll(load(s, d, "documents").filter("doc_id % 7 = 3"))),
     "agg1": _agg1,
     "agg2": lambda s, d: profile.schema_summary(profile.profile_schema(holed_orders(s, d))),
     "agg3": _agg3,
@@ -402,8 +409,9 @@ QUERIES = {
 }
 
 SQL = {
-    "agg1_table": """SELECT count(*) AS rows, 3::BIGINT AS "columns", CAST(sum(strlen(n_nationkey::VARCHAR) + strlen(n_name) + strlen(n_regionkey::VARCHAR)) AS BIGINT) AS bytes, count(*) > count(DISTINCT n_nationkey) AS has_duplicate_rows
-        FROM (SELECT * FROM nation UNION ALL SELECT * FROM nation WHERE n_regionkey = 1)""",
+    "agg1_table": """SELECT count(*) AS rows, (SELECT count(*) FROM (DESCRIBE documents)) AS "columns",
+        CAST(sum(strlen(doc_id::VARCHAR) + coalesce(strlen(text), 0) + coalesce(strlen(lang), 0) + coalesce(strlen(source), 0) + coalesce(strlen(n_chars::VARCHAR), 0)) AS BIGINT) AS bytes,
+        count(*) > count(DISTINCT doc_id) AS has_duplicate_rows FROM (SELECT * FROM documents UNION ALL SELECT * FROM documents WHERE doc_id % 7 = 3)""",
     "agg1": with_holed(_AGG1_SQL),
     "agg2": with_holed(
         f"""SELECT count(*) AS total_columns, count(*) FILTER (is_numeric) AS numeric_columns,

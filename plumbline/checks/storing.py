@@ -48,7 +48,7 @@ def _prepare_typed(spark, sf):
     """The whole way from a written table: what it is typed and cleaned to, with no value lost."""
     path = _written(load(spark, sf, "orders"), "orders", "csv", header=True)
     done = prepare(readers.read_csv(spark, path), ["o_orderkey"])
-    return done.cleaned.select("o_orderkey", "o_custkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"), "o_orderpriority")
+    return done.cleaned.select("o_orderkey", "o_custkey", "o_orderstatus", F.round("o_totalprice", 4).alias("o_totalprice"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"), "o_orderpriority")
 
 
 def _prepare_losses(spark, sf):
@@ -57,12 +57,13 @@ def _prepare_losses(spark, sf):
 
 
 def _src8_files(spark, sf):
-    """Tables written twice: every file of a copy equals one of the first."""
-    path = fresh_path(spark, "copies")
-    for k, name in enumerate(["region", "nation", "region"]):
-        load(spark, sf, name).coalesce(1).write.json(f"{path}/{k}")
-    found = stores.duplicate_files(spark, f"{path}/*/", "*.json")
-    return found.groupBy("digest").agg(F.count("*").alias("files"), F.max("copies").alias("copies")).select("files", "copies")
+    """Texts written as one file for each fifth of the ids; two of these are written again, and one of them a third time."""
+    path, docs = fresh_path(spark, "copies"), load(spark, sf, "documents")
+    for k, part in enumerate([0, 1, 2, 3, 4, 1, 3, 1]):
+        lines = docs.filter(F.col("doc_id") % 5 == part).select("doc_id", F.to_json(F.struct("doc_id", F.md5(F.col("text").cast("binary")).alias("text"))).alias("value"))
+        lines.coalesce(1).sortWithinPartitions("doc_id").select("value").write.text(f"{path}/{k}")
+    found = stores.duplicate_files(spark, f"{path}/*/", "*.txt")
+    return found.groupBy("digest").agg(F.count("*").alias("files"), F.max("copies").alias("copies"))
 
 
 def _src2(spark, sf):
@@ -137,9 +138,10 @@ QUERIES = {
 SQL = {
     "src1_lineitem": "SELECT * REPLACE (CAST(l_linenumber AS BIGINT) AS l_linenumber, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate) FROM lineitem",
     "src1_documents": "SELECT doc_id, text, lang FROM documents",
-    "prepare_cleaned": "SELECT o_orderkey, o_custkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders",
+    "prepare_cleaned": "SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 4) AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders",
     "prepare_losses": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS \"values\", 0::BIGINT AS lost FROM orders" for c in ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]),
-    "src8_files": "SELECT count(*) AS files, count(*) AS copies FROM (SELECT * FROM (VALUES ('region'), ('nation'), ('region')) AS t(name)) GROUP BY name HAVING count(*) > 1",
+    "src8_files": """WITH files AS (SELECT doc_id % 5 AS part, md5(string_agg('{"doc_id":' || doc_id || ',"text":"' || md5(text) || '"}' || chr(10), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1)
+        SELECT digest, count(*) AS files, count(*) AS copies FROM files JOIN (SELECT unnest([0, 1, 2, 3, 4, 1, 3, 1]) AS part) USING (part) GROUP BY 1 HAVING count(*) > 1""",
     "src1": """SELECT o_orderkey::VARCHAR AS o_orderkey, CASE WHEN o_orderkey % 10 NOT IN (1, 2, 3, 4) THEN o_orderstatus END AS status,
         o_orderpriority || ', "' || o_orderstatus || '"' AS note, o_totalprice::VARCHAR AS o_totalprice FROM orders""",
     "src2": """SELECT o_orderkey::DOUBLE AS col_0, o_totalprice AS col_1, o_orderpriority AS col_2,
