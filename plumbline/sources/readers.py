@@ -13,7 +13,10 @@ from plumbline.functions.fixed import INTEGER_TEXT, ISO_TIME_TEXT, NULL_TOKENS
 from plumbline.functions.kinds import kinds, ref
 from plumbline.functions.text import as_number, parse_time, without_null_tokens
 from plumbline.operators.wide import per_column
+from plumbline.sources.records import detect_encoding, read_records
 
+# Encodings whose lines are lines of bytes and that Spark's functions decode, by their names in Python.
+CHARSETS = {"utf-8": "utf-8", "iso8859-1": "iso-8859-1", "ascii": "us-ascii"}
 # Suffix to reader format and options.
 FORMATS = {
     ".csv": ("csv", {"sep": ","}),
@@ -49,10 +52,19 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], encoding: str | Non
     """A CSV file with a header row, every column as text and null tokens as null.
 
     Types are applied afterwards from a profile of the whole column (:func:`apply_schema`), not
-    from a sample at read time. An unknown encoding falls back to UTF-8. ``multi_line`` allows line
-    breaks inside quoted fields; a file is then read by one task, as it cannot be split.
+    from a sample at read time. Without an encoding the bytes of all lines tell whether the files are
+    UTF-8; if not, they are read as ISO-8859-1. An unknown encoding counts as none. ``multi_line``
+    allows line breaks inside quoted fields, see :mod:`plumbline.sources.records`; files in other encodings than those of
+    ``CHARSETS`` are then read by one task each.
     """
-    table = _text_table(spark, path, encoding, True, sep, multi_line)
+    try:
+        name = codecs.lookup(encoding).name if encoding else None
+    except LookupError:
+        encoding = name = None
+    if multi_line and name in (None, *CHARSETS):
+        table = read_records(spark, path, CHARSETS.get(name), sep)
+    else:
+        table = _text_table(spark, path, encoding or detect_encoding(spark, path), True, sep, multi_line)
     return table.select(*[without_null_tokens(ref(c), NULL_TOKENS).alias(c) for c in table.columns])
 
 
