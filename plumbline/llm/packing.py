@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from plumbline.llm.common import column_field, narrowed, slices, stored
 
 #: Pieces of one length that are ranked together.
-RANKED = 20_000
+RANKED = 2_000
 #: How the byte-level tokenizer splits a text before it merges bytes.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
