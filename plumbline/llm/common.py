@@ -10,9 +10,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import stored
+from plumbline.session import drop_path, fresh_path, stored
 
-__all__ = ["column_field", "narrowed", "slices", "stored", "texts_of", "whole_rows"]
+__all__ = ["Scratch", "column_field", "narrowed", "slices", "stored", "texts_of", "whole_rows"]
+
+
+class Scratch:
+    """Tables stored on the way to a result, each until it is dropped by its name."""
+
+    def __init__(self, spark):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Store a table under a name that is free, and read it back."""
+        path = self.paths[name] = fresh_path(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Remove tables that nothing reads any more."""
+        for name in names:
+            if name in self.paths:
+                drop_path(self.spark, self.paths.pop(name))
 
 
 def narrowed(df: DataFrame, **columns: str) -> DataFrame:

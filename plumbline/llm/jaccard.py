@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import column_field, narrowed, slices, stored
+from plumbline.llm.common import Scratch, column_field, narrowed, slices, stored
 from plumbline.llm.graph import components
 from plumbline.llm.signatures import bitmap, linked
 from plumbline.llm.words import VISIBLE, gram_hashes, mixed, word_hashes
@@ -284,27 +284,30 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     some = described_rows.filter("n > 0")
     entries = some.agg(F.sum(F.length("keys"))).first()[0] or 0
     shards = max(parts, entries // 8 * ENTRY.itemsize // BUCKET_BYTES + 1)
-    members = stored(memberships(some, shards), "shingle-lists")
+    scratch = Scratch(spark)
+    members = scratch.keep(memberships(some, shards), "shingle-lists")
     named = members.select("id").distinct()
     signs = some.groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits")).join(named, "id", "left_semi")
-    coarse = stored(coarse_edges(members, signs, percent, shards, block).distinct(), "shingle-pairs")
-    groups = stored(components(stars(coarse)), "shingle-groups")
+    coarse = scratch.keep(coarse_edges(members, signs, percent, shards, block).distinct(), "shingle-pairs")
+    scratch.drop("shingle-lists")
+    groups = scratch.keep(components(stars(coarse)), "shingle-groups")
     wanted = some.join(groups.select("id"), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
-    sets = stored(exact_sets(rows, wanted.select("id", "row.doc_id", "row.text_hash"), words), "shingle-sets")
-    sizes = stored(groups.groupBy("component").agg(F.count("*").alias("size")), "shingle-sizes")
+    sets = scratch.keep(exact_sets(rows, wanted.select("id", "row.doc_id", "row.text_hash"), words), "shingle-sets")
+    sizes = scratch.keep(groups.groupBy("component").agg(F.count("*").alias("size")), "shingle-sizes")
     grouped = groups.join(sizes, "component")
     if sizes.filter(F.col("size") > block).isEmpty():
         exact = exact_edges(grouped.join(sets, "id").withColumn("known", F.col("id")), percent, shards, block)
     else:
         # Very large groups: the coarse pairs are checked first; where all of them hold, nothing is left to compare.
         of_large = coarse.select("a", "b").distinct().join(grouped.filter(F.col("size") > block).select(F.col("id").alias("a")), "a", "left_semi")
-        sure = stored(verified(of_large, sets, percent), "shingle-links")
-        known = stored(components(sure), "shingle-known").withColumnRenamed("component", "known")
+        sure = scratch.keep(verified(of_large, sets, percent), "shingle-links")
+        known = scratch.keep(components(sure), "shingle-known").withColumnRenamed("component", "known")
         labelled = grouped.join(known, "id", "left").withColumn("known", F.coalesce("known", "id"))
         split = labelled.groupBy("component").agg((F.min("known") < F.max("known")).alias("open")).filter("open").select("component")
         left = labelled.join(split, "component", "left_semi").join(sets, "id")
         exact = exact_edges(left, percent, shards, block).unionAll(sure)
     final = stored(components(exact), "shingle-components")
+    scratch.drop("shingle-pairs", "shingle-groups", "shingle-sets", "shingle-sizes", "shingle-links", "shingle-known")
     placed = described_rows.filter("n > 0").select("doc_id", "n", "id", "text_hash").join(final, "id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "id"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
