@@ -45,6 +45,28 @@ _JN0_SQL = """SELECT coalesce(nk, k2) AS nk, c_custkey::DOUBLE AS source_c_custk
     FULL JOIN (SELECT n_nationkey::VARCHAR AS k2, n_name FROM nation) ON k1 = k2"""
 
 
+def _blank_sides(spark, sf):
+    """Orders and events of which a third has no key, null or empty, on both sides."""
+    orders = from_sql(spark, sf, "SELECT CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN '' END ELSE CAST(o_custkey AS STRING) END AS k, o_orderkey FROM {orders}")
+    events = from_sql(spark, sf, "SELECT CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(user_id AS STRING) END AS u, event_id FROM {events}")
+    return orders, events
+
+
+def _jn0_counts(spark, sf):
+    return joins.join_counts(*_blank_sides(spark, sf), "k", "u", "outer")
+
+
+def _jn0_factorised(spark, sf):
+    found = joins.factorised(*_blank_sides(spark, sf), "k", "u", "outer")
+    return found.joined.agg(F.count("*").alias("joined"), F.count("source_o_orderkey").alias("with_order"), F.count("target_event_id").alias("with_event")).withColumn("whole", F.lit(found.rows()).cast("bigint"))
+
+
+_BLANK_SQL = """o AS (SELECT coalesce(CASE o_orderkey % 3 WHEN 0 THEN '' ELSE o_custkey::VARCHAR END, '') AS k, o_orderkey FROM orders),
+    e AS (SELECT CASE WHEN event_id % 3 = 0 THEN '' ELSE user_id::VARCHAR END AS k, event_id FROM events),
+    n AS (SELECT k AS key, coalesce(x, 0) AS source_rows, coalesce(y, 0) AS target_rows, CASE WHEN x IS NULL THEN y WHEN y IS NULL THEN x ELSE x * y END AS joined_rows
+        FROM (SELECT k, count(*) AS x FROM o GROUP BY 1) FULL JOIN (SELECT k, count(*) AS y FROM e GROUP BY 1) USING (k))"""
+
+
 def _tables(spark, sf):
     return {t: load(spark, sf, t) for t in ("region", "nation", "customer", "supplier")}
 
@@ -163,6 +185,8 @@ _HOT = {"jn1_hot": "inner", "jn2_hot": "left", "jn3_hot": "right", "jn4_hot": "o
 
 QUERIES = {
     "jn0": _jn0,
+    "jn0_counts": _jn0_counts,
+    "jn0_factorised": _jn0_factorised,
     "jn1": _join("inner"),
     "jn2": _join("left"),
     "jn3": _join("right"),
@@ -185,6 +209,9 @@ QUERIES = {
 
 SQL = {
     "jn0": _JN0_SQL,
+    "jn0_counts": f"WITH {_BLANK_SQL} SELECT * FROM n",
+    "jn0_factorised": f"""WITH {_BLANK_SQL} SELECT count(*) AS joined, count(o_orderkey) AS with_order, count(event_id) AS with_event, (SELECT sum(joined_rows)::BIGINT FROM n) AS whole
+        FROM (SELECT * FROM o WHERE k <> '') FULL JOIN (SELECT * FROM e WHERE k <> '') USING (k)""",
     "jn1": _join_sql("INNER", "c_custkey"),
     "jn2": _join_sql("LEFT", "c_custkey"),
     "jn3": _join_sql("RIGHT", "CASE WHEN here THEN c_custkey ELSE o_custkey END"),

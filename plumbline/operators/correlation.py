@@ -16,7 +16,7 @@ from plumbline.functions.kinds import kinds, numeric_columns, ref
 from plumbline.functions.student_t import correlation_p_value
 from plumbline.operators.gram import column_moments, matrix_sums, pair_sums
 from plumbline.operators.ordering import value_ranks
-from plumbline.operators.wide import MAX_COUNTERS, collect_wide, stack_rows
+from plumbline.operators.wide import MAX_COUNTERS, collect_wide, spread, stack_rows
 from plumbline.session import drop_path, fresh_path
 
 # Rows of a value that holds more than one part in SALTS of all rows are spread over SALTS keys.
@@ -184,14 +184,17 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> dict[tuple, tuple[f
     known when they are joined and small ones are broadcast.
     """
     columns = list(columns)
-    pairs = list(combinations(columns, 2))
-    if not pairs:
+    if len(columns) < 2:
         return {}
-    spark = df.sparkSession
-    nulls = _null_counts(df, columns)
+    with spread(df, columns) as rows:
+        return _rank_pairs(rows, columns)
+
+
+def _rank_pairs(rows: DataFrame, columns: Sequence[str]) -> dict[tuple, tuple[float | None, int]]:
+    spark = rows.sparkSession
+    nulls = _null_counts(rows, columns)
     partners = [c for c in columns if nulls[c]]
     tag = [1 + partners.index(c) if nulls[c] else 0 for c in columns]
-    rows = df.select(*[ref(c) for c in columns])
     path = fresh_path(spark, "ranks")
     try:
         _write_ranks(rows, columns, partners, path)

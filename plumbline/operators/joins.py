@@ -39,7 +39,7 @@ def join(source: DataFrame, target: DataFrame, source_column: str, target_column
     Adaptive execution picks broadcast or sort-merge from measured sizes. Every kind is an inner join,
     whose hot keys can be split on both sides, and anti joins with the other side's distinct keys for
     the rows without a partner. Null and empty keys match each other by rule, so their rows of both
-    sides do meet in all pairs; take them out before where that is not wanted.
+    sides do meet in all pairs; :func:`factorised` keeps them apart.
     """
     if how not in JOIN_TYPES:
         raise ValueError(f"unknown join type {how!r}")
@@ -70,6 +70,60 @@ def join(source: DataFrame, target: DataFrame, source_column: str, target_column
     return reduce(DataFrame.unionByName, parts)
 
 
+@dataclass(frozen=True)
+class FactorisedJoin:
+    """A join whose rows without a key are kept as one list for each side in place of all their pairs.
+
+    ``joined`` has the rows with keys, ``source_blank`` and ``target_blank`` the rows of both tables whose key is null or
+    empty. By rule each of the one list meets each of the other.
+    """
+
+    joined: DataFrame
+    source_blank: DataFrame
+    target_blank: DataFrame
+    source_column: str
+    target_column: str
+    how: str
+
+    def rows(self) -> int:
+        """The number of rows of the whole join, without forming the pairs."""
+        n, m = self.source_blank.count(), self.target_blank.count()
+        alone = (n if self.how in ("left", "outer") and not m else 0) + (m if self.how in ("right", "outer") and not n else 0)
+        return self.joined.count() + n * m + alone
+
+    def expanded(self) -> DataFrame:
+        """All rows of the join, the pairs of rows without a key included."""
+        return self.joined.unionByName(join(self.source_blank, self.target_blank, self.source_column, self.target_column, self.how))
+
+
+def factorised(source: DataFrame, target: DataFrame, source_column: str, target_column: str, how: str = "inner") -> FactorisedJoin:
+    """:func:`join` with the rows of null and empty keys kept apart, so that nothing grows with the product of their numbers."""
+    source_key, target_key, _ = _keys(source, target, source_column, target_column)
+    blank = lambda key: F.coalesce(key.cast("string"), F.lit("")) == ""
+    joined = join(source.filter(~blank(source_key)), target.filter(~blank(target_key)), source_column, target_column, how)
+    return FactorisedJoin(joined, source.filter(blank(source_key)), target.filter(blank(target_key)), source_column, target_column, how)
+
+
+def join_counts(source: DataFrame, target: DataFrame, source_column: str, target_column: str, how: str = "inner") -> DataFrame:
+    """Per key, as text, the rows of both sides and of the join: ``key, source_rows, target_rows, joined_rows``.
+
+    Rows are counted before the sides meet, so a key takes one row of each side however often it occurs. Null and empty
+    keys are one key, the empty text.
+    """
+    if how not in JOIN_TYPES:
+        raise ValueError(f"unknown join type {how!r}")
+    types = source.schema[source_column].dataType, target.schema[target_column].dataType
+    counted = lambda df, c, t, name: df.groupBy(F.coalesce(plain_text(ref(c), t), F.lit("")).alias("key")).agg(F.count(F.lit(1)).alias(name))
+    both = counted(source, source_column, types[0], "source_rows").join(counted(target, target_column, types[1], "target_rows"), "key", "full").fillna(0, ["source_rows", "target_rows"])
+    n, m = F.col("source_rows"), F.col("target_rows")
+    alone = F.lit(0)
+    if how in ("left", "outer"):
+        alone = alone + F.when(m == 0, n).otherwise(0)
+    if how in ("right", "outer"):
+        alone = alone + F.when(n == 0, m).otherwise(0)
+    return both.select("key", n, m, (n * m + alone).alias("joined_rows")).filter("joined_rows > 0")
+
+
 @dataclass(frozen=True)
 class Relation:
     relation_id: str

@@ -17,7 +17,7 @@ from plumbline.functions.fixed import (
 from plumbline.functions.kinds import comparable_text, kind_of, kinds, numeric_columns, plain_text, ref
 from plumbline.functions.text import as_number, is_missing, matches_any
 from plumbline.operators.quantiles import PERCENTILE_ROWS, order_statistics, quantile_table
-from plumbline.operators.wide import chunks, is_plain_scan, per_column, stack_rows
+from plumbline.operators.wide import at_hand, chunks, is_plain_scan, per_column, per_item, spread, stack_rows
 
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
@@ -93,15 +93,12 @@ def profile_schema(
     Samples are added when an order is given, because rows have no order of their own.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    stats = per_column(
-        df,
-        df.columns,
-        {
-            "rows": lambda c: F.count(F.lit(1)),
-            "null_count": lambda c: F.count_if(ref(c).isNull()),
-            "size_bytes": lambda c: F.coalesce(F.sum(_cell_bytes(ref(c), types[c])), F.lit(0)),
-        },
-    ).join(F.broadcast(cardinality(df, approximate=approximate).drop("position")), "column")
+    measures = {
+        "rows": lambda c: F.count(F.lit(1)),
+        "null_count": lambda c: F.count_if(ref(c).isNull()),
+        "size_bytes": lambda c: F.coalesce(F.sum(_cell_bytes(ref(c), types[c])), F.lit(0)),
+    }
+    stats = per_column(df, df.columns, measures).join(F.broadcast(cardinality(df, approximate=approximate).drop("position")), "column")
     labels = _labels(
         "column", {c: (f"{t.simpleString()}", kind_of(t)) for c, t in types.items()}, ("dtype", "dtype_category")
     )
@@ -162,24 +159,26 @@ def univariate_stats(
     """
     columns = list(columns or numeric_columns(df))
     x = lambda c: ref(c).cast("double")
-    stats = per_column(
-        df,
-        columns,
-        {
-            "mean": lambda c: F.avg(x(c)),
-            "std": lambda c: F.coalesce(F.stddev_samp(x(c)), F.lit(0.0)),
-            "variance": lambda c: F.coalesce(F.var_samp(x(c)), F.lit(0.0)),
-            "min": lambda c: F.min(x(c)),
-            "max": lambda c: F.max(x(c)),
-            "skewness": lambda c: F.when(F.count(ref(c)) <= 2, F.lit(0.0)).otherwise(F.skewness(x(c))),
-            "kurtosis": lambda c: F.when(F.count(ref(c)) <= 2, F.lit(0.0)).otherwise(F.kurtosis(x(c))),
-            "zero_count": lambda c: F.count_if(x(c) == 0),
-            "inf_count": lambda c: F.count_if(F.abs(x(c)) == float("inf")),
-            "null_count": lambda c: F.count_if(ref(c).isNull()),
-            "count": lambda c: F.count(ref(c)),
-        },
-    )
-    fractions = quantile_table(df, columns, {**QUARTILES, **(quantiles or {})}, percentile_rows=percentile_rows)
+    place = {c: i for i, c in enumerate(df.columns)}
+    measures = {
+        "mean": lambda c: F.avg(x(c)),
+        "std": lambda c: F.coalesce(F.stddev_samp(x(c)), F.lit(0.0)),
+        "variance": lambda c: F.coalesce(F.var_samp(x(c)), F.lit(0.0)),
+        "min": lambda c: F.min(x(c)),
+        "max": lambda c: F.max(x(c)),
+        "skewness": lambda c: F.when(F.count(ref(c)) <= 2, F.lit(0.0)).otherwise(F.skewness(x(c))),
+        "kurtosis": lambda c: F.when(F.count(ref(c)) <= 2, F.lit(0.0)).otherwise(F.kurtosis(x(c))),
+        "zero_count": lambda c: F.count_if(x(c) == 0),
+        "inf_count": lambda c: F.count_if(F.abs(x(c)) == float("inf")),
+        "null_count": lambda c: F.count_if(ref(c).isNull()),
+        "count": lambda c: F.count(ref(c)),
+    }
+    with spread(df, columns) as rows:
+        stats = at_hand(per_item(rows, columns, lambda c: {"position": F.lit(place[c]), "column": F.lit(c)}, measures))
+        counts = {r["column"]: (r["count"], r["count"] + r["null_count"]) for r in stats.select("column", "count", "null_count").collect()}
+        known = {c: n for c, (n, _) in counts.items()}
+        total = max(n for _, n in counts.values())
+        fractions = at_hand(quantile_table(rows, columns, {**QUARTILES, **(quantiles or {})}, total, percentile_rows, counts=known))
     out = (
         stats.filter(F.col("count") > 0)
         .join(F.broadcast(fractions), "column")

@@ -99,13 +99,15 @@ def order_statistics(
     df: DataFrame,
     ranks: Mapping[str, Callable[[int], Sequence[int]]],
     bracket_rows: int = BRACKET_ROWS,
+    counts: Mapping[str, int] | None = None,
 ) -> tuple[dict[str, int], dict[tuple[str, int], float]]:
     """Values at 0-based ranks of numeric columns, as ``({column: count}, {(column, rank): value})``.
 
-    ``ranks[column]`` gets the number of non-null values and returns the ranks it wants.
+    ``ranks[column]`` gets the number of non-null values and returns the ranks it wants. ``counts`` are
+    these numbers when the caller knows them already.
     """
     columns = list(ranks)
-    found = distributions(df, {c: ref(c).cast("double") for c in columns})
+    found = distributions(df, {c: ref(c).cast("double") for c in columns}, counts)
     counts = {c: found[c].count for c in columns}
     targets = [t for c in columns if counts[c] for t in _targets(c, ranks[c](counts[c]), counts[c])]
     for t in targets:
@@ -200,10 +202,11 @@ def quantile_table(
     rows: int | None = None,
     percentile_rows: int = PERCENTILE_ROWS,
     bracket_rows: int = BRACKET_ROWS,
+    counts: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """One row per column with linearly interpolated quantiles named by the keys of ``fractions``.
 
-    ``rows`` is the row count when the caller knows it already.
+    ``rows`` is the row count, and ``counts`` those of the non-null values, when the caller knows them already.
     """
     columns, names = list(columns), list(fractions)
     if rows is None:
@@ -217,7 +220,7 @@ def quantile_table(
         )
         return wide.select("column", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
     counts, values = order_statistics(
-        df, {c: _linear_ranks([fractions[n] for n in names]) for c in columns}, bracket_rows
+        df, {c: _linear_ranks([fractions[n] for n in names]) for c in columns}, bracket_rows, counts
     )
     out = []
     for c in columns:

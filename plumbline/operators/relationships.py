@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.fixed import CONFIDENCE_GATE, CORRELATION_THRESHOLD, OVERLAP_THRESHOLD, STRONG_THRESHOLD
 from plumbline.functions.kinds import comparable_text, family_of, numeric_columns, ref
 from plumbline.operators.correlation import pearson_matrix, spearman_matrix
-from plumbline.operators.wide import MAX_COUNTERS, chunks, stack_rows
+from plumbline.operators.wide import MAX_COUNTERS, chunks, spread, stack_rows
+from plumbline.session import stored
 
 # Columns per bit word of a value's membership.
 WORD = 62
@@ -63,6 +64,9 @@ def overlap_counts(columns: Sequence[tuple[DataFrame, str]], pairs: Sequence[tup
     members = value_membership(columns)
     words = [c for c in members.columns if c.startswith("w")]
     combos = members.groupBy(*words).agg(F.count(F.lit(1)).alias("values"))
+    if len(columns) > MAX_COUNTERS:
+        # Read once for each so many columns.
+        combos = stored(combos, "memberships")
     holders = F.array_compact(F.array(*[F.when(_holds(i), F.lit(i)) for i in range(len(columns))]))
     held = combos.select(*words, "values", F.explode(holders).alias("source"))
     shared: dict[int, dict[int, int]] = {}
@@ -79,7 +83,8 @@ def overlap_counts(columns: Sequence[tuple[DataFrame, str]], pairs: Sequence[tup
 def value_overlap(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = OVERLAP_THRESHOLD) -> DataFrame:
     """Column pairs whose shared distinct values reach ``threshold`` of the smaller column."""
     columns = list(columns or df.columns)
-    counts = overlap_counts([(df, c) for c in columns], list(combinations(range(len(columns)), 2)))
+    with spread(df, columns) as rows:
+        counts = overlap_counts([(rows, c) for c in columns], list(combinations(range(len(columns)), 2)))
     names = F.array(*[F.lit(c) for c in columns])
     ratio = F.try_divide(F.col("overlap_count"), F.least("unique_values_1", "unique_values_2"))
     return (

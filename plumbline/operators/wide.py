@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.kinds import ref
+
 # More expressions than this in one aggregate make generated methods too long for the JVM to compile
 # to machine code, which costs more than reading disjoint columns in several passes.
 MAX_EXPRESSIONS = 40
 # The same for lists of plain counters and sums.
 MAX_COUNTERS = 120
+# Partitions of a stored table below which it is dealt over all cores before it is read several times.
+FEW_PARTITIONS = 8
 
 
 def chunks(items: Sequence, size: int):
@@ -76,6 +82,29 @@ def is_plain_scan(df: DataFrame) -> bool:
     return node.nodeName() in ("LogicalRelation", "InMemoryRelation", "RelationV2", "DataSourceV2ScanRelation", "LocalRelation")
 
 
+@contextmanager
+def spread(df: DataFrame, columns: Sequence[str]) -> Iterator[DataFrame]:
+    """The named columns of a table, for operators that read them several times.
+
+    A stored table of at most ``FEW_PARTITIONS`` partitions, which would leave most cores idle in each pass, is dealt over
+    all cores and kept in memory meanwhile. Any larger table is read as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not is_plain_scan(df) or df.rdd.getNumPartitions() > min(FEW_PARTITIONS, cores // 2):
+        yield df.select(*[ref(c) for c in columns])
+        return
+    rows = df.select(*[ref(c) for c in columns]).repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
+def at_hand(df: DataFrame) -> DataFrame:
+    """A small result computed once, such as one row for each column."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def collect_wide(df: DataFrame, expressions: Mapping[str, Column]) -> dict:
     """Run aggregates in one pass per chunk and return their values by name (one row each)."""
     found: dict = {}

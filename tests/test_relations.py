@@ -215,3 +215,17 @@ def test_subject_areas(spark):
     found = as_dict(domains.infer_domains(domains.column_catalog(tables)), "table_name")
     assert found["shop"]["label"].startswith("retail_ecommerce") and "none" not in found
     assert found["home"]["label"] == "finance/real_estate"
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_rows_without_a_key_stay_apart_until_asked(spark, how):
+    left = spark.createDataFrame([(None, 1), ("", 2), ("a", 3), ("b", 4), ("a", 5)], "k string, x int")
+    right = spark.createDataFrame([(None, 1), ("", 2), ("a", 3), ("c", 4)], "k string, y int")
+    for rows in (right, right.filter("k IS NOT NULL AND k <> ''")):
+        found = joins.factorised(left, rows, "k", "k", how)
+        whole = joins.join(left, rows, "k", "k", how)
+        show = lambda df: sorted(map(repr, df.collect()))
+        assert show(found.expanded()) == show(whole) and found.rows() == whole.count()
+        assert found.source_blank.count() == 2
+        counts = {r.key: r.joined_rows for r in joins.join_counts(left, rows, "k", "k", how).collect()}
+        assert sum(counts.values()) == whole.count()
