@@ -24,7 +24,7 @@ def _ranked(x, y, table):
     return f"(SELECT {rank(x)} AS rx, {rank(y)} AS ry FROM {table} WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"
 
 
-def _significant(r2, n):
+def significant(r2, n):
     """Whether a correlation with this square has a two-sided p below 0.05, by the critical t of n - 2 degrees of freedom.
 
     The quantile of Student's t is taken from the normal one by the first terms of its expansion, which has twelve digits
@@ -100,7 +100,7 @@ def _cor3_sql(columns, table):
     )
     diagonal = stacked(f"SELECT '{c}', '{c}', 1.0::DOUBLE, 1.0::DOUBLE, (SELECT count({c}) FROM {table}), 1.0::DOUBLE" for c in columns)
     return f"""SELECT a AS source_column, b AS target_column, r AS pearson_r, rho AS spearman_r, n AS sample_size,
-        {_significant('r2', 'n')} AS significant, {_strength('r')} AS strength FROM (SELECT a, b, r, rho, n, r2 FROM ({pairs}) UNION ALL SELECT b, a, r, rho, n, r2 FROM ({pairs})
+        {significant('r2', 'n')} AS significant, {_strength('r')} AS strength FROM (SELECT a, b, r, rho, n, r2 FROM ({pairs}) UNION ALL SELECT b, a, r, rho, n, r2 FROM ({pairs})
         UNION ALL {diagonal})"""
 
 
@@ -181,6 +181,16 @@ _TRD1_SQL = """SELECT 0 AS position, 'o_orderkey' AS "column", false AS is_date,
     UNION ALL SELECT 4, 'o_orderpriority', false, 0"""
 
 
+def _trd1_share(spark, sf):
+    df = from_sql(spark, sf, "SELECT CASE WHEN o_orderkey % 3 = 0 THEN date_format(o_orderdate, 'MM-dd-yyyy') ELSE 'open' END AS a_third, CASE WHEN o_orderkey % 3 > 0 THEN date_format(o_orderdate, 'yyyy/MM/dd') ELSE 'open' END AS two_thirds, o_orderdate FROM {orders}")
+    return trends.date_columns(df, 0.5)
+
+
+_TRD1_SHARE_SQL = """WITH n AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 3 = 0) AS a, count(*) FILTER (o_orderkey % 3 > 0) AS b FROM orders)
+    SELECT 0 AS position, 'a_third' AS "column", a >= 0.5 * n AS is_date, a AS date_values FROM n
+    UNION ALL SELECT 1, 'two_thirds', b >= 0.5 * n, b FROM n UNION ALL SELECT 2, 'o_orderdate', true, n FROM n"""
+
+
 def _text_time(df, *names):
     return df.withColumns({n: F.date_format(n, "yyyy-MM-dd HH:mm:ss") for n in names})
 
@@ -194,7 +204,7 @@ def _trd3(spark, sf):
 def _trend_sql(column, expression):
     return f"""SELECT '{column}' AS "column",
         CASE WHEN regr_slope(v, x) > 0 THEN 'increasing' WHEN regr_slope(v, x) < 0 THEN 'decreasing' ELSE 'stable' END AS direction,
-        round(regr_slope(v, x), 4) AS slope, round(regr_r2(v, x), 4) AS r_squared, {_significant('regr_r2(v, x)', 'count(v)')} AS significant,
+        round(regr_slope(v, x), 4) AS slope, round(regr_r2(v, x), 4) AS r_squared, {significant('regr_r2(v, x)', 'count(v)')} AS significant,
         CASE WHEN arg_min(v, x) FILTER (v IS NOT NULL) = 0 THEN 0 ELSE round((arg_max(v, x) - arg_min(v, x)) / abs(arg_min(v, x)) * 100, 2) END AS change_pct
         FROM (SELECT last_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::DOUBLE AS v,
                      row_number() OVER (ORDER BY ts, event_id) - 1 AS x
@@ -273,6 +283,7 @@ QUERIES = {
     "rel4": lambda s, d: relationships.classify_correlated(relationships.correlation_candidates(_related(s, d)), k=5),
     "rel5": _rel5,
     "trd1": _trd1,
+    "trd1_share": _trd1_share,
     "trd2": lambda s, d: _text_time(trends.date_range(load(s, d, "orders"), "o_orderdate"), "start", "end"),
     "trd3": _trd3,
     "trd4": _trd4,
@@ -299,6 +310,7 @@ SQL = {
         FROM (SELECT * FROM c ORDER BY strength DESC, source_column, target_column LIMIT 5)""",
     "rel5": _REL5_SQL,
     "trd1": _TRD1_SQL,
+    "trd1_share": _TRD1_SHARE_SQL,
     "trd2": """SELECT strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS "end",
         CAST(floor(epoch(max(o_orderdate) - min(o_orderdate)) / 86400) AS INT) AS span_days FROM orders""",
     "trd3": _TRD3_SQL,

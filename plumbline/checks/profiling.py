@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.checks.correlating import significant
 from plumbline.checks.tables import from_sql, holed_lines, holed_orders, load, plain, stacked, with_holed
 from plumbline.functions.fixed import PII_PATTERNS
 from plumbline.operators import outliers, pii, profile, quality
+from plumbline.plans.report import report_figures
 
 NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
@@ -377,9 +379,39 @@ _PII4_SQL = """SELECT c_custkey, CASE c_custkey % 5
     ELSE c_name END AS contact
     FROM (SELECT c_custkey, c_name, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS d FROM customer)"""
 
+def _report(spark, sf):
+    """The figures of a report on orders with gaps, and on the trends of its numbers, in one row."""
+    df = holed_orders(spark, sf)
+    found = report_figures(df, "orders", ["o_orderkey"])
+    pairs = found.bivariate.agg(F.count("*").alias("pairs"), F.count_if("significant").alias("significant_pairs"))
+    moves = found.trends.agg(F.count("*").alias("trends"), F.max(F.when(F.col("column") == "o_totalprice", F.col("direction"))).alias("price_direction"))
+    spread = found.univariate.filter("column = 'o_totalprice'").select(F.round("cv", 4).alias("price_cv"), F.round("range", 2).alias("price_range"))
+    span = found.date_range.select("span_days", F.date_format("start", "yyyy-MM-dd").alias("first_day"))
+    parts = [found.summary.select("total_columns", "numeric_columns", "datetime_columns", "text_columns"), pairs, moves, spread, span]
+    values = {name: value for part in parts for name, value in part.first().asDict().items()}
+    kind = lambda v: "double" if isinstance(v, float) else "bigint" if isinstance(v, int) else "string"
+    return spark.createDataFrame([tuple(values.values())], ", ".join(f"{name} {kind(v)}" for name, v in values.items()))
+
+
+def _report_sql():
+    square = lambda a, b: f"(SELECT corr({a}, {b}) ** 2 FROM ho WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+    n = lambda a, b: f"(SELECT count(*) FROM ho WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+    pairs = stacked(f"SELECT {significant(square(a, b), n(a, b))} AS s" for a in ORDER_NUMBERS for b in ORDER_NUMBERS if a < b)
+    return with_holed(
+        f""", s AS (SELECT count(*) AS total_columns, count(*) FILTER (is_numeric) AS numeric_columns, count(*) FILTER (is_datetime) AS datetime_columns,
+            count(*) FILTER (NOT is_numeric AND NOT is_categorical AND NOT is_datetime) AS text_columns FROM ({_AGG1_SQL})),
+        f AS (SELECT last_value(o_totalprice IGNORE NULLS) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS v, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS x FROM ho),
+        p AS (SELECT round(stddev_samp(o_totalprice) / abs(avg(o_totalprice)), 4) AS price_cv, round(max(o_totalprice) - min(o_totalprice), 2) AS price_range,
+            CAST(floor(epoch(max(o_orderdate) - min(o_orderdate)) / 86400) AS BIGINT) AS span_days, strftime(min(o_orderdate), '%Y-%m-%d') AS first_day FROM ho)
+        SELECT s.*, numeric_columns * numeric_columns AS pairs, numeric_columns + 2 * (SELECT count(*) FROM ({pairs}) WHERE s) AS significant_pairs, numeric_columns AS trends,
+            (SELECT CASE WHEN regr_slope(v, x) > 0 THEN 'increasing' WHEN regr_slope(v, x) < 0 THEN 'decreasing' ELSE 'stable' END FROM f) AS price_direction, p.* FROM s, p"""
+    )
+
+
 QUERIES = {
     "agg1_table": lambda s, d: quality.table_profile(load(s, d, "documents").unionAll(load(s, d, "documents").filter("doc_id % 7 = 3"))),
     "agg1": _agg1,
+    "report": _report,
     "agg2": lambda s, d: profile.schema_summary(profile.profile_schema(holed_orders(s, d))),
     "agg3": _agg3,
     "agg3_brackets": lambda s, d: _agg3(s, d, percentile_rows=0),
@@ -413,6 +445,7 @@ SQL = {
         CAST(sum(strlen(doc_id::VARCHAR) + coalesce(strlen(text), 0) + coalesce(strlen(lang), 0) + coalesce(strlen(source), 0) + coalesce(strlen(n_chars::VARCHAR), 0)) AS BIGINT) AS bytes,
         count(*) > count(DISTINCT doc_id) AS has_duplicate_rows FROM (SELECT * FROM documents UNION ALL SELECT * FROM documents WHERE doc_id % 7 = 3)""",
     "agg1": with_holed(_AGG1_SQL),
+    "report": _report_sql(),
     "agg2": with_holed(
         f"""SELECT count(*) AS total_columns, count(*) FILTER (is_numeric) AS numeric_columns,
         count(*) FILTER (is_categorical) AS categorical_columns, count(*) FILTER (is_datetime) AS datetime_columns,

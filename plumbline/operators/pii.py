@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.fixed import PII_PATTERNS, PII_VALUE_PATTERNS
+from plumbline.functions.fixed import PII_MASKS, PII_PATTERNS, PII_VALUE_PATTERNS
 from plumbline.functions.kinds import ref, string_columns
 from plumbline.operators.wide import per_column
 
@@ -44,14 +44,9 @@ def mask_text(column: Column) -> Column:
 
     The longer digit forms go first, so that a card number is not taken for a phone number.
     """
-    masked = F.regexp_replace(column, r"\b(?:\d{4}[-.\s]?){3}(\d{4})\b", "****-****-****-$1")
-    masked = F.regexp_replace(masked, r"\b\d{3}-\d{2}-(\d{4})\b", "***-**-$1")
-    masked = F.regexp_replace(
-        masked, r"\b(?:\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?(\d{4})\b", "+***-***-$1"
-    )
-    return F.regexp_replace(
-        masked, r"\b([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\.[A-Z|a-z]{2,})\b", "$1***@$2"
-    )
+    for pattern, shown in PII_MASKS:
+        column = F.regexp_replace(column, pattern, shown)
+    return column
 
 
 def mask_pii(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -17,8 +17,11 @@ from plumbline.operators.wide import per_column
 PERIODS = ("day", "week", "month", "quarter", "year")
 
 
-def date_columns(df: DataFrame) -> DataFrame:
-    """Columns that hold dates by type, or text columns in which some value is written as a date."""
+def date_columns(df: DataFrame, least_share: float = 0.0) -> DataFrame:
+    """Columns that hold dates by type, or text columns in which some value is written as a date.
+
+    ``least_share`` is the share of a column's values that have to be; by default one is enough.
+    """
     own = kinds(df)
     patterns = [p for p, _ in TREND_DATE_FORMATS]
     counts = per_column(
@@ -29,15 +32,16 @@ def date_columns(df: DataFrame) -> DataFrame:
                 F.count(ref(c)) if own[c] == "datetime"
                 else F.count_if(matches_any(ref(c), patterns)) if own[c] == "string"
                 else F.lit(0).cast("bigint")
-            )
+            ),
+            "values": lambda c: F.count(ref(c)),
         },
     )
     by_type = F.col("column").isin(temporal_columns(df) or [""])
-    return counts.withColumn("is_date", by_type | (F.col("date_values") > 0)).select("position", "column", "is_date", "date_values")
+    return counts.withColumn("is_date", by_type | (F.col("date_values") > 0) & (F.col("date_values") >= F.col("values") * least_share)).select("position", "column", "is_date", "date_values")
 
 
-def first_date_column(df: DataFrame) -> str | None:
-    row = date_columns(df).filter("is_date").orderBy("position").first()
+def first_date_column(df: DataFrame, least_share: float = 0.0) -> str | None:
+    row = date_columns(df, least_share).filter("is_date").orderBy("position").first()
     return row["column"] if row else None
 
 
