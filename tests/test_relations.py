@@ -229,3 +229,19 @@ def test_rows_without_a_key_stay_apart_until_asked(spark, how):
         assert found.source_blank.count() == 2
         counts = {r.key: r.joined_rows for r in joins.join_counts(left, rows, "k", "k", how).collect()}
         assert sum(counts.values()) == whole.count()
+
+
+@pytest.mark.parametrize("how", joins.JOIN_TYPES)
+def test_pairs_of_a_frequent_key_are_formed_in_many_partitions(spark, monkeypatch, how):
+    """Equal rows among them, null as a frequent key too, and keys that only one side has."""
+    monkeypatch.setattr(joins, "CELL_ROWS", 10)
+    left = [(7, i // 2) for i in range(95)] + [(None, i) for i in range(12)] + [(i, i) for i in range(20, 30)]
+    right = [(7, i // 3) for i in range(60)] + [(None, i) for i in range(11)] + [(i, i) for i in range(25, 40)]
+    source, target = spark.createDataFrame(left, "k bigint, a bigint"), spark.createDataFrame(right, "k bigint, b bigint")
+    want = [(k, a, b) for k, a in left for k2, b in right if k == k2]
+    want += [(k, a, None) for k, a in left if how in ("left", "outer") and k not in [r[0] for r in right]]
+    want += [(k, None, b) for k, b in right if how in ("right", "outer") and k not in [r[0] for r in left]]
+    found = joins.join(source, target, "k", "k", how)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    shares = [r["count"] for r in found.filter("k = 7").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) > 8 and max(shares) < 95 * 60 / 4
