@@ -13,11 +13,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from plumbline.functions.fixed import RATE_LIMIT_DEFAULT, RATE_LIMITS, RATE_WINDOW_SECONDS
 from plumbline.functions.kinds import ref
-from plumbline.operators.ordering import directional_fill
+from plumbline.operators.ordering import directional_fill, running_sum
 from plumbline.session import checkpointed, stored
 
-# Length, in windows, of the time slices into which the requests of one key are divided.
-SLICE_WINDOWS = 10
 # Requests of a pair that are decided in one piece.
 SLICE_ROWS = 100_000
 MICROS = 1_000_000
@@ -47,24 +45,18 @@ def _sliding_sum(rows: DataFrame, weight: Column, low: int, high: int, name: str
     """Add the sum of ``weight`` over the rows of the same pair whose time lies in ``[t + low, t + high]``.
 
     A row is active for the requests between ``at - high`` and ``at - low``; a running sum of its
-    coming and going needs one sorted pass, however many rows a window holds. The times of a pair
-    are divided into slices, and a row is entered in every slice in which it is active, so one
-    busy pair is spread over many tasks.
+    coming and going needs one sorted pass, however many rows a window holds. All that comes, goes and
+    asks is dealt to buckets of about equal numbers of rows by ranges of pair and time, and a table
+    with one row per pair and bucket carries the sums on, so one busy pair is spread over many tasks.
     """
-    length = SLICE_WINDOWS * (high - low + 1)
     at, start, end = F.col("__at"), F.col("__at") - high, F.col("__at") - low
-    slice_of = lambda t: F.floor(t / length)
     payload = F.struct(*[ref(c) for c in rows.columns])
     nothing = F.lit(None).cast(T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields]))
-    entry = lambda s, t, w, p: F.struct(s.alias("slice"), t.alias("t"), w.cast("bigint").alias("w"), p.alias("row"))
-    active = F.array_distinct(F.array(slice_of(start), slice_of(end)))
-    moves = F.flatten(
-        F.transform(active, lambda s: F.array(entry(s, start, weight, nothing), entry(s, end + 1, -weight, nothing)))
-    )
-    asked = F.array(entry(slice_of(at), at, F.lit(0), payload))
-    events = rows.select("__pair", F.explode(F.concat(F.when(weight != 0, moves).otherwise(F.slice(moves, 1, 0)), asked)).alias("e"))
-    upto = Window.partitionBy("__pair", "e.slice").orderBy("e.t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = events.select(F.col("e.row").alias("row"), F.sum("e.w").over(upto).alias(name))
+    entry = lambda t, w, p: F.struct(t.alias("t"), w.cast("bigint").alias("w"), p.alias("row"))
+    moves = F.array(entry(start, weight, nothing), entry(end + 1, -weight, nothing))
+    asked = F.array(entry(at, F.lit(0), payload))
+    events = rows.select("__pair", F.explode(F.concat(F.when(weight != 0, moves).otherwise(F.slice(moves, 1, 0)), asked)).alias("e")).select("__pair", "e.*")
+    summed = running_sum(events, "w", "t", ["__pair"], name)
     return summed.filter(F.col("row").isNotNull()).select("row.*", name)
 
 

@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import learning
+from plumbline import session
+from plumbline.operators import learning, ordering
 from plumbline.streaming import files, latency, rates
 
 
@@ -42,6 +43,27 @@ def test_rate_flags_match_brute_force(spark):
         assert got[i] == (n, n > (2 if c == "auth" else 5))
 
 
+def test_a_busy_pair_is_summed_in_many_buckets(spark, monkeypatch):
+    """All requests within one window: no bucket has more than a share of them, and sums are carried on between buckets."""
+    seen = []
+    monkeypatch.setattr(ordering, "stored", lambda df, name: seen.append(session.stored(df, name)) or seen[-1])
+    log = spark.range(400).select("id", F.lit("a").alias("k"), F.timestamp_millis(F.floor(F.col("id") / 2) + 1_700_000_000_000).alias("ts"))
+    log = log.unionByName(spark.range(400, 402).select("id", F.lit("a").alias("k"), F.lit(None).cast("timestamp").alias("ts")))
+    got = {r.id: r.in_window for r in rates.rate_flags(log, "k", "ts", window=3600).collect()}
+    assert got == {i: i // 2 * 2 + 2 for i in range(400)} | {400: 0, 401: 0}
+    sizes = [r["count"] for r in seen[0].groupBy(ordering.BUCKET).count().collect()]
+    assert len(seen) == 1 and len(sizes) >= 4 and max(sizes) < sum(sizes) / 2
+
+
+def test_running_sum_in_small_buckets(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, *range(30)]), rng.randrange(-3, 9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, k string, t long, v long")
+    upto = lambda a, b: b is None if a is None else b is None or b <= a
+    want = {i: sum(w for _, k2, t2, w in rows if k2 == k and upto(t, t2)) for i, k, t, _ in rows}
+    assert {r.id: r.s for r in ordering.running_sum(df, "v", "t", ["k"], "s", rows_per_bucket=20).collect()} == want
+
+
 @pytest.fixture
 def log_files(spark, tmp_path):
     """Files read one after the other; a row of the last one is far behind the watermark."""
