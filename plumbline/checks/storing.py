@@ -14,7 +14,7 @@ from plumbline.checks.tables import from_sql, load
 from plumbline.operators import filters
 from plumbline.plans.prepare import prepare
 from plumbline.sources import readers, stores
-from plumbline.session import fresh_path
+from plumbline.session import drop_path, fresh_path
 
 _WITH_TOKENS = """SELECT o_orderkey, CASE o_orderkey % 10 WHEN 1 THEN 'NA' WHEN 2 THEN 'N/A' WHEN 3 THEN 'null' WHEN 4 THEN 'NaN' ELSE o_orderstatus END AS status,
     concat(o_orderpriority, ', "', o_orderstatus, '"') AS note, o_totalprice FROM {orders}"""
@@ -58,10 +58,14 @@ def _prepare_losses(spark, sf):
 
 def _src8_files(spark, sf):
     """Texts written as one file for each fifth of the ids; two of these are written again, and one of them a third time."""
-    path, docs = fresh_path(spark, "copies"), load(spark, sf, "documents")
+    path, dealt, docs = fresh_path(spark, "copies"), fresh_path(spark, "copy-lines"), load(spark, sf, "documents")
+    # Texts are read and digested in parallel; the task that writes a file reads its lines only.
+    line = F.to_json(F.struct("doc_id", F.md5(F.col("text").cast("binary")).alias("text")))
+    docs.select("doc_id", line.alias("value"), (F.col("doc_id") % 5).alias("part")).write.partitionBy("part").parquet(dealt)
+    lines = spark.read.parquet(dealt)
     for k, part in enumerate([0, 1, 2, 3, 4, 1, 3, 1]):
-        lines = docs.filter(F.col("doc_id") % 5 == part).select("doc_id", F.to_json(F.struct("doc_id", F.md5(F.col("text").cast("binary")).alias("text"))).alias("value"))
-        lines.coalesce(1).sortWithinPartitions("doc_id").select("value").write.text(f"{path}/{k}")
+        lines.filter(F.col("part") == part).coalesce(1).sortWithinPartitions("doc_id", "value").select("value").write.text(f"{path}/{k}")
+    drop_path(spark, dealt)
     found = stores.duplicate_files(spark, f"{path}/*/", "*.txt")
     return found.groupBy("digest").agg(F.count("*").alias("files"), F.max("copies").alias("copies"))
 
