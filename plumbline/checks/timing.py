@@ -54,16 +54,19 @@ def _str1_stream_decisions(spark, sf):
 
 def _str1_stream_files(spark, sf):
     """The same log as ten files that arrive one after the other, each decided with what the ones before have left."""
-    path, events = fresh_path(spark, "event-files"), load(spark, sf, "events")
+    path, dealt, events = fresh_path(spark, "event-files"), fresh_path(spark, "event-parts"), load(spark, sf, "events")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     low, high = events.agg(F.min(micros), F.max(micros)).first()
     part = F.least(F.lit(9), F.floor((micros - low) * 10 / max(1, high - low)))
-    for k in range(10):
-        events.filter(part == k).coalesce(1).write.mode("append").parquet(path)
+    events.withColumn("__part", part).write.partitionBy("__part").parquet(dealt)
+    parts = spark.read.parquet(dealt)
     try:
+        for k in range(10):
+            parts.filter(F.col("__part") == k).drop("__part").coalesce(1).write.mode("append").parquet(path)
         return _decisions(spark, sf, files.read_stream(spark, path, events.schema, files_per_trigger=1))
     finally:
         drop_path(spark, path)
+        drop_path(spark, dealt)
 
 
 def _str1_one_pair(spark, sf):

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator, Mapping
+from collections import defaultdict
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -18,6 +20,8 @@ from plumbline.session import checkpointed, stored
 
 # Requests of a pair that are decided in one piece.
 SLICE_ROWS = 100_000
+# Requests that a stream gathers before it puts them into the state of their pair.
+CHUNK_ROWS = 200_000
 MICROS = 1_000_000
 
 
@@ -221,7 +225,8 @@ def rate_decisions_stream(
     """Streaming decisions ``pair, at, tie, max_requests, allowed`` in the order of event times, as :func:`rate_decisions` makes them.
 
     A request waits in the state of its pair until the watermark has passed its time, so that it makes no difference how the
-    input is dealt over files and micro-batches. A timer at the least waiting time then decides what is due, in order. Times
+    input is dealt over files and micro-batches. A timer at the least waiting time then decides what is due, in order, one
+    window length after the other, so that no more requests of a pair than come within one are in memory. Times
     that are later than the watermark are left out. The state of a pair holds its waiting requests and at most as many
     allowed times as its limit; a second timer removes it one window after its last request. Run the stream with
     :func:`plumbline.streaming.files.run_to_end`, which also takes what still waits when the input ends.
@@ -248,46 +253,68 @@ class _Decisions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at bigint, tie string", "max_requests int, n int")
+        # Waiting requests of one window length in chunks, named by their least time and the order of arrival.
+        self.waiting = handle.getMapState("waiting", "least bigint, arrival bigint", "at array<bigint>, tie array<string>, max_requests array<int>")
+        self.arrivals = handle.getValueState("arrivals", "n bigint")
         self.recent = handle.getValueState("recent", "times array<bigint>")
 
+    def _wait(self, chunks: Iterable[Sequence[tuple]]) -> None:
+        """Keep requests ``(at, tie, max_requests)``, each chunk of which lies in one window length."""
+        n = self.arrivals.get()[0] if self.arrivals.exists() else 0
+        for n, chunk in enumerate(chunks, n + 1):
+            self.waiting.updateValue((min(c[0] for c in chunk), n), tuple(map(list, zip(*chunk))))
+        self.arrivals.update((n,))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
-        least = None
+        least, slots, held = None, defaultdict(list), 0
         for r in rows:
-            if r["at"] // 1000 <= mark and mark > 0:
+            at = r["at"]
+            if at // 1000 <= mark and mark > 0:
                 continue
-            spot = (r["at"], r["tie"])
-            n = self.waiting.getValue(spot)[1] if self.waiting.containsKey(spot) else 0
-            self.waiting.updateValue(spot, (r["max_requests"], n + 1))
-            least = r["at"] if least is None else min(least, r["at"])
+            slots[at // self.span].append((at, r["tie"], r["max_requests"]))
+            least, held = at if least is None else min(least, at), held + 1
+            if held >= CHUNK_ROWS:
+                self._wait(slots.values())
+                slots, held = defaultdict(list), 0
+        if held:
+            self._wait(slots.values())
         if least is not None:
             self.handle.registerTimer(least // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """Decide what is due, with the waiting requests of one window length in memory at a time."""
         mark = timerValues.getCurrentWatermarkInMs()
-        spots = sorted(((tuple(spot), tuple(value)) for spot, value in self.waiting.iterator()), key=lambda s: (s[0][0], _in_order(s[0][1])))
-        due = [s for s in spots if s[0][0] // 1000 < mark]
+        chunks = sorted(tuple(c) for c in self.waiting.keys())
         recent = list(self.recent.get()[0]) if self.recent.exists() else []
-        out = []
-        for (at, tie), (top, n) in due:
-            for _ in range(n):
+        decided = Row("pair", "at", "tie", "max_requests", "allowed")
+        for _, names in groupby(chunks, key=lambda c: c[0] // self.span):
+            names = list(names)
+            if names[0][0] // 1000 >= mark:
+                self.handle.registerTimer(names[0][0] // 1000 + 1)
+                break
+            found = [request for name in names for request in zip(*self.waiting.getValue(name))]
+            found.sort(key=lambda f: (f[0], _in_order(f[1])))
+            due = bisect_left(found, mark * 1000, key=lambda f: f[0])
+            for at, tie, top in found[:due]:
                 recent = _seen(recent, at, top, self.span)
                 allowed = len(recent) < top
                 if allowed:
                     recent.append(at)
-                out.append(Row(pair=key[0], at=at, tie=tie, max_requests=top, allowed=allowed))
-            self.waiting.removeKey((at, tie))
-        if len(due) < len(spots):
-            self.handle.registerTimer(spots[len(due)][0][0] // 1000 + 1)
+                yield decided(key[0], at, tie, top, allowed)
+            for name in names:
+                self.waiting.removeKey(name)
+            if due < len(found):
+                self._wait([found[due:]])
+                self.handle.registerTimer(found[due][0] // 1000 + 1)
+                break
         recent = [t for t in recent if t // 1000 + self.span // 1000 + 1 > mark]
         if recent:
             self.recent.update((recent,))
             self.handle.registerTimer(recent[-1] // 1000 + self.span // 1000 + 1)
         elif self.recent.exists():
             self.recent.clear()
-        return iter(out)
 
     def close(self) -> None:
         pass

@@ -2,8 +2,10 @@ import os
 import random
 
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from plumbline import session
 from plumbline.operators import learning, ordering
 from plumbline.streaming import files, latency, rates
@@ -162,3 +164,52 @@ def test_too_few_columns_or_rows(flowers):
         learning.train_best(flowers.select("kind"))
     with pytest.raises(ValueError):
         learning.train_best(flowers.limit(0))
+
+
+class _Kept:
+    """State of one pair in memory, as a processor sees it, with the number of requests read at a time."""
+
+    def __init__(self):
+        self.values, self.value, self.timers, self.most = {}, None, [], 0
+        self.getMapState = self.getValueState = lambda name, *_: self if name == "waiting" else _Kept()
+        self.keys, self.exists, self.clear, self.removeKey = lambda: iter(list(self.values)), lambda: self.value is not None, lambda: self.update(None), lambda k: self.values.pop(k)
+        self.updateValue, self.registerTimer = self.values.__setitem__, self.timers.append
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def getValue(self, key):
+        self.most = max(self.most, len(self.values[key][0]))
+        return self.values[key]
+
+
+def test_waiting_requests_are_read_one_window_at_a_time(monkeypatch):
+    monkeypatch.setattr(rates, "CHUNK_ROWS", 100)
+    rng, state, span = random.Random(8), _Kept(), 10_000_000
+    rows = [(i, "a", "c", rng.randrange(3000) * 333_333 + 1_000_000) for i in range(2000)]
+    decide = rates._Decisions(span)
+    decide.init(state)
+    mark = lambda ms: type("Mark", (), {"getCurrentWatermarkInMs": staticmethod(lambda: ms)})
+    list(decide.handleInputRows(("a",), iter([{"at": r[3], "tie": str(r[0]), "max_requests": 5} for r in rows]), mark(0)))
+    got = [r for ms in (300_000, 300_001, 700_123, 10**9) for r in decide.handleExpiredTimer(("a",), mark(ms), None)]
+    assert {int(r.tie): r.allowed for r in got} == _decide(rows, lambda c: 5, span) and not state.values
+    assert [(r.at, int(r.tie)) for r in got] == sorted((r[3], r[0]) for r in rows) and state.most < 100
+
+
+@pytest.mark.parametrize("query, table, rows", [
+    ("str1_stream_files", "events", "SELECT id AS event_id, id % 9 AS user_id, element_at(array('error', 'click', 'view'), int(id % 3) + 1) AS event_type, CAST(timestamp_seconds(1700000000 + id * 97) AS timestamp_ntz) AS ts, double(id) AS value FROM range(300)"),
+    ("src8_files", "documents", "SELECT id AS doc_id, concat('text ', id) AS text FROM range(40)"),
+])
+def test_one_task_reads_no_whole_table_to_write_a_file(spark, tmp_path, monkeypatch, query, table, rows):
+    spark.sql(rows).repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    read, coalesce = [], DataFrame.coalesce
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", lambda df, n: read.append(df.inputFiles()) or coalesce(df, n))
+    found = queries()[query](spark, str(tmp_path)).collect()
+    assert read and not [f for files in read for f in files if f"{table}.parquet" in f]
+    if table == "events":
+        assert len(found) == 300
+    else:
+        assert sorted((r.files, r.copies) for r in found) == [(2, 2), (3, 3)]
