@@ -105,3 +105,26 @@ def test_no_rows(spark):
     empty = correlation.pearson_pairs(df.limit(0), names)
     assert set(empty.values()) == {(None, 0)}
     assert set(correlation.spearman_pairs(df.limit(0), names[:3]).values()) == {(None, 0)}
+
+
+@pytest.mark.parametrize("large", [0, 20, 10**6])
+def test_spearman_with_large_rank_tables_gathered_by_row(spark, monkeypatch, large):
+    """Whether ranks are gathered by row for all columns, for those with many values, or joined one after the other."""
+    rng = random.Random(11)
+    rows = [(rng.random(), float(rng.randrange(900)) if rng.random() < 0.7 else None, rng.randrange(3), rng.gauss(0, 1) if rng.random() < 0.5 else None, None) for _ in range(60)]
+    rows += [(None, None, None, None, None)] * 2 + rows[:3]
+    df = spark.createDataFrame(rows, "`a.b` double, c double, d int, e double, f double")
+    monkeypatch.setattr(correlation, "LARGE_RANKS", large)
+    gathered, whole = [], correlation._gathered
+    monkeypatch.setattr(correlation, "_gathered", lambda *a: gathered.append(a[2]) or whole(*a))
+    found = correlation.spearman_pairs(df, df.columns)
+    assert gathered == {0: [[0, 1, 2, 3]], 20: [[0, 1, 3]], 10**6: []}[large]
+    for i, j in combinations(range(5), 2):
+        full = [(float(r[i]), float(r[j])) for r in rows if r[i] is not None and r[j] is not None]
+        r, n = found[(df.columns[i], df.columns[j])]
+        assert n == len(full)
+        if n:
+            ranks = [[sum(v < x for v in of) + (sum(v == x for v in of) + 1) / 2 for x in of] for of in zip(*full)]
+            assert r == pytest.approx(np.corrcoef(*ranks)[0, 1], abs=1e-9)
+        else:
+            assert r is None
