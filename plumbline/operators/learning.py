@@ -3,36 +3,48 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+from math import exp, factorial
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     LogisticRegression,
     NaiveBayes,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.feature import Bucketizer, Imputer, IndexToString, OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.kinds import kinds, ref
 from plumbline.operators.contributions import explained
 from plumbline.operators.profile import loose_numeric_columns
+from plumbline.operators.sketches import distributions
 from plumbline.operators.wide import stack_rows
 
 FEATURES, LABEL, TARGET, PREDICTION = "__features", "__label", "__target", "prediction_label"
+HELD_OUT, WEIGHT, WITHIN, TREE = "__held_out", "__weight", "__within", "__tree"
 # A label that no text has, as all of them begin with a mark.
 _NO_VALUE = "no value"
 # A value of a text feature has a slot of its own if at least one row in so many holds it; the others of the feature share one.
 RARE = 1000
 # A classification target with more values is refused: its values are numbered on the driver.
 MAX_CLASSES = 10_000
+# Tree learners see a number as one of so many bins; it is the default of Spark's.
+BINS = 32
+# From so many rows on they are given counts and sums of the combinations of bins, if one in FOLD rows or fewer has a combination of its own.
+FOLD_ROWS, FOLD = 10_000, 20
+# Cells that a task of a tree learner reads, and trees of a forest that draw from a row at once and that are grown at the same time.
+CELLS_PER_TASK, DRAWN_TOGETHER, GROWN_TOGETHER = 50_000, 5, 4
 SEED = 42
 
 
@@ -147,6 +159,149 @@ def _model_ready(df: DataFrame, features: Sequence[str]) -> DataFrame:
     })
 
 
+def _grows_trees(learner: str) -> bool:
+    return learner.startswith(("DecisionTree", "RandomForest", "GBT"))
+
+
+def split_points(values: np.ndarray, bins: int = BINS) -> list[float]:
+    """Thresholds between the values of a sorted sample, chosen as Spark's tree learners choose them from theirs.
+
+    Up to ``bins`` different values are all told apart. More are cut where the bins come closest to equal numbers of values.
+    """
+    distinct, counts = np.unique(values, return_counts=True)
+    between = distinct[:-1] / 2 + distinct[1:] / 2
+    if len(distinct) > bins:
+        stride, ends, chosen = len(values) / bins, np.cumsum(counts), []
+        for i in range(len(between)):
+            target = stride * (len(chosen) + 1)
+            if abs(ends[i] - target) < abs(ends[i + 1] - target):
+                chosen.append(i)
+        between = between[chosen]
+    return [float(t) for t in np.unique(between) if np.isfinite(t)]
+
+
+def _bucketizer(columns: Sequence[str], points: Sequence[Sequence[float]]) -> Bucketizer:
+    """Numbers become the number of their bin; a value equal to a threshold belongs below it, as in a tree."""
+    # A number without thresholds has one bin in use: none is below the least number there is.
+    edges = [[float("-inf"), *[float(np.nextafter(t, np.inf)) for t in ts or [-np.finfo(float).max]], float("inf")] for ts in points]
+    return Bucketizer(splitsArray=edges, inputCols=list(columns), outputCols=[f"{c}_bin" for c in columns], handleInvalid="keep")
+
+
+def poisson(u: Column) -> Column:
+    """How often a row is drawn, from a uniform number: a Poisson number of mean 1."""
+    total, out = 0.0, F
+    for k in range(18):
+        total += exp(-1) / factorial(k)
+        out = out.when(u < total, float(k))
+    return out.otherwise(18.0)
+
+
+@dataclass
+class _Cells:
+    """Rows folded by fold, bins of numbers, slots of texts and (in classification) class: all that trees can tell apart.
+
+    Splits, leaves and residuals of trees depend on the rows of a cell through their number and the mean of their labels only.
+    """
+
+    rows: DataFrame
+    cells: DataFrame
+    keys: list[str]
+    stages: list
+    vectors: PipelineModel
+    compared_on: tuple[Column, Column]
+    tasks: int
+    drawn: dict[int, DataFrame] = field(default_factory=dict)
+
+    def fit(self, learner, held_out: bool | None = None):
+        """The learner over all cells, or those that learners are compared on."""
+        part = F.lit(True) if held_out is None else self.compared_on[held_out]
+        if not learner.__class__.__name__.startswith("RandomForest"):
+            return learner.copy({learner.weightCol: WEIGHT}).fit(self.cells.filter(part).coalesce(self.tasks))
+        return self._forest(learner, part)
+
+    def _forest(self, learner, part: Column):
+        """A forest whose trees each draw every row by itself; what a tree drew is added up by cell."""
+        n, regression = learner.getNumTrees(), isinstance(learner, RandomForestRegressor)
+        if n not in self.drawn:
+            at_once = range(DRAWN_TOGETHER)
+            draws = self.rows.withColumn("__first", F.explode(F.lit(list(range(0, n, DRAWN_TOGETHER)))))
+            draws = draws.withColumns({f"__u{i}": F.rand(SEED + i) for i in at_once}).withColumns({f"__w{i}": poisson(F.col(f"__u{i}")) for i in at_once})
+            sums = draws.groupBy("__first", *self.keys).agg(
+                *[F.sum(f"__w{i}").alias(f"__w{i}") for i in at_once], *[F.sum(F.col(f"__w{i}") * F.col(LABEL)).alias(f"__s{i}") for i in at_once if regression]
+            )
+            of_tree = lambda i: F.struct((F.col("__first") + i).alias(TREE), F.col(f"__w{i}").alias(WEIGHT), *[F.try_divide(f"__s{i}", f"__w{i}").alias(LABEL)] * regression)
+            sums = sums.select(*self.keys, F.inline(F.array(*map(of_tree, at_once)))).filter((F.col(WEIGHT) > 0) & (F.col(TREE) < n))
+            self.drawn[n] = self.vectors.transform(sums).select(TREE, HELD_OUT, FEATURES, LABEL, WEIGHT).persist(StorageLevel.MEMORY_AND_DISK)
+        # A forest of one tree would try all features at each node.
+        tried = "onethird" if regression else "sqrt"
+        single = lambda t: learner.copy({
+            learner.weightCol: WEIGHT, learner.numTrees: 1, learner.bootstrap: False, learner.featureSubsetStrategy: tried, learner.seed: SEED + t,
+        }).fit(self.drawn[n].filter((F.col(TREE) == t) & part).coalesce(self.tasks))
+        with ThreadPoolExecutor(GROWN_TOGETHER) as pool:
+            grown = list(pool.map(single, range(n)))
+        return _joined_forest(grown, learner)
+
+    def score(self, model, kind: str) -> float:
+        """Accuracy or RMSE over the rows of the cells held out."""
+        scored = model.transform(self.cells.filter(self.compared_on[True]))
+        if kind == "classification":
+            right = F.sum(F.when(F.col("prediction") == F.col(LABEL), F.col(WEIGHT)).otherwise(0.0)) / F.sum(WEIGHT)
+            return scored.agg(right).first()[0]
+        off = F.pow(F.col("prediction") - F.col(LABEL), F.lit(2)) + F.col(WITHIN)
+        return scored.agg(F.sqrt(F.sum(off * F.col(WEIGHT)) / F.sum(WEIGHT))).first()[0]
+
+    def unpersist(self) -> None:
+        for part in (self.cells, *self.drawn.values()):
+            part.unpersist()
+
+
+def _joined_forest(grown: Sequence, learner):
+    """One forest of the trees of several."""
+    regression = isinstance(learner, RandomForestRegressor)
+    jvm, first = SparkSession.active()._jvm, grown[0]
+    ml = jvm.org.apache.spark.ml.regression if regression else jvm.org.apache.spark.ml.classification
+    trees = SparkSession.active().sparkContext._gateway.new_array(ml.DecisionTreeRegressionModel if regression else ml.DecisionTreeClassificationModel, len(grown))
+    for i, one in enumerate(grown):
+        trees[i] = one._java_obj.trees()[0]
+    if regression:
+        forest = RandomForestRegressionModel(ml.RandomForestRegressionModel(learner.uid, trees, first.numFeatures))
+    else:
+        forest = RandomForestClassificationModel(ml.RandomForestClassificationModel(learner.uid, trees, first.numFeatures, max(m.numClasses for m in grown)))
+    return learner._copyValues(forest)
+
+
+def _cells(labelled: DataFrame, prepared: PipelineModel, numbers: list[str], texts: list[str], kind: str, rows: int) -> _Cells | None:
+    """The rows folded for tree learners, or nothing where that would not leave far fewer."""
+    if rows < FOLD_ROWS:
+        return None
+    *own, assembler = [s for s in prepared.stages if not _is_label(s)]
+    labels = [s for s in prepared.stages if _is_label(s)]
+    encoder = [s for s in own if s.__class__.__name__ == "OneHotEncoderModel"]
+    steps = [s for s in own if s not in encoder]
+    places, slots, filled = [f"{c}_place" for c in texts], [f"{c}_slots" for c in texts], [f"{c}_filled" for c in numbers]
+    if numbers:
+        found = distributions(PipelineModel(steps).transform(labelled), {c: F.col(c) for c in filled}, {c: rows for c in filled})
+        steps.append(_bucketizer(filled, [split_points(found[c].values) for c in filled]))
+    bins = [f"{c}_bin" for c in filled]
+    vectors = PipelineModel([*encoder, VectorAssembler(inputCols=[*bins, *slots], outputCol=FEATURES, handleInvalid="keep")])
+    keys = [HELD_OUT, *bins, *places, *([LABEL] if kind == "classification" else [])]
+    # Without the mark of a bucketizer that bins are categories: trees shall cut them in their order.
+    plain = [F.col(k).alias(k, metadata={}) if k in bins else F.col(k) for k in dict.fromkeys([*keys, LABEL])]
+    placed = PipelineModel([*steps, *labels]).transform(labelled).select(*plain)
+    size = placed.agg(F.approx_count_distinct(F.struct(*keys))).first()[0]
+    if size * FOLD > rows:
+        return None
+    of_labels = [F.avg(LABEL).alias("__mean"), F.var_pop(LABEL).alias(WITHIN)] if kind == "regression" else []
+    cells = placed.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT), *of_labels)
+    if kind == "regression":
+        cells = cells.withColumnRenamed("__mean", LABEL)
+    cells = vectors.transform(cells).persist(StorageLevel.MEMORY_AND_DISK)
+    train, test = ~F.col(HELD_OUT), F.col(HELD_OUT)
+    if cells.filter(train).isEmpty() or cells.filter(test).isEmpty():
+        train = test = F.lit(True)
+    return _Cells(placed, cells, keys, [*steps, *vectors.stages, *labels], vectors, (train, test), size // CELLS_PER_TASK + 1)
+
+
 def train_best(
     df: DataFrame,
     target: str | None = None,
@@ -178,13 +333,8 @@ def train_best(
     numbers, texts = _inputs(df, features)
     stages = _stages(numbers, texts, frequent_values(labelled, texts, rows), kind)
     prepared = Pipeline(stages=stages).fit(labelled)
-    ready = prepared.transform(labelled).persist(StorageLevel.MEMORY_AND_DISK)
     # The fold of a row is a fixed function of its content, so a recomputed task agrees.
     held_out = F.pmod(F.xxhash64(*[ref(c) for c in df.columns]), F.lit(5)) == 0
-    train, test = ready.filter(~held_out), ready.filter(held_out)
-    if not folds and (train.isEmpty() or test.isEmpty()):
-        # Too few rows for a fifth of them to be held out: learners are compared on the rows they have seen.
-        train = test = ready
     evaluator = (
         RegressionEvaluator(labelCol=LABEL, metricName="rmse")
         if kind == "regression"
@@ -192,18 +342,33 @@ def train_best(
     )
     scores = {}
     candidates = {n: e for n, e in _learners(kind, classes).items() if not learners or n in learners}
+    trees = [n for n in candidates if _grows_trees(n)]
+    cells = _cells(labelled.withColumn(HELD_OUT, held_out), prepared, numbers, texts, kind, rows) if trees and not folds else None
+    ready = prepared.transform(labelled)
+    if cells is None or len(trees) < len(candidates):
+        ready = ready.withColumn(HELD_OUT, held_out).select(FEATURES, LABEL, HELD_OUT).persist(StorageLevel.MEMORY_AND_DISK)
+        train, test = ready.filter(~F.col(HELD_OUT)), ready.filter(HELD_OUT)
+        if not folds and (train.isEmpty() or test.isEmpty()):
+            # Too few rows for a fifth of them to be held out: learners are compared on the rows they have seen.
+            train = test = ready
     for name, learner in candidates.items():
         if folds:
             cv: CrossValidatorModel = CrossValidator(
                 estimator=learner, estimatorParamMaps=ParamGridBuilder().build(), evaluator=evaluator, numFolds=folds, seed=SEED
             ).fit(ready)
             scores[name] = cv.avgMetrics[0]
+        elif cells and name in trees:
+            scores[name] = cells.score(cells.fit(learner, held_out=False), kind)
         else:
             scores[name] = evaluator.evaluate(learner.fit(train).transform(test))
     best = (min if kind == "regression" else max)(sorted(scores), key=scores.get)
-    final = candidates[best].fit(ready)
+    if cells and best in trees:
+        steps = [*cells.stages, cells.fit(candidates[best])]
+    else:
+        steps = [*prepared.stages, candidates[best].fit(ready)]
     ready.unpersist()
-    steps = [*prepared.stages, final]
+    if cells:
+        cells.unpersist()
     if kind == "classification":
         labels = prepared.stages[-1].labels
         steps.append(IndexToString(inputCol="prediction", outputCol=PREDICTION, labels=[*labels, "__unknown"]))

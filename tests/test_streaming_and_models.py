@@ -1,13 +1,16 @@
+import math
 import os
 import random
+import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from plumbline import session
-from plumbline.operators import learning, ordering
+from plumbline.operators import contributions, learning, ordering
 from plumbline.streaming import files, latency, rates
 
 
@@ -166,6 +169,51 @@ def test_too_few_columns_or_rows(flowers):
         learning.train_best(flowers.limit(0))
 
 
+@pytest.fixture(scope="module")
+def many(spark):
+    y = "(id % 7) * 3 + (id % 60 DIV 15) * (id % 3) + id * 37 % 101 / 50.0D AS y"
+    return spark.range(6000).selectExpr("CAST(id % 7 AS double) a", "CAST(id % 60 DIV 15 AS int) b", "concat('v', id % 3) s", y).cache()
+
+
+@pytest.mark.parametrize("learner", ["DecisionTreeRegressor", "GBTRegressor", "DecisionTreeClassifier", "RandomForestClassifier"])
+def test_tree_learners_read_cells_in_place_of_rows(many, monkeypatch, learner):
+    df = many.withColumn("y", F.when(F.col("y") > 10, "high").otherwise("low")) if "Classifier" in learner else many
+    plain = learning.train_best(df, learners=[learner])
+    read, fit = [], getattr(learning, learner)._fit
+    monkeypatch.setattr(getattr(learning, learner), "_fit", lambda self, data: (read.append(data.count()), fit(self, data))[1])
+    monkeypatch.setattr(learning, "FOLD_ROWS", 0, raising=False)
+    model = learning.train_best(df, learners=[learner])
+    assert read and max(read) * 15 < 6000
+    if "Forest" not in learner:
+        assert model.score == pytest.approx(plain.score)
+        rows = df.drop("y").distinct()
+        of = lambda m: {tuple(r)[:3]: r["prediction_label"] for r in learning.predict(rows, m).collect()}
+        assert of(model) == (of(plain) if "Classifier" in learner else pytest.approx(of(plain)))
+    else:
+        assert model.score > 0.8 and len(model.pipeline.stages[-2].trees) == 20
+
+
+def test_trees_of_a_forest_draw_every_row_by_itself(spark, many, monkeypatch, tmp_path):
+    monkeypatch.setattr(learning, "FOLD_ROWS", 0)
+    model = learning.train_best(many, learners=["RandomForestRegressor"])
+    trees = [t for _, t in contributions.read_trees(model.pipeline.stages[-1])]
+    sizes = [t[0].rows for t in trees]
+    assert len(trees) == 20 and len(set(sizes)) > 10 and max(abs(n - 6000) for n in sizes) < 5 * math.sqrt(6000)
+    spread = statistics.stdev(t[0].value for t in trees) / many.agg(F.stddev("y")).first()[0] * math.sqrt(6000)
+    assert 0.5 < spread < 2
+    learning.save_model(model, str(tmp_path / "model"), spark)
+    own, read = (learning.predict(many, m).agg(F.sum("prediction_label")).first()[0] for m in (model, learning.load_model(spark, str(tmp_path / "model"))))
+    assert own == pytest.approx(read)
+
+
+def test_poisson_and_split_points(spark):
+    got = spark.range(100_000).select(learning.poisson((F.col("id") + 0.5) / 100_000).alias("n")).agg(F.avg("n"), F.var_pop("n")).first()
+    assert got[0] == pytest.approx(1, abs=1e-3) and got[1] == pytest.approx(1, abs=1e-3)
+    assert learning.split_points(np.array([1.0, 1, 2, 4])) == [1.5, 3.0] and learning.split_points(np.array([7.0, 7])) == []
+    sizes = np.diff([0, *np.searchsorted(np.arange(1000.0), learning.split_points(np.arange(1000.0))), 1000])
+    assert len(sizes) == 32 and set(sizes) == {31, 32}
+
+
 class _Kept:
     """State of one pair in memory, as a processor sees it, with the number of requests read at a time."""
 
