@@ -245,3 +245,23 @@ def test_pairs_of_a_frequent_key_are_formed_in_many_partitions(spark, monkeypatc
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
     shares = [r["count"] for r in found.filter("k = 7").groupBy(F.spark_partition_id()).count().collect()]
     assert len(shares) > 8 and max(shares) < 95 * 60 / 4
+
+
+@pytest.mark.parametrize("how", joins.JOIN_TYPES)
+def test_pairs_of_a_frequent_key_run_through_lists(spark, monkeypatch, how):
+    """A cell looks up one list for a row of the other side, not one row for each pair, and no anti join reads rows of hot keys."""
+    monkeypatch.setattr(joins, "CELL_ROWS", 4)
+    left = [(k, None if i % 5 == 0 else f"a{i}", [i]) for k, n in ((None, 9), (3, 13), (5, 1), (8, 2)) for i in range(n)]
+    right = [(k, None if i % 4 == 0 else i // 2) for k, n in ((None, 7), (3, 10), (5, 2), (9, 3)) for i in range(n)]
+    source, target = spark.createDataFrame(left, "k bigint, a string, c array<int>"), spark.createDataFrame(right, "k bigint, b int")
+    want = [(*x, b) for x in left for k, b in right if x[0] == k]
+    want += [(8, a, c, None) for k, a, c in left if k == 8 and how in ("left", "outer")]
+    want += [(9, None, None, b) for k, b in right if k == 9 and how in ("right", "outer")]
+    found = joins.join(source, target, "k", "k", how)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate inline") == 1
+    keyed = lambda df, name: df.withColumns({name[:3] + "k": F.col("k"), name[:3] + "v": F.col("k")}).drop("k")
+    pairs, one, other = joins._pairs(keyed(source, "__s"), keyed(target, "__t"))
+    assert {r["__sk"] for r in one.collect()} == {5, 8} and {r["__tk"] for r in other.collect()} == {5, 9}
+    assert sum(p.count() for p in pairs) == 9 * 7 + 13 * 10 + 2
