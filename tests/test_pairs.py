@@ -128,3 +128,53 @@ def test_spearman_with_large_rank_tables_gathered_by_row(spark, monkeypatch, lar
             assert r == pytest.approx(np.corrcoef(*ranks)[0, 1], abs=1e-9)
         else:
             assert r is None
+
+
+@pytest.mark.parametrize("stored", [False, True])
+@pytest.mark.parametrize("gathered_columns", [24, 6])
+def test_ranks_in_many_ranges_and_blocks(spark, monkeypatch, tmp_path, stored, gathered_columns):
+    """Frequent values, values that are not finite, both zeros, integers that a double merges, and gaps, over several ranges and blocks."""
+    from plumbline.operators import ranges
+
+    columns = columns_of(9, 400, 5)
+    rng = random.Random(2)
+    columns[0][7], columns[0][9], columns[4][3], columns[4][11] = math.nan, math.nan, math.inf, -math.inf
+    columns[1] = [None if v is None else rng.choice([0.0, -0.0, v]) for v in columns[1]]
+    columns.append([2**60 + rng.randrange(9) if rng.random() < 0.8 else None for _ in range(400)])
+    names = [f"c {k}.x" for k in range(10)]
+    df = spark.createDataFrame(list(zip(*columns)), ", ".join(f"`{n}` double" for n in names[:-1]) + f", `{names[-1]}` bigint")
+    if stored:
+        df.repartition(5).write.parquet(f"{tmp_path}/rows")
+        df = spark.read.parquet(f"{tmp_path}/rows")
+    monkeypatch.setattr(correlation, "LARGE_RANKS", 500)
+    monkeypatch.setattr(correlation, "GATHERED_COLUMNS", gathered_columns)
+    monkeypatch.setattr(ranges, "RANGE_CELLS", 40)
+    monkeypatch.setattr(ranges, "BLOCK_RANKS", 1500)
+    cuts, whole = [], correlation.cut
+    monkeypatch.setattr(correlation, "cut", lambda *a: cuts.append(whole(*a)) or cuts[-1])
+    found = correlation.spearman_pairs(df, names)
+    nan_last = [[(1, 0) if isinstance(v, float) and math.isnan(v) else v if v is None else (0, v) for v in c] for c in columns]
+    for (i, a), (j, b) in combinations(enumerate(names), 2):
+        r, n = plain(nan_last[i], nan_last[j], True)
+        assert found[(a, b)][1] == n
+        assert (found[(a, b)][0] is None) == (r is None), (a, b)
+        assert r is None or found[(a, b)][0] == pytest.approx(r, abs=1e-9), (a, b)
+    assert max(len(c) for c in cuts[0].cuts) > 5 and any(s.any() for s in cuts[0].single)
+
+
+def test_ranks_are_sent_in_few_bytes_for_each_column_with_gaps(spark, tmp_path):
+    """A cell is sent with a byte or two for each column with gaps, in place of a table of eight bytes and more for each."""
+    from plumbline.operators import ranges
+
+    rows, k = 3000, 12
+    rng = random.Random(3)
+    names = [f"c{i}" for i in range(k)]
+    data = [[rng.random() if rng.random() < 0.9 else None for _ in names] for _ in range(rows)]
+    spark.createDataFrame(data, ", ".join(f"{n} double" for n in names)).repartition(5).write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    coded, present = ranges.ordered_codes(df, names), [sum(r[i] is not None for r in data) for i in range(k)]
+    found = ranges.cut(coded, rows, present, range(k), [False] * k)
+    cells = coded.mapInArrow(ranges._dealt(found, range(k), 10**5), ranges._CELLS)
+    placed = cells.groupBy("at", "part").applyInArrow(ranges._placed(k), ranges._CELLS)
+    assert cells.selectExpr("sum(length(data))").first()[0] < rows * k * 12
+    assert placed.selectExpr("sum(length(data))").first()[0] < rows * k * (4 + k)
